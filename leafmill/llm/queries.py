@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.encoding import TOKENIZERS, token_ids
 from leafmill.llm.sentences import sentences
+from leafmill.llm.shared_spans import shared_runs
 from leafmill.llm.splitting import split_oversized
 from leafmill.sources.tables import read_table
 
 CHUNK = ["doc_id", "chunk_id"]
+VOCABULARY = os.environ.get("LEAFMILL_TOKENIZERS", TOKENIZERS) + "/byte_bpe_50k.tiktoken"
 
 
 def chunks_with_strategy(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,12 +53,33 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(chunks, CHUNK, "content", "max_chunk_size", "overlap_size")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(read_table(spark, folder, "documents"), ["doc_id"], "text", VOCABULARY)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal runs of positions shared with another document."""
+    return shared_runs(read_table(spark, folder, "documents"), "doc_id", "text", 200)
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document, how many of its code points are shared, and their share of the text (null for an empty text)."""
+    shared = p9_found(spark, folder).groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n_shared"))
+    sizes = read_table(spark, folder, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"))
+    n = F.coalesce("n_shared", F.lit(0))
+    return sizes.join(shared, "doc_id", "left").select("doc_id", "n_points", n.alias("n_shared"), (n / F.nullif("n_points", F.lit(0))).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_sentences": p1_sentences,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
+        "p7_ids": p7_ids,
+        "p9_found": p9_found,
+        "p9_shares": p9_shares,
     }
 
 
