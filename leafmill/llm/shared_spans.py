@@ -79,15 +79,15 @@ def anchor_starts(n: int, width: int) -> np.ndarray:
 
 
 def _met(order_keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorts rows by key and row id: the order, which sorted rows have a key that two rows share, which are a key's first."""
+    """Sorts by key and row id: the order, which sorted entries have a key that two rows share, which are of a key's first row."""
     order = np.lexsort((docs, *order_keys[::-1]))
     first = np.ones(len(order), bool)
     first[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in order_keys])
     group = np.cumsum(first) - 1
     ends = np.append(np.flatnonzero(first)[1:], len(order)) - 1
     d = docs[order]
-    shared = d[np.flatnonzero(first)] != d[ends]
-    return order, shared[group], first
+    heads = d[np.flatnonzero(first)]
+    return order, (heads != d[ends])[group], d == heads[group]
 
 
 ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("sure", T.LongType())])
@@ -104,9 +104,9 @@ def _anchors(length: int):
             h, d = np.concatenate(hashes), np.concatenate(docs)
             order, shared, first = _met((h,), d)
             h, d = h[order], d[order]
-            fresh = first.copy()
-            fresh[1:] |= d[1:] != d[:-1]
-            one, sure = first, shared & fresh
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            one, sure = first & fresh, shared & fresh
             key = np.concatenate([h[one], mixed(d[sure].view(np.uint64))]).view(np.int64)
             real = pa.array(np.concatenate([np.zeros(one.sum(), np.int64), h[sure].view(np.int64)]), mask=np.concatenate([np.ones(one.sum(), bool), np.zeros(sure.sum(), bool)]))
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([d[one], d[sure]])), real], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("sure", pa.int64())]))
