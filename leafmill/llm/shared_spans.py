@@ -30,8 +30,8 @@ PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 
 ROWS_AT_ONCE = 1_000_000
-#: Candidate rows up to which their side of the join with the texts is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Anchors (of 8 bytes) up to which the candidates' side of the join with the texts is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xBF58476D1CE4E5B9))
@@ -103,12 +103,12 @@ def _anchors(length: int):
         def flush(hashes: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
             h, d = np.concatenate(hashes), np.concatenate(docs)
             order, shared, first = _met((h,), d)
-            h, d = h[order], d[order]
             fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            one, sure = first & fresh, shared & fresh
+            fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(d[order]) != 0)
+            # In the order of rows, in which the ids next to each other compress.
+            one, sure = np.sort(order[first & fresh]), np.sort(order[shared & fresh])
             key = np.concatenate([h[one], mixed(d[sure].view(np.uint64))]).view(np.int64)
-            real = pa.array(np.concatenate([np.zeros(one.sum(), np.int64), h[sure].view(np.int64)]), mask=np.concatenate([np.ones(one.sum(), bool), np.zeros(sure.sum(), bool)]))
+            real = pa.array(np.concatenate([np.zeros(len(one), np.int64), h[sure].view(np.int64)]), mask=np.concatenate([np.ones(len(one), bool), np.zeros(len(sure), bool)]))
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([d[one], d[sure]])), real], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("sure", pa.int64())]))
 
         hashes, docs, held = [], [], 0
@@ -137,17 +137,16 @@ def _candidate_spans(length: int):
         def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             h1, h2, d, p = (np.concatenate(x) for x in zip(*parts))
             order, shared, first = _met((h1, h2), d)
-            h1, h2, d, p = h1[order], h2[order], d[order], p[order]
+            first, sure = np.sort(order[first]), np.sort(order[shared])
             # Sure spans, merged to runs of adjacent starts.
-            at = np.lexsort((p[shared], d[shared]))
-            sd, sp = d[shared][at], p[shared][at]
+            sd, sp = d[sure], p[sure]
             opens = np.ones(len(sd), bool)
             opens[1:] = (sd[1:] != sd[:-1]) | (sp[1:] > sp[:-1] + length)
             lo = np.flatnonzero(opens)
             hi = np.append(lo[1:], len(sd)) - 1 if len(sd) else lo
             key = np.concatenate([h1[first], mixed(sd[lo].view(np.uint64))]).view(np.int64)
             tail = np.concatenate([((h2[first] & np.uint64(0xFFFFFFFF00000000)) | p[first].astype(np.uint64)).view(np.int64), sp[lo]])
-            end = pa.array(np.concatenate([np.zeros(first.sum(), np.int32), (sp[hi] + length).astype(np.int32)]), mask=np.concatenate([np.ones(first.sum(), bool), np.zeros(len(lo), bool)]))
+            end = pa.array(np.concatenate([np.zeros(len(first), np.int32), (sp[hi] + length).astype(np.int32)]), mask=np.concatenate([np.ones(len(first), bool), np.zeros(len(lo), bool)]))
             return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([d[first], sd[lo]])), pa.array(tail), end], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tail", pa.int64()), ("sure_end", pa.int32())]))
 
         parts, held = [], 0
