@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import TOKENIZERS, token_ids
+from leafmill.llm.lookalikes import consistent_text, lookalike_terms
 from leafmill.llm.sentences import sentences
 from leafmill.llm.shared_spans import shared_runs
 from leafmill.llm.splitting import split_oversized
@@ -41,6 +42,27 @@ def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(chunks.select(*CHUNK, "content").unionByName(results), CHUNK, "content")
 
 
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells, footnotes and documents as (src, item_id, text)."""
+    entries = [("cell", "table_cells", "cell_id", "text"), ("footnote", "footnote_definitions", "footnote_id", "text"), ("document", "extraction_results", "doc_id", "raw_text")]
+    parts = [read_table(spark, folder, table).select(F.lit(src).alias("src"), F.col(item).alias("item_id"), F.col(text).alias("text")) for src, table, item, text in entries]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries that look like a glossary term in other characters; repeated rows are dropped after they shrank to ids."""
+    entries, terms = p5_entries(spark, folder), read_table(spark, folder, "glossary")
+    whole = lookalike_terms(entries.where("src <> 'document'"), ["src", "item_id"], "text", terms)
+    within = lookalike_terms(entries.where("src = 'document'"), ["src", "item_id"], "text", terms, whole=False)
+    return whole.unionByName(within).distinct()
+
+
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cell, footnote and raw_text in its one form."""
+    entries = p5_entries(spark, folder).dropDuplicates(["src", "item_id"])
+    return consistent_text(entries, ["src", "item_id"], "text", read_table(spark, folder, "glossary"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks that come out in more than one piece."""
     pieces = split_oversized(chunks_with_strategy(spark, folder), CHUNK, "content", "max_chunk_size", "overlap_size")
@@ -75,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_sentences": p1_sentences,
+        "p5_found": p5_found,
+        "p5_text": p5_text,
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
