@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.encoding import TOKENIZERS, token_ids
+from leafmill.llm.encodings import garbled_tokens, put_right
 from leafmill.llm.lookalikes import consistent_text, lookalike_terms
 from leafmill.llm.sentences import sentences
 from leafmill.llm.shared_spans import shared_runs
@@ -42,6 +43,24 @@ def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(chunks.select(*CHUNK, "content").unionByName(results), CHUNK, "content")
 
 
+def result_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of extraction_results as (doc_id, page_number, page), numbered from 1."""
+    pages = read_table(spark, folder, "extraction_results").select("doc_id", F.posexplode("pages").alias("_at", "page"))
+    return pages.select("doc_id", (F.col("_at") + 1).alias("page_number"), "page")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of which any part was decoded wrongly."""
+    hits = garbled_tokens(result_pages(spark, folder), "doc_id", "page_number", "page")
+    return hits.select(F.col("doc").alias("doc_id"), F.col("page").alias("page_number")).distinct()
+
+
+def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page in its original characters."""
+    pages = result_pages(spark, folder).dropDuplicates(["doc_id", "page_number"])
+    return put_right(pages, "doc_id", "page_number", "page").withColumnsRenamed({"doc": "doc_id", "page": "page_number"})
+
+
 def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Cells, footnotes and documents as (src, item_id, text)."""
     entries = [("cell", "table_cells", "cell_id", "text"), ("footnote", "footnote_definitions", "footnote_id", "text"), ("document", "extraction_results", "doc_id", "raw_text")]
@@ -97,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_sentences": p1_sentences,
+        "p4_found": p4_found,
+        "p4_pages": p4_pages,
         "p5_found": p5_found,
         "p5_text": p5_text,
         "p6_found": p6_found,
