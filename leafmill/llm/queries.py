@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.encoding import TOKENIZERS, token_ids
 from leafmill.llm.encodings import garbled_tokens, put_right
 from leafmill.llm.lookalikes import consistent_text, lookalike_terms
+from leafmill.llm.scan_noise import continuous_text, scan_noise
 from leafmill.llm.sentences import sentences
 from leafmill.llm.shared_spans import shared_runs
 from leafmill.llm.splitting import split_oversized
@@ -49,6 +50,22 @@ def result_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("doc_id", (F.col("_at") + 1).alias("page_number"), "page")
 
 
+def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with is_scanned true on at least one page."""
+    return read_table(spark, folder, "page_analysis").where("is_scanned").select("doc_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Noisy lines of scanned documents."""
+    lines = scan_noise(read_table(spark, folder, "extraction_results"), "doc_id", "pages", scanned_documents(spark, folder))
+    return lines.withColumnsRenamed({"doc": "doc_id", "page": "page_number", "line": "line_no"})
+
+
+def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned documents as continuous paragraphs."""
+    return continuous_text(read_table(spark, folder, "extraction_results"), "doc_id", "pages", scanned_documents(spark, folder)).withColumnRenamed("doc", "doc_id")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of which any part was decoded wrongly."""
     hits = garbled_tokens(result_pages(spark, folder), "doc_id", "page_number", "page")
@@ -116,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_sentences": p1_sentences,
+        "p3_found": p3_found,
+        "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
         "p4_pages": p4_pages,
         "p5_found": p5_found,
