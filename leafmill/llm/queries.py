@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.encoding import TOKENIZERS, token_ids
 from leafmill.llm.encodings import garbled_tokens, put_right
 from leafmill.llm.lookalikes import consistent_text, lookalike_terms
+from leafmill.llm.prose import text_statistics
 from leafmill.llm.scan_noise import continuous_text, scan_noise
 from leafmill.llm.sentences import sentences
 from leafmill.llm.shared_spans import shared_runs
@@ -44,6 +45,17 @@ def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(chunks.select(*CHUNK, "content").unionByName(results), CHUNK, "content")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in whose raw_text at least half of the characters stand outside of sentences."""
+    measured = text_statistics(read_table(spark, folder, "extraction_results"), ["doc_id"], "raw_text", with_common=False)
+    return measured.where("verdict = 'not prose'").select("doc_id").distinct()
+
+
+def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics and the verdict of every raw_text."""
+    return text_statistics(read_table(spark, folder, "extraction_results").dropDuplicates(["doc_id"]), ["doc_id"], "raw_text")
+
+
 def result_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of extraction_results as (doc_id, page_number, page), numbered from 1."""
     pages = read_table(spark, folder, "extraction_results").select("doc_id", F.posexplode("pages").alias("_at", "page"))
@@ -133,6 +145,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_sentences": p1_sentences,
+        "p2_found": p2_found,
+        "p2_statistics": p2_statistics,
         "p3_found": p3_found,
         "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
