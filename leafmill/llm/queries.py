@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.encoding import TOKENIZERS, token_ids
+from leafmill.llm.encoding import TOKENIZERS, token_counts, token_ids
 from leafmill.llm.encodings import garbled_tokens, put_right
 from leafmill.llm.lookalikes import consistent_text, lookalike_terms
+from leafmill.llm.mixing import mix
 from leafmill.llm.prose import text_statistics
 from leafmill.llm.scan_noise import continuous_text, scan_noise
 from leafmill.llm.sentences import sentences
@@ -128,6 +129,23 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids(read_table(spark, folder, "documents"), ["doc_id"], "text", VOCABULARY)
 
 
+def mixed_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The mix of documents by mix_targets, sized in tokens, and its shares."""
+    documents, targets = read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets")
+    sized = token_counts(documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), ["doc_id", "source"], "text", VOCABULARY)
+    return mix(sized, targets, "doc_id", "source", "n_tokens")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of the targets' sources with its number of copies."""
+    return mixed_documents(spark, folder)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The target and the actual share of each source."""
+    return mixed_documents(spark, folder)[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal runs of positions shared with another document."""
     return shared_runs(read_table(spark, folder, "documents"), "doc_id", "text", 200)
@@ -156,6 +174,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": p6_found,
         "p6_pieces": p6_pieces,
         "p7_ids": p7_ids,
+        "p8_mix": p8_mix,
+        "p8_shares": p8_shares,
         "p9_found": p9_found,
         "p9_shares": p9_shares,
     }
