@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 
 class LineModel:
@@ -42,3 +44,16 @@ class LineModel:
                     np.add.at(move, (states[:-1], states[1:]), 1)
             model = LineModel(*(m / m.sum(-1, keepdims=True) for m in (start, move, emit)))
         return model
+
+
+def bounded_sample(df: DataFrame, key: Column, n: int) -> list[Row]:
+    """The `n` rows of the least hashes of `key`, or all if there are fewer.
+
+    Rows are first thinned by hash to about 4 n, so that what the tasks send to the driver
+    doesn't grow with their number.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(key))
+    rows = df.count()
+    if rows > 4 * n:
+        hashed = hashed.where(F.col("_h") < int(-(2**63) + 2**64 * (4 * n / rows)))
+    return hashed.orderBy("_h").limit(n).collect()

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
-from leafmill.llm.markov import LineModel
+from leafmill.llm.markov import LineModel, bounded_sample
 
 #: Documents that the model is trained on.
 SAMPLE_DOCS = 400
 #: Pages that a word must be on to be an original, and how many times the pages of its misreading.
 MIN_PAGES, TIMES = 3, 4
 #: Rows of document ids or misread words up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 HEAD, BODY, BREAK, FOOT = range(4)
 PLAIN, TITLE, NUMBER, RECURS, BLANK = range(5)
@@ -274,7 +274,7 @@ def _scan_lines(model: LineModel):
 
 def trained_model(docs: DataFrame, doc: str, pages: str) -> LineModel:
     """The model after three Viterbi passes over SAMPLE_DOCS documents, those of the least hashes."""
-    sample = docs.select(docs[pages].alias("_pages"), F.xxhash64(docs[doc]).alias("_h")).orderBy("_h").limit(SAMPLE_DOCS).collect()
+    sample = bounded_sample(docs.select(docs[doc].alias("_doc"), docs[pages].alias("_pages")), F.col("_doc"), SAMPLE_DOCS)
     sequences = [s for row in sample for s in observations(row["_pages"] or ()) if s]
     return first_model().trained(sequences, 3, 400.0)
 
