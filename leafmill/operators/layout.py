@@ -7,12 +7,16 @@ word_ix is the decoder's order and breaks every tie. All operators partition by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PAGE = ["doc_id", "page"]
 WORD = [*PAGE, "word_ix"]
-_IN_PAGE = Window.partitionBy(*PAGE)
+
+
+def _in_page() -> WindowSpec:
+    return Window.partitionBy(*PAGE)
+
 
 # Patterns that begin a section number.
 SECTION_NUMBER = r"^(?:\d+\.\d+|\(\d+\)|[①-⑳]|\d+[)）]|第?\d+[章条項節款目]|\d+\.|[一二三四五六七八九十]+[、.])"
@@ -36,7 +40,7 @@ def page_sizes(words: DataFrame) -> DataFrame:
 
 def columns(words: DataFrame, gap: float = 50.0) -> DataFrame:
     """Adds column_no (from 0): a new column where x0 is more than `gap` beyond the x1 of the word before, by x0."""
-    order = _IN_PAGE.orderBy("x0", "word_ix")
+    order = _in_page().orderBy("x0", "word_ix")
     opens = F.when(F.col("x0") - F.lag("x1").over(order) > gap, 1).otherwise(0)
     return words.withColumn("_new", opens).withColumn("column_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
@@ -235,7 +239,7 @@ def scripts(words: DataFrame, averages: DataFrame) -> DataFrame:
     A word is small under .7 of the page's average. Tops grow downward, so a small word whose
     top is a fifth of the size above the word before is raised, a fifth below lowered.
     """
-    order = _IN_PAGE.orderBy("top", "x0", "word_ix")
+    order = _in_page().orderBy("top", "x0", "word_ix")
     size = F.coalesce("size", "height", F.lit(0.0))
     placed = words.join(averages, PAGE).withColumn("_size", size)
     placed = placed.select(
@@ -288,7 +292,7 @@ def attach_scripts(words: DataFrame, reach: float = 5.0, gap: float = 15.0, smal
     below lowered, else plain. Small words that follow none stay as they are.
     """
     size = F.coalesce("size", "height", F.lit(10.0))
-    sized = words.withColumn("_size", size).withColumn("_avg", F.avg("_size").over(_IN_PAGE))
+    sized = words.withColumn("_size", size).withColumn("_avg", F.avg("_size").over(_in_page()))
     banded = bands(words, gap).select(*PAGE, "band_no", F.explode("word_ixs").alias("word_ix"))
     item = F.struct("x0", "word_ix", "x1", "text", ((F.col("top") + F.col("bottom")) / 2).alias("mid"), (F.col("_size") < small * F.col("_avg")).alias("small"))
     folded = sized.join(banded, WORD).groupBy(*PAGE, "band_no").agg(F.array_sort(F.collect_list(item)).alias("_w"))
@@ -317,5 +321,5 @@ def clusters(values: DataFrame, keys: list[str], value: str, tolerance: float, l
 def gap_regularity(words: DataFrame, least: float = 15.0) -> DataFrame:
     """Per page 1 - stddev / mean of the gaps over `least` between its distinct left edges, of two gaps or more."""
     edges = words.select(*PAGE, "x0").distinct()
-    gaps = edges.withColumn("_gap", F.col("x0") - F.lag("x0").over(_IN_PAGE.orderBy("x0"))).where(F.col("_gap") > least)
+    gaps = edges.withColumn("_gap", F.col("x0") - F.lag("x0").over(_in_page().orderBy("x0"))).where(F.col("_gap") > least)
     return gaps.groupBy(*PAGE).agg(F.count("*").alias("n_gaps"), (1 - F.stddev_samp("_gap") / F.avg("_gap")).alias("regularity")).where("n_gaps >= 2")

@@ -1,4 +1,4 @@
-"""The catalogue of queries over the engine's operators."""
+"""The catalogue of queries over the engine's operators and their DuckDB statements."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.sources.tables import read_table
+from leafmill.plans import io_queries, layout_queries, report_queries, text_queries
+
+MODULES = (layout_queries, text_queries, report_queries, io_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "extraction_results").groupBy("quality_grade").count()
+    """Every document's five quality dimensions, weighted score, grade and confidence."""
+    return text_queries.quality_score(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.__name__: q for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
