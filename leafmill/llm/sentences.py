@@ -10,7 +10,7 @@ text by their offsets, which restores every masked character.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +92,31 @@ def unit_spans(text: Column) -> Column:
             F.length(F.rtrim(p, F.lit(ALL_BLANKS))).alias("kept"),
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("spans"))
+    return _let(measured, lambda m: F.when(F.size(m) <= BLOCK, _block_spans(m, F.lit(0))).otherwise(_blockwise(m)))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blockwise(measured: Column) -> Column:
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(measured) - 1) / BLOCK).cast("int")), lambda b: F.slice(measured, b * BLOCK + 1, BLOCK))
+    sizes = lambda bl: F.transform(bl, lambda b: F.aggregate(b, F.lit(0), lambda n, p: n + p["n"]))
+    bases = lambda bl: F.aggregate(sizes(bl), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return _let(blocks, lambda bl: F.flatten(F.zip_with(bl, F.slice(bases(bl), F.lit(1), F.size(bl)), _block_spans)))
+
+
+#: Pieces whose offsets are summed in one fold. A fold copies its array at each step, so the pieces of a
+#: long text are folded in blocks, and the blocks' begins in a fold of their own.
+BLOCK = 256
+
+
+def _block_spans(block: Column, base: Column) -> Column:
+    """The spans of one block of measured pieces that begins at `base`."""
+    start = F.struct(base.alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("spans"))
     return F.aggregate(
-        measured,
+        block,
         start,
         lambda acc, p: F.struct(
             (acc["at"] + p["n"]).alias("at"),

@@ -28,7 +28,7 @@ def test_units(spark, text):
 
 
 def test_all_text_is_held(spark):
-    text = "".join(CASES) * 50
+    text = "".join(CASES) * 150
     rows = sentences(spark.createDataFrame([(1, text)], "id int, t string"), ["id"], "t").orderBy("sentence_no").collect()
     at = 0
     for r in rows:
