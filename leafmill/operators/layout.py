@@ -29,8 +29,12 @@ FOOTNOTE_PHRASES = r"参照|参考|出典|引用|See |Ref\.|Note:|Source:|注記
 
 
 def clean_words(words: DataFrame) -> DataFrame:
-    """Each word once, blank ones left out; repeated rows of a key are exact copies."""
-    return words.dropDuplicates(WORD).where(F.trim("text") != "")
+    """Each word once, blank ones left out; repeated rows of a key are exact copies.
+
+    Words are brought together by page first: that one exchange serves the
+    dropping of copies and every window and fold over pages behind it.
+    """
+    return words.where(F.trim("text") != "").repartition(*PAGE).dropDuplicates(WORD)
 
 
 def page_sizes(words: DataFrame) -> DataFrame:
