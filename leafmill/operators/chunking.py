@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +110,42 @@ def fitted(text: Column, max_tokens: int, edge: int = 500) -> Column:
 def memory_estimate(chars: Column, chunk: int) -> Column:
     """Bytes that a document of `chars` characters needs in chunks of `chunk`."""
     return (chars * 2 + F.greatest(F.lit(1), F.floor(chars / chunk)) * 1000) * 1.5
+
+
+def context_pieces(df: DataFrame, keys: list[str], text: str, most: int = 4000, overlap: int = 200) -> DataFrame:
+    """Texts in pieces of at most `most` characters: keys, piece_no, start_pos, end_pos.
+
+    A piece ends behind the last blank line of its last quarter, else behind the last sentence of
+    its last eighth, else hard; the next begins `overlap` before, but always further on. Each
+    end depends on the one before, so Arrow batches walk over the texts. Null texts have no piece.
+    """
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be under the size of a piece")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, t in enumerate(batch["_text"]):
+                start, n = 0, 0
+                while True:
+                    end = min(len(t), start + most)
+                    if end < len(t):
+                        blank, stop = t.rfind("\n\n", end - most // 4, end), t.rfind(". ", end - most // 8, end)
+                        found = blank + 2 if blank >= 0 else stop + 2 if stop >= 0 else end
+                        end = found if start < found <= end else end
+                    rows.append((i, n, start, end))
+                    if end >= len(t):
+                        break
+                    start, n = max(end - overlap, start + 1), n + 1
+            made = pd.DataFrame(rows, columns=["_row", "piece_no", "start_pos", "end_pos"]).astype("int32")
+            yield pd.concat([batch[keys].iloc[made["_row"]].reset_index(drop=True), made[["piece_no", "start_pos", "end_pos"]]], axis=1)
+
+    texts = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    return texts.mapInPandas(cut, f"{fields}, piece_no int, start_pos int, end_pos int")
+
+
+def processed(chunks: DataFrame, keys: list[str], process: Callable[[Column, Column], Column], size: int = 500) -> DataFrame:
+    """Each chunk's content through `process(content, context)`, the context being the end of the chunk before."""
+    before = F.coalesce(F.substring(F.lag("content").over(Window.partitionBy(*keys).orderBy("chunk_id")), -size, size), F.lit(""))
+    return chunks.select(*keys, "chunk_id", process(F.col("content"), before).alias("content"))

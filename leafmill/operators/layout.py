@@ -327,3 +327,33 @@ def gap_regularity(words: DataFrame, least: float = 15.0) -> DataFrame:
     edges = words.select(*PAGE, "x0").distinct()
     gaps = edges.withColumn("_gap", F.col("x0") - F.lag("x0").over(_in_page().orderBy("x0"))).where(F.col("_gap") > least)
     return gaps.groupBy(*PAGE).agg(F.count("*").alias("n_gaps"), (1 - F.stddev_samp("_gap") / F.avg("_gap")).alias("regularity")).where("n_gaps >= 2")
+
+
+# Words that begin a chemical formula.
+FORMULA_STARTS = ("H", "O", "C", "N", "Ca", "Na", "CO", "H2", "NH")
+
+
+def formulas(marked: DataFrame, gap: float = 5.0) -> DataFrame:
+    """Chemical formulas of each page: from a start word on while the next begins within `gap` and is a script or a letter word.
+
+    A word closes the formula before it if it can't go on; of one word alone there is no formula. `marked` has the columns of `scripts`.
+    """
+    form = F.when(F.col("is_superscript"), to_superscript(F.col("text"))).when(F.col("is_subscript"), to_subscript(F.col("text"))).otherwise(F.col("text"))
+    goes_on = F.col("is_superscript") | F.col("is_subscript") | F.col("text").rlike("^[A-Za-z]{1,2}$")
+    item = F.struct("top", "x0", "word_ix", "x1", form.alias("form"), goes_on.alias("on"), F.col("text").isin(*FORMULA_STARTS).alias("starts"))
+    ordered = marked.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("_w"))
+    start = F.struct(F.lit(None).cast("struct<text:string,x1:double,n:int,first:int>").alias("now"), F.array().cast("array<struct<text:string,first:int>>").alias("done"))
+
+    def step(acc: Column, w: Column) -> Column:
+        now = acc["now"]
+        extends = now.isNotNull() & w["on"] & (w["x0"] - now["x1"] <= gap) & (w["x0"] - now["x1"] >= -gap)
+        closed = F.when(now.isNotNull() & (now["n"] > 1), F.concat(acc["done"], F.array(F.struct(now["text"].alias("text"), now["first"].alias("first"))))).otherwise(acc["done"])
+        grown = F.struct(F.concat(now["text"], w["form"]).alias("text"), w["x1"].alias("x1"), (now["n"] + 1).alias("n"), now["first"].alias("first"))
+        opened = F.when(w["starts"], F.struct(w["form"].alias("text"), w["x1"].alias("x1"), F.lit(1).alias("n"), w["word_ix"].alias("first")))
+        return F.struct(F.when(extends, grown).otherwise(opened).alias("now"), F.when(extends, acc["done"]).otherwise(closed).alias("done"))
+
+    def finish(acc: Column) -> Column:
+        now = acc["now"]
+        return F.when(now.isNotNull() & (now["n"] > 1), F.concat(acc["done"], F.array(F.struct(now["text"].alias("text"), now["first"].alias("first"))))).otherwise(acc["done"])
+
+    return ordered.select(*PAGE, F.explode(F.aggregate("_w", start, step, finish)).alias("_f")).select(*PAGE, F.col("_f.first").alias("word_ix"), F.col("_f.text").alias("formula"))

@@ -166,3 +166,57 @@ def sidebars(words: DataFrame, sizes: DataFrame, share: float = 0.2, gap: float
         kept = grouped.where((F.col("n_words") >= least) & (F.col("gap") > gap))
         parts.append(kept.select(*page, F.lit(side).alias("side"), "n_words", F.array_join(F.transform("_w", lambda v: v["text"]), " ").alias("text")))
     return parts[0].unionByName(parts[1])
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    """The share of the smaller of two boxes that lies in the other; 0 for boxes without area."""
+    wide = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0))
+    high = F.greatest(F.least(a["bottom"], b["bottom"]) - F.greatest(a["top"], b["top"]), F.lit(0.0))
+    area = lambda r: (r["x1"] - r["x0"]) * (r["bottom"] - r["top"])
+    smaller = F.least(area(a), area(b))
+    return F.when(smaller > 0, wide * high / smaller).otherwise(0.0)
+
+
+def merge_methods(found: DataFrame, boost: float = 0.1) -> DataFrame:
+    """Tables of several methods (method, table_ix, box, confidence) as one list for each page.
+
+    In order of confidence a table that shares over half of the smaller area with a kept one is dropped; if
+    another method found it, the kept one gains `boost`, up to 1.
+    """
+    item = F.struct((-F.col("confidence")).alias("_minus"), "method", "table_ix", "x0", "top", "x1", "bottom")
+    ordered = found.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("_t"))
+    start = F.array().cast("array<struct<method:string,table_ix:int,x0:double,top:double,x1:double,bottom:double,confidence:double>>")
+
+    def step(acc: Column, t: Column) -> Column:
+        same = lambda k: shared_area(k, t) > 0.5
+        first = F.array_position(F.transform(acc, same), True)
+        fields = ("method", "table_ix", "x0", "top", "x1", "bottom")
+        grown = F.transform(acc, lambda k, i: F.struct(*(k[c].alias(c) for c in fields), F.when((i + 1 == first) & (k["method"] != t["method"]), F.least(F.lit(1.0), k["confidence"] + boost)).otherwise(k["confidence"]).alias("confidence")))
+        fresh = F.struct(*(t[c].alias(c) for c in fields), (-t["_minus"]).alias("confidence"))
+        return F.when(first > 0, grown).otherwise(F.concat(acc, F.array(fresh)))
+
+    return ordered.select("doc_id", "page", F.explode(F.aggregate("_t", start, step)).alias("_k")).select("doc_id", "page", "_k.*")
+
+
+def alignment_confidence(filled: Column) -> Column:
+    """Of a table found by aligned words: .6 and .3 of its filled share."""
+    return 0.6 + 0.3 * filled
+
+
+def whitespace_confidence(regularity: Column) -> Column:
+    """Of a table found by regular gaps: .7 and .2 of the regularity."""
+    return 0.7 + 0.2 * regularity
+
+
+def regions(tables: DataFrame, boxes_: DataFrame) -> DataFrame:
+    """Tables and boxes as one relation, told apart by region_type; what only one kind has is null for the other."""
+    return tables.withColumn("region_type", F.lit("table")).unionByName(boxes_.withColumn("region_type", F.lit("textbox")), allowMissingColumns=True)
+
+
+def pages_with_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
+    """Page texts with their tables' marked texts behind them, from the top down."""
+    block = marked_table(F.col("rows"), to_pipes(F.col("rows"), has_number_free_header(F.col("rows"))))
+    blocks = tables.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("top", "table_ix", block.alias("t")))).alias("_b"))
+    joined = texts.join(blocks, ["doc_id", "page"], "left")
+    added = F.concat(F.lit("\n\n"), F.array_join(F.transform("_b", lambda x: x["t"]), "\n\n"))
+    return joined.select("doc_id", "page", F.concat("page_text", F.coalesce(added, F.lit(""))).alias("page_text"))

@@ -306,3 +306,17 @@ def best_variant(variants: DataFrame, keys: list[str]) -> DataFrame:
     """The variant of the highest score; of a tie that of the earliest attempt."""
     rank = Window.partitionBy(*keys).orderBy(F.desc("score"), "attempt")
     return variants.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+
+
+def undefined_markers(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Star markers of each text that stand nowhere as a definition, that is before a colon or blank."""
+    found = df.where(F.length(text) > 0).select(*keys, text, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("\\*[0-9]+"), F.lit(0)))).alias("marker"))
+    defined = F.lit(False)
+    for sign in (":", "：", " ", "\n", "\t"):
+        defined = defined | F.col(text).contains(F.concat("marker", F.lit(sign)))
+    return found.where(~defined).select(*keys, "marker")
+
+
+def position_score(bottom_words: Column, text: Column) -> Column:
+    """.8 where a document has words at the bottom but no footnote marker in its text, else 1."""
+    return F.when((bottom_words > 0) & ~F.coalesce(text, F.lit("")).rlike("\\*[0-9]+|※[0-9]+|\\[[0-9]+\\]|[†‡]"), 0.8).otherwise(1.0)

@@ -11,6 +11,7 @@ from leafmill.operators import formatting as M
 from leafmill.operators import layout as L
 from leafmill.operators import reports as R
 from leafmill.operators import tables as T
+from leafmill.operators import textops as X
 from leafmill.plans.layout_queries import words
 from leafmill.sources.tables import read_table
 
@@ -63,6 +64,40 @@ def sidebars(spark: SparkSession, d: str) -> DataFrame:
     return T.sidebars(w, L.page_sizes(w), least=2, gap=5.0)
 
 
+def table_confidence(spark: SparkSession, d: str) -> DataFrame:
+    fill = T.fill_share(F.col("rows"))
+    return assembled(spark, d).select(*T.TABLE, F.round(T.alignment_confidence(fill), 6).alias("alignment_confidence"), F.round(T.whitespace_confidence(fill), 6).alias("whitespace_confidence"))
+
+
+def layout_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of regions by kind."""
+    return T.regions(assembled(spark, d).select(*T.TABLE), text_boxes(spark, d)).groupBy("region_type").agg(F.count("*").alias("n_regions"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+def tables_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Tables as two methods find them: by their cells, and, less surely, a little to the right."""
+    t = assembled(spark, d).select(*T.TABLE, "x0", "top", "x1", "bottom", "confidence")
+    other = t.withColumns({"x0": F.col("x0") + 5, "x1": F.col("x1") + 5, "confidence": F.col("confidence") * 0.9})
+    merged = T.merge_methods(t.withColumn("method", F.lit("lines")).unionByName(other.withColumn("method", F.lit("text"))))
+    return merged.select("doc_id", "page", "method", "table_ix", F.round("confidence", 6).alias("confidence"))
+
+
+def document_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Per page its tables' numbers in order."""
+    numbers = F.array_join(F.transform(F.array_sort(F.collect_list("table_ix")), lambda x: x.cast("string")), ",")
+    return assembled(spark, d).groupBy("doc_id", "page").agg(F.count("*").alias("n_tables"), numbers.alias("table_ixs"))
+
+
+def page_text_tables(spark: SparkSession, d: str) -> DataFrame:
+    texts = L.page_texts(L.line_texts(L.lines(L.columns(words(spark, d)))))
+    return T.pages_with_tables(texts, assembled(spark, d))
+
+
+def formulas(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d)
+    return L.formulas(L.scripts(w, L.trimmed_sizes(w)), 40.0)
+
+
 # ---- footnotes
 
 
@@ -195,6 +230,28 @@ def consensus_footnotes(spark: SparkSession, d: str) -> DataFrame:
     return R.consensus(R.consensus_pairs(f, ["doc_id", "marker"]), f, ["doc_id", "marker"]).withColumn("consensus_score", F.round("consensus_score", 6))
 
 
+def element_check(spark: SparkSession, d: str) -> DataFrame:
+    """Words laid out against words extracted, of each document."""
+    w = words(spark, d).groupBy("doc_id").agg(F.count("*").alias("expected"))
+    ratio, verdict = X.element_check(F.col("expected"), F.coalesce("word_count", F.lit(0)))
+    return w.join(results(spark, d), "doc_id").select("doc_id", F.round(ratio, 6).alias("ratio"), verdict.alias("verdict"))
+
+
+def position_check(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d)
+    bottom = L.inventory(w, L.page_sizes(w)).groupBy("doc_id").agg(F.sum("bottom_region").alias("n_bottom"))
+    return bottom.join(results(spark, d), "doc_id").select("doc_id", X.position_score(F.col("n_bottom"), F.col("raw_text")).alias("position_score"))
+
+
+def undefined_markers(spark: SparkSession, d: str) -> DataFrame:
+    return X.undefined_markers(results(spark, d), DOC, "raw_text")
+
+
+def latest_results(spark: SparkSession, d: str) -> DataFrame:
+    """The delivery of each document that was loaded last."""
+    return results(spark, d).select("doc_id", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss").alias("loaded_at"), "success")
+
+
 # ---- chunks
 
 
@@ -252,6 +309,10 @@ def context_fit(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", C.estimated_tokens(F.col("raw_text")).cast("long").alias("n_tokens"), C.fitted(F.col("raw_text"), 500).alias("fitted_text"), C.memory_estimate(F.length("raw_text"), 5000).cast("double").alias("memory_bytes"))
 
 
+def context_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return C.context_pieces(results(spark, d), DOC, "raw_text")
+
+
 # ---- formatted output
 
 
@@ -290,9 +351,9 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    tables_assembled, tables_valid, table_headers, table_texts, tables_kept, grid_cells, text_boxes, sidebars, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
-    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, consensus_base, consensus_footnotes,
-    chunks_by_characters, chunks_by_words, chunks_by_pages, section_starts, section_counts, chunk_overlaps, page_chunks, chunk_pages, reassemble, chunk_context, context_fit,
+    tables_assembled, tables_valid, table_headers, table_texts, tables_kept, table_confidence, layout_summary, tables_merged, document_tables, page_text_tables, formulas, grid_cells, text_boxes, sidebars, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
+    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_footnotes,
+    chunks_by_characters, chunks_by_words, chunks_by_pages, section_starts, section_counts, chunk_overlaps, page_chunks, chunk_pages, reassemble, chunk_context, context_fit, context_pieces,
     format_pages, format_headers, format_round_trip, flag_boxes, flag_prompts, durations,
 ]
 
@@ -353,6 +414,17 @@ ORACLES = {
             list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |') AS md FROM wd)
         SELECT doc_id, page, table_ix, array_to_string(list_concat(list_concat(md[1:1], ['|' || repeat(' --- |', n_cols)]), md[2:]), chr(10)) AS markdown,
             '[TABLE: ' || n_rows || 'x' || n_cols || ']' || chr(10) || array_to_string(CASE WHEN hd THEN list_concat(list_concat(body[1:1], [array_to_string(list_transform(ws, lambda k: repeat('-', k)), '-+-')]), body[2:]) ELSE body END, chr(10)) || chr(10) || '[TABLE END]' AS pipes FROM ln""",
+    "table_confidence": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(0.6 + 0.3 * len(filled) / len(flatten(rows)), 6) AS alignment_confidence, round(0.7 + 0.2 * len(filled) / len(flatten(rows)), 6) AS whitespace_confidence FROM t",
+    "layout_summary": f"""WITH {WORDS}, {CELLS}, h AS (SELECT DISTINCT t.doc_id, t.page, t.table_ix FROM t JOIN w ON w.doc_id = t.doc_id AND w.page = t.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 AND t.x1 AND (w.top + w.bottom) / 2 BETWEEN t.top AND t.bottom WHERE t.x1 - t.x0 >= 50 AND t.bottom - t.top >= 20),
+        rg AS (SELECT doc_id, 'table' AS region_type FROM t UNION ALL SELECT doc_id, 'textbox' FROM h) SELECT region_type, count(*) AS n_regions, count(DISTINCT doc_id) AS n_docs FROM rg GROUP BY region_type""",
+    "document_tables": f"WITH {CELLS} SELECT doc_id, page, count(*) AS n_tables, string_agg(table_ix::VARCHAR, ',' ORDER BY table_ix) AS table_ixs FROM t GROUP BY ALL",
+    "element_check": f"""WITH {WORDS}, {RESULTS}, e AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), q AS (SELECT doc_id, coalesce(word_count, 0) / n AS ratio FROM e JOIN r USING (doc_id))
+        SELECT doc_id, round(least(ratio, 1.0), 6) AS ratio, CASE WHEN ratio < 0.5 THEN 'issue' WHEN ratio < 0.7 OR ratio > 1.5 THEN 'warning' ELSE 'ok' END AS verdict FROM q""",
+    "position_check": f"""WITH {WORDS}, {RESULTS}, b AS (SELECT doc_id, count(*) FILTER (top > 0.85 * page_height) AS n FROM w JOIN z USING (doc_id, page) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN n > 0 AND NOT regexp_matches(coalesce(raw_text, ''), '\\*[0-9]+|※[0-9]+|\\[[0-9]+\\]|[†‡]') THEN 0.8 ELSE 1.0 END::DOUBLE AS position_score FROM b JOIN r USING (doc_id)""",
+    "undefined_markers": f"""WITH {RESULTS}, m AS (SELECT doc_id, raw_text, unnest(list_distinct(regexp_extract_all(raw_text, '\\*[0-9]+'))) AS marker FROM r WHERE length(raw_text) > 0)
+        SELECT doc_id, marker FROM m WHERE NOT (contains(raw_text, marker || ':') OR contains(raw_text, marker || '：') OR contains(raw_text, marker || ' ') OR contains(raw_text, marker || chr(10)) OR contains(raw_text, marker || chr(9)))""",
+    "latest_results": f"WITH {RESULTS} SELECT doc_id, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at, success FROM r",
     "text_boxes": f"""WITH {WORDS}, {CELLS}, h AS (SELECT t.doc_id, t.page, t.table_ix AS rect_ix, string_agg(w.text, ' ' ORDER BY word_ix) AS text FROM t JOIN w ON w.doc_id = t.doc_id AND w.page = t.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 AND t.x1 AND (w.top + w.bottom) / 2 BETWEEN t.top AND t.bottom WHERE t.x1 - t.x0 >= 50 AND t.bottom - t.top >= 20 GROUP BY ALL)
         SELECT *, CASE WHEN regexp_matches(lower(text), 'warning|警告|caution|注意|danger|危険') THEN 'warning' WHEN regexp_matches(lower(text), 'note|注|info|情報|tip|hint') THEN 'note' WHEN regexp_matches(lower(text), 'example|例|sample|サンプル') THEN 'example' ELSE 'generic' END AS box_type FROM h""",
     "footnote_markers": f"WITH {WORDS}, {MARKS} SELECT doc_id, page, word_ix, marker, context FROM mk",

@@ -88,3 +88,11 @@ def test_empty_pages(spark):
     w = page(spark, ("x", 0.0, 0.0, 1.0, 1.0)).limit(0)
     for df in (L.columns(w), L.bands(w), L.attach_scripts(w), L.trimmed_sizes(w), L.overlap_pairs(w), L.gap_regularity(w)):
         assert df.collect() == []
+
+
+def test_formulas(spark):
+    words = [("H", 10.0, 100.0, 16.0, 110.0, False), ("2", 17.0, 104.0, 20.0, 109.0, True), ("O", 21.0, 100.0, 27.0, 110.0, False), ("falls", 40.0, 100.0, 60.0, 110.0, False), ("C", 70.0, 100.0, 76.0, 110.0, False)]
+    rows = [(1, 1, i, t, a, b, c, d, False, low) for i, (t, a, b, c, d, low) in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, word_ix int, text string, x0 double, top double, x1 double, bottom double, is_superscript boolean, is_subscript boolean")
+    same_line = df.selectExpr("*", "100.0D AS _t").drop("top").withColumnRenamed("_t", "top")
+    assert [(r.word_ix, r.formula) for r in L.formulas(same_line).collect()] == [(0, "H₂O")]

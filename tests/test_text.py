@@ -126,3 +126,35 @@ def test_greedy_tables(spark):
     box = lambda i, x, c: (1, 1, i, x, 0.0, x + 10, 10.0, c)
     df = spark.createDataFrame([box(0, 0.0, 0.9), box(1, 10.0, 0.95), box(2, 21.0, 0.5), box(3, 25.0, 0.5)], "doc_id int, page int, table_ix int, x0 double, top double, x1 double, bottom double, confidence double")
     assert sorted(r.table_ix for r in T.keep_surest(df).collect()) == [1, 2]
+
+
+def test_merged_methods(spark):
+    rows = [(1, 1, "lines", 0, 0.0, 0.0, 10.0, 10.0, 0.8), (1, 1, "text", 0, 1.0, 0.0, 11.0, 10.0, 0.7), (1, 1, "text", 1, 6.0, 0.0, 16.0, 10.0, 0.6), (1, 1, "lines", 1, 0.0, 0.0, 9.0, 10.0, 0.5)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, method string, table_ix int, x0 double, top double, x1 double, bottom double, confidence double")
+    got = sorted((r.method, r.table_ix, round(r.confidence, 6)) for r in T.merge_methods(df).collect())
+    assert got == [("lines", 0, 0.9), ("text", 1, 0.6)]
+
+
+def test_context_pieces(spark):
+    text = ("word " * 30 + "end. ") * 12 + "\n\n" + "x" * 900
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "d int, text string")
+    rows = C.context_pieces(df, ["d"], "text", 400, 50).orderBy("d", "piece_no").collect()
+    spans = [(r.start_pos, r.end_pos) for r in rows if r.d == 1]
+    assert spans[0][0] == 0 and spans[-1][1] == len(text)
+    assert all(b - a <= 400 for a, b in spans) and all(c < b and c > a for (a, b), (c, _) in zip(spans, spans[1:]))
+    assert [(r.d, r.start_pos, r.end_pos) for r in rows if r.d != 1] == [(2, 0, 0)]
+
+
+def test_processed_with_context(spark):
+    chunks = spark.createDataFrame([(1, 0, "abc"), (1, 1, "def")], "d int, chunk_id int, content string")
+    assert [r.content for r in C.processed(chunks, ["d"], lambda c, before: F.concat(before, F.lit(">"), c), 2).orderBy("chunk_id").collect()] == [">abc", "bc>def"]
+
+
+def test_settings():
+    from leafmill.settings import PROFILES, Settings
+
+    assert PROFILES["optimized"].column_gap == 40
+    with pytest.raises(ValueError):
+        Settings(overlap=6000)
+    with pytest.raises(ValueError):
+        Settings(bottom_margin=0.6)
