@@ -15,7 +15,7 @@ into a third of all rows loads no task more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,43 @@ def _met(order_keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarr
     return order, (heads != d[ends])[group], d == heads[group]
 
 
-ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("sure", T.LongType())])
-SPANS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tail", T.LongType()), T.StructField("sure_end", T.IntegerType())])
+ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType())])
+SPANS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tail", T.LongType())])
+#: An anchor's hash is even; that of a sure row, which met another in its task, is made odd.
+SURE_ANCHOR = np.int64(1)
+#: A span's tail holds 32 bits of its second hash and its start; a sure span's tail its end, this bit, and its start.
+SURE_SPAN = np.int64(1 << 31)
+
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def _groups_of_several(batches: Iterator[pa.RecordBatch], keys: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of sorted rows with a mask of those whose group, rows of equal keys, has more than one doc.
+
+    The last group of a batch is held back until it ends. A group has one row for each
+    flush of a task at most, however many rows of the input it stands for.
+    """
+    held: pa.RecordBatch | None = None
+
+    def mask(rows: pa.RecordBatch) -> tuple[np.ndarray, int]:
+        docs = rows.column("doc").to_numpy()
+        first = np.ones(len(docs), bool)
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys(rows)])
+        at = np.flatnonzero(first)
+        ends = np.append(at[1:], len(docs)) - 1
+        return (docs[at] != docs[ends])[np.cumsum(first) - 1], int(at[-1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        several, last = mask(rows)
+        held = rows.slice(last)
+        yield rows.slice(0, last), several[:last]
+    if held is not None and held.num_rows:
+        yield held, mask(held)[0]
 
 
 def _anchors(length: int):
@@ -107,16 +142,14 @@ def _anchors(length: int):
             fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(d[order]) != 0)
             # In the order of rows, in which the ids next to each other compress.
             one, sure = np.sort(order[first & fresh]), np.sort(order[shared & fresh])
-            key = np.concatenate([h[one], mixed(d[sure].view(np.uint64))]).view(np.int64)
-            real = pa.array(np.concatenate([np.zeros(len(one), np.int64), h[sure].view(np.int64)]), mask=np.concatenate([np.ones(len(one), bool), np.zeros(len(sure), bool)]))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([d[one], d[sure]])), real], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("sure", pa.int64())]))
+            return _batch(h=np.concatenate([h[one], h[sure] | SURE_ANCHOR]), doc=np.concatenate([d[one], d[sure]]))
 
         hashes, docs, held = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):
                 points = code_points(text.as_py())
                 starts = anchor_starts(len(points), width)
-                hashes.append(hasher.at(points, starts, width))
+                hashes.append(hasher.at(points, starts, width).view(np.int64) & ~SURE_ANCHOR)
                 docs.append(np.full(len(starts), doc, np.int64))
                 held += len(starts)
                 if held >= ROWS_AT_ONCE:
@@ -128,6 +161,28 @@ def _anchors(length: int):
     return run
 
 
+def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, h) of sorted anchors that two docs share."""
+    for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy(),)):
+        h, doc = rows.column("h").to_numpy(), rows.column("doc").to_numpy()
+        kept = several | ((h & SURE_ANCHOR) != 0)
+        yield _batch(doc=doc[kept], h=h[kept] & ~SURE_ANCHOR)
+
+
+def _shared_spans(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc, a, b) of sorted spans that two docs share."""
+        for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy(), r.column("tail").to_numpy() >> 32)):
+            doc, tail = rows.column("doc").to_numpy(), rows.column("tail").to_numpy()
+            sure = (tail & SURE_SPAN) != 0
+            kept = several | sure
+            start = tail & (SURE_SPAN - 1)
+            end = np.where(sure, tail >> 32, start + length)
+            yield _batch(doc=doc[kept], a=start[kept].astype(np.int32), b=end[kept].astype(np.int32))
+
+    return run
+
+
 def _candidate_spans(length: int):
     width = length - PERIOD + 1
 
@@ -145,9 +200,9 @@ def _candidate_spans(length: int):
             lo = np.flatnonzero(opens)
             hi = np.append(lo[1:], len(sd)) - 1 if len(sd) else lo
             key = np.concatenate([h1[first], mixed(sd[lo].view(np.uint64))]).view(np.int64)
-            tail = np.concatenate([((h2[first] & np.uint64(0xFFFFFFFF00000000)) | p[first].astype(np.uint64)).view(np.int64), sp[lo]])
-            end = pa.array(np.concatenate([np.zeros(len(first), np.int32), (sp[hi] + length).astype(np.int32)]), mask=np.concatenate([np.ones(len(first), bool), np.zeros(len(lo), bool)]))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([d[first], sd[lo]])), pa.array(tail), end], schema=pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tail", pa.int64()), ("sure_end", pa.int32())]))
+            found = (h2[first] & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | p[first]
+            tail = np.concatenate([found, ((sp[hi] + length) << 32) | SURE_SPAN | sp[lo]])
+            return _batch(h=key, doc=np.concatenate([d[first], sd[lo]]), tail=tail)
 
         parts, held = [], 0
         for batch in batches:
@@ -155,7 +210,7 @@ def _candidate_spans(length: int):
                 points = code_points(text.as_py())
                 n = len(points)
                 starts = anchor_starts(n, width)
-                found = starts[np.isin(hashers[0].at(points, starts, width).view(np.int64), wanted.values.to_numpy())]
+                found = starts[np.isin(hashers[0].at(points, starts, width).view(np.int64) & ~SURE_ANCHOR, wanted.values.to_numpy())]
                 marks = np.zeros(n + 2, np.int32)
                 np.add.at(marks, np.maximum(found - (length - width), 0), 1)
                 np.add.at(marks, np.minimum(found, n - length) + 1, -1)
@@ -195,17 +250,13 @@ def shared_runs(df: DataFrame, key: str, text: str, length: int = 200) -> DataFr
         raise ValueError(f"length must be at least {2 * PERIOD}")
     name = f"{key}_key" if key in ("start_pos", "end_pos") else key
     rows = df.select(df[key].cast("long").alias("_doc"), df[text].alias("_text")).where((F.length("_text") >= length) & F.col("_doc").isNotNull())
-    of_hash = Window.partitionBy("h")
-    anchors = rows.mapInArrow(_anchors(length), ANCHORS)
-    looked_up = anchors.select("*", F.min("doc").over(of_hash).alias("lo"), F.max("doc").over(of_hash).alias("hi"))
-    met = looked_up.where("sure IS NOT NULL OR lo <> hi").select("doc", F.coalesce("sure", "h").alias("h"))
+    place = F.when(F.col("h").bitwiseAND(int(SURE_ANCHOR)) != 0, F.col("doc")).otherwise(F.col("h"))
+    anchors = rows.mapInArrow(_anchors(length), ANCHORS).repartition(place).sortWithinPartitions("h", "doc")
+    met = anchors.mapInArrow(_shared_anchors, "doc long, h long")
     wanted = cut_lineage(met.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_hashes")))
     # A row of `wanted` holds at most a ninth as many hashes as its text has characters.
     small = wanted.agg(F.sum(F.size("_hashes"))).first()[0] or 0
     candidates = rows.join(F.broadcast(wanted) if small <= BROADCAST_ROWS else wanted, "_doc")
-    of_span = Window.partitionBy("h", F.shiftright("tail", 32))
-    spans = candidates.mapInArrow(_candidate_spans(length), SPANS)
-    verified = spans.select("*", F.min("doc").over(of_span).alias("lo"), F.max("doc").over(of_span).alias("hi")).where("sure_end IS NOT NULL OR lo <> hi")
-    start = F.when(F.col("sure_end").isNotNull(), F.col("tail")).otherwise(F.col("tail").bitwiseAND(0xFFFFFFFF)).cast("int")
-    found = verified.select("doc", start.alias("a"), F.coalesce(F.col("sure_end"), start + length).alias("b"))
+    spans = candidates.mapInArrow(_candidate_spans(length), SPANS).repartition("h").sortWithinPartitions("h", F.shiftright("tail", 32), "doc")
+    found = spans.mapInArrow(_shared_spans(length), "doc long, a int, b int")
     return _runs(found).select(F.col("doc").alias(name), "start_pos", "end_pos")
