@@ -154,6 +154,8 @@ def body_tokens(pages: Sequence[str | None], labels: list[list[int]], broken: li
             if states[i] != BODY:
                 continue
             line = line.strip()
+            if len(line) >= 30 and line.isascii() and " " not in line:  # printed data, not words
+                continue
             after = goes_on.get((p, i))
             if after:
                 line = line[:-1]
