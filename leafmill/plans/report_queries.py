@@ -213,7 +213,7 @@ def extraction_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def engines(spark: SparkSession, d: str) -> DataFrame:
     """Three readings of each document: as delivered, without line feeds, and its chunks joined."""
-    r = results(spark, d).where("raw_text IS NOT NULL").select("doc_id", F.substring("raw_text", 1, 100000).alias("raw_text"))
+    r = results(spark, d).where("raw_text IS NOT NULL").select("doc_id", "raw_text")
     chunks = C.reassembled(clean_chunks(spark, d), DOC).select("doc_id", F.lit("chunks").alias("engine"), F.col("full_text").alias("text"))
     return r.select("doc_id", F.lit("raw").alias("engine"), F.col("raw_text").alias("text")).unionByName(r.select("doc_id", F.lit("flat").alias("engine"), F.regexp_replace("raw_text", "\n", " ").alias("text"))).unionByName(chunks)
 
@@ -224,10 +224,12 @@ def consensus_base(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("doc_id").agg(F.min(F.struct((-F.length("text")).alias("_n"), "engine"))["engine"].alias("base_engine"), F.count("*").alias("n_engines"))
 
 
-def consensus_footnotes(spark: SparkSession, d: str) -> DataFrame:
-    """Exact similarity of footnotes of one document and marker, as readings of each other."""
-    f = definitions(spark, d).where("text IS NOT NULL").select("doc_id", N.normal_marker(F.col("marker")).alias("marker"), F.col("footnote_id").cast("string").alias("engine"), "text")
-    return R.consensus(R.consensus_pairs(f, ["doc_id", "marker"]), f, ["doc_id", "marker"]).withColumn("consensus_score", F.round("consensus_score", 6))
+def consensus_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Exact similarity of three readings of each page: as delivered, cleaned up, and without invented passages."""
+    text = F.col("text")
+    readings = F.array(*(F.struct(F.lit(name).alias("engine"), made.alias("text")) for name, made in (("raw", text), ("clean", X.cleanup(text)), ("plain", X.without_invented(text)))))
+    engines = result_pages(spark, d).where("text IS NOT NULL").select("doc_id", "page", F.explode(readings).alias("_r")).select("doc_id", "page", "_r.*")
+    return R.consensus(R.consensus_pairs(engines, ["doc_id", "page"]), engines, ["doc_id", "page"]).withColumn("consensus_score", F.round("consensus_score", 6))
 
 
 def element_check(spark: SparkSession, d: str) -> DataFrame:
@@ -352,7 +354,7 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     tables_assembled, tables_valid, table_headers, table_texts, tables_kept, table_confidence, layout_summary, tables_merged, document_tables, page_text_tables, formulas, grid_cells, text_boxes, sidebars, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
-    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_footnotes,
+    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_pages,
     chunks_by_characters, chunks_by_words, chunks_by_pages, section_starts, section_counts, chunk_overlaps, page_chunks, chunk_pages, reassemble, chunk_context, context_fit, context_pieces,
     format_pages, format_headers, format_round_trip, flag_boxes, flag_prompts, durations,
 ]
@@ -452,7 +454,7 @@ ORACLES = {
     "batch_issues": f"WITH {RESULTS}, i AS (SELECT doc_id, filename, CASE WHEN NOT success THEN 'failed' WHEN score < 60 THEN 'low_quality' WHEN confidence < 0.5 THEN 'low_confidence' END AS issue FROM r) SELECT *, CASE WHEN issue = 'low_confidence' THEN 'medium' ELSE 'high' END AS severity FROM i WHERE issue IS NOT NULL",
     "batch_table": f"WITH {RESULTS} SELECT filename, format('{{:.1f}}', score) AS score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'ok' ELSE 'bad' END AS css, coalesce(word_count, 0) AS words FROM r",
     "extraction_confidence": f"WITH {RESULTS} SELECT doc_id, round(0.5 * coalesce(score, 0) / 100 + 0.3 + 0.2 * (100 * confidence) / 100, 6) AS extraction_confidence FROM r",
-    "consensus_base": f"""WITH {RESULTS}, {REASSEMBLED}, en AS (SELECT doc_id, 'raw' AS engine, length(substr(raw_text, 1, 100000)) AS n FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'flat', length(substr(raw_text, 1, 100000)) FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'chunks', length(full_text) FROM ra)
+    "consensus_base": f"""WITH {RESULTS}, {REASSEMBLED}, en AS (SELECT doc_id, 'raw' AS engine, length(raw_text) AS n FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'flat', length(raw_text) FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'chunks', length(full_text) FROM ra)
         SELECT doc_id, arg_min(engine, (-n, engine)) AS base_engine, count(*) AS n_engines FROM en GROUP BY doc_id""",
     "chunks_by_characters": packed_sql("length(text)", 2, 5000, 1000),
     "chunks_by_words": packed_sql("len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> ''))", 0, 600, 100),
