@@ -123,14 +123,11 @@ def issue_spans(df: DataFrame, keys: list[str], text: str, patterns: list[tuple[
     Positions come from the lengths between the matches, so no UDF is needed: the text is split at the
     pattern, and the running lengths of pieces and matches give the offsets.
     """
-    scans = F.array(
-        *(
-            F.struct(F.lit(name).alias("issue_type"), F.lit(k).alias("pattern_no"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found"), F.transform(F.split(F.col(text), p, -1), F.length).alias("between"))
-            for k, (name, p) in enumerate(patterns)
-        )
-    )
-    each = df.where(F.length(text) > 0).select(*keys, text, F.explode(scans).alias("_s")).where(F.size("_s.found") > 0)
-    spots = each.select(*keys, text, "_s.issue_type", "_s.pattern_no", F.col("_s.between").alias("_between"), F.col("_s.found").alias("_found"), F.posexplode("_s.found").alias("_k", "original_text"))
+    scans = F.array(*(F.struct(F.lit(name).alias("issue_type"), F.lit(k).alias("pattern_no"), F.lit(p).alias("pattern"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found")) for k, (name, p) in enumerate(patterns)))
+    each = df.where(F.length(text) > 0).select(*keys, text, F.explode(F.filter(scans, lambda s: F.size(s["found"]) > 0)).alias("_s"))
+    # Only texts that have a match are split.
+    measured = each.withColumn("_between", F.transform(F.split(F.col(text), F.col("_s.pattern"), -1), F.length))
+    spots = measured.select(*keys, text, "_s.issue_type", "_s.pattern_no", "_between", F.col("_s.found").alias("_found"), F.posexplode("_s.found").alias("_k", "original_text"))
     before = F.aggregate(F.slice("_between", 1, F.col("_k") + 1), F.lit(0), lambda a, x: a + x)
     matched = F.aggregate(F.slice("_found", 1, F.col("_k")), F.lit(0), lambda a, x: a + F.length(x))
     placed = spots.withColumn("position", before + matched)

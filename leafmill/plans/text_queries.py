@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import textops as X
-from leafmill.sources.tables import read_table
+from leafmill.sources.tables import read_table, spread
 
 DOC = ["doc_id"]
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents")
+    return spread(read_table(spark, d, "documents"))
 
 
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
