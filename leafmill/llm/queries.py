@@ -17,7 +17,7 @@ from leafmill.llm.scan_noise import continuous_text, scan_noise
 from leafmill.llm.sentences import sentences
 from leafmill.llm.shared_spans import shared_runs
 from leafmill.llm.splitting import split_oversized
-from leafmill.sources.tables import read_table
+from leafmill.sources.tables import read_table, spread
 
 CHUNK = ["doc_id", "chunk_id"]
 VOCABULARY = os.environ.get("LEAFMILL_TOKENIZERS", TOKENIZERS) + "/byte_bpe_50k.tiktoken"
@@ -28,7 +28,7 @@ def chunks_with_strategy(spark: SparkSession, folder: str) -> DataFrame:
 
     chunking_strategies is a settings table of a fixed handful of rows, so its broadcast is bounded.
     """
-    chunks = read_table(spark, folder, "chunks").select("doc_id", "chunk_id", F.coalesce("strategy_id", F.lit(1)).alias("strategy_id"), "content")
+    chunks = spread(read_table(spark, folder, "chunks")).select("doc_id", "chunk_id", F.coalesce("strategy_id", F.lit(1)).alias("strategy_id"), "content")
     settings = read_table(spark, folder, "chunking_strategies").select("strategy_id", "max_chunk_size", "overlap_size", "chunk_by")
     return chunks.join(F.broadcast(settings), "strategy_id")
 
@@ -42,24 +42,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every raw_text and every content."""
     chunks = read_table(spark, folder, "chunks").dropDuplicates(CHUNK)
-    results = read_table(spark, folder, "extraction_results").select("doc_id", F.lit(None).cast("int").alias("chunk_id"), F.col("raw_text").alias("content")).dropDuplicates(["doc_id"])
+    results = spread(read_table(spark, folder, "extraction_results")).select("doc_id", F.lit(None).cast("int").alias("chunk_id"), F.col("raw_text").alias("content")).dropDuplicates(["doc_id"])
     return sentences(chunks.select(*CHUNK, "content").unionByName(results), CHUNK, "content")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in whose raw_text at least half of the characters stand outside of sentences."""
-    measured = text_statistics(read_table(spark, folder, "extraction_results"), ["doc_id"], "raw_text", with_common=False)
+    measured = text_statistics(spread(read_table(spark, folder, "extraction_results")), ["doc_id"], "raw_text", with_common=False)
     return measured.where("verdict = 'not prose'").select("doc_id").distinct()
 
 
 def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the verdict of every raw_text."""
-    return text_statistics(read_table(spark, folder, "extraction_results").dropDuplicates(["doc_id"]), ["doc_id"], "raw_text")
+    return text_statistics(spread(read_table(spark, folder, "extraction_results")).dropDuplicates(["doc_id"]), ["doc_id"], "raw_text")
 
 
 def result_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of extraction_results as (doc_id, page_number, page), numbered from 1."""
-    pages = read_table(spark, folder, "extraction_results").select("doc_id", F.posexplode("pages").alias("_at", "page"))
+    pages = spread(read_table(spark, folder, "extraction_results")).select("doc_id", F.posexplode("pages").alias("_at", "page"))
     return pages.select("doc_id", (F.col("_at") + 1).alias("page_number"), "page")
 
 
@@ -70,13 +70,13 @@ def scanned_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Noisy lines of scanned documents."""
-    lines = scan_noise(read_table(spark, folder, "extraction_results"), "doc_id", "pages", scanned_documents(spark, folder))
+    lines = scan_noise(spread(read_table(spark, folder, "extraction_results")), "doc_id", "pages", scanned_documents(spark, folder))
     return lines.withColumnsRenamed({"doc": "doc_id", "page": "page_number", "line": "line_no"})
 
 
 def p3_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Scanned documents as continuous paragraphs."""
-    return continuous_text(read_table(spark, folder, "extraction_results"), "doc_id", "pages", scanned_documents(spark, folder)).withColumnRenamed("doc", "doc_id")
+    return continuous_text(spread(read_table(spark, folder, "extraction_results")), "doc_id", "pages", scanned_documents(spark, folder)).withColumnRenamed("doc", "doc_id")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +94,7 @@ def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
 def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
     """Cells, footnotes and documents as (src, item_id, text)."""
     entries = [("cell", "table_cells", "cell_id", "text"), ("footnote", "footnote_definitions", "footnote_id", "text"), ("document", "extraction_results", "doc_id", "raw_text")]
-    parts = [read_table(spark, folder, table).select(F.lit(src).alias("src"), F.col(item).alias("item_id"), F.col(text).alias("text")) for src, table, item, text in entries]
+    parts = [spread(read_table(spark, folder, table)).select(F.lit(src).alias("src"), F.col(item).alias("item_id"), F.col(text).alias("text")) for src, table, item, text in entries]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -126,12 +126,12 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return token_ids(read_table(spark, folder, "documents"), ["doc_id"], "text", VOCABULARY)
+    return token_ids(spread(read_table(spark, folder, "documents")), ["doc_id"], "text", VOCABULARY)
 
 
 def mixed_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The mix of documents by mix_targets, sized in tokens, and its shares."""
-    documents, targets = read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets")
+    documents, targets = spread(read_table(spark, folder, "documents")), read_table(spark, folder, "mix_targets")
     sized = token_counts(documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), ["doc_id", "source"], "text", VOCABULARY)
     return mix(sized, targets, "doc_id", "source", "n_tokens")
 
@@ -148,13 +148,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal runs of positions shared with another document."""
-    return shared_runs(read_table(spark, folder, "documents"), "doc_id", "text", 200)
+    return shared_runs(spread(read_table(spark, folder, "documents")), "doc_id", "text", 200)
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Of every document, how many of its code points are shared, and their share of the text (null for an empty text)."""
     shared = p9_found(spark, folder).groupBy("doc_id").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("n_shared"))
-    sizes = read_table(spark, folder, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"))
+    sizes = spread(read_table(spark, folder, "documents")).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_points"))
     n = F.coalesce("n_shared", F.lit(0))
     return sizes.join(shared, "doc_id", "left").select("doc_id", "n_points", n.alias("n_shared"), (n / F.nullif("n_points", F.lit(0))).alias("share"))
 
