@@ -293,10 +293,11 @@ def scan_noise(docs: DataFrame, doc: str, pages: str, scanned: DataFrame) -> Dat
     chosen = chosen.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "_doc", "left_semi")
     lines = chosen.mapInArrow(_scan_lines(trained_model(chosen, "_doc", "_pages")), LINES)
     words = cut_lineage(misread_words(docs, pages))
-    tokens = lines.where("noise IS NULL").join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word")
-    later = (F.col("cut") >= 0) & (F.col("at") >= F.col("cut"))
-    misread = tokens.select("doc", F.when(later, F.col("next_page")).otherwise(F.col("page")).alias("page"), F.when(later, F.col("next_line")).otherwise(F.col("line")).alias("line"), F.lit("misread").alias("noise"))
-    return lines.where("noise IS NOT NULL").select("doc", "page", "line", "noise").unionByName(misread).distinct()
+    # One pass over the lines: labels go through the join as they are, tokens are kept where they meet a misreading.
+    joined = lines.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word", "left").where("noise IS NOT NULL OR at IS NOT NULL")
+    later = F.coalesce((F.col("cut") >= 0) & (F.col("at") >= F.col("cut")), F.lit(False))
+    place = lambda c: F.when(later, F.col(f"next_{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select("doc", place("page"), place("line"), F.coalesce("noise", F.lit("misread")).alias("noise")).distinct()
 
 
 def continuous_text(docs: DataFrame, doc: str, pages: str, scanned: DataFrame) -> DataFrame:
