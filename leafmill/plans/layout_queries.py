@@ -13,9 +13,9 @@ SIZES_SQL = """z AS (SELECT doc_id, page, max(x1) AS width, max(bottom) AS page_
 JP = "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]"
 LINED_SQL = """
     c0 AS (SELECT *, CASE WHEN x0 - lag(x1) OVER o > 50 THEN 1 ELSE 0 END AS nc FROM w WINDOW o AS (PARTITION BY doc_id, page ORDER BY x0, word_ix)),
-    c AS (SELECT *, sum(nc) OVER (PARTITION BY doc_id, page ORDER BY x0, word_ix ROWS UNBOUNDED PRECEDING) AS column_no FROM c0),
+    c AS (SELECT *, sum(nc) OVER (PARTITION BY doc_id, page ORDER BY x0, word_ix ROWS UNBOUNDED PRECEDING)::BIGINT AS column_no FROM c0),
     l0 AS (SELECT *, CASE WHEN abs(top - lag(top) OVER o) >= 15 THEN 1 ELSE 0 END AS nl FROM c WINDOW o AS (PARTITION BY doc_id, page, column_no ORDER BY top, x0, word_ix)),
-    l AS (SELECT *, sum(nl) OVER (PARTITION BY doc_id, page, column_no ORDER BY top, x0, word_ix ROWS UNBOUNDED PRECEDING) AS line_no FROM l0)"""
+    l AS (SELECT *, sum(nl) OVER (PARTITION BY doc_id, page, column_no ORDER BY top, x0, word_ix ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no FROM l0)"""
 SPACED_SQL = f"""
     s0 AS (SELECT *, lag(text) OVER o AS pt, x0 - lag(x1) OVER o AS gap FROM l WINDOW o AS (PARTITION BY doc_id, page, column_no, line_no ORDER BY x0, word_ix)),
     s AS (SELECT *, CASE WHEN gap IS NULL OR gap < 2 THEN false
@@ -210,7 +210,7 @@ ORACLES = {
     "word_scripts": f"WITH {WORDS_SQL}, {SIZE_SQL}, {SCRIPTS_SQL} SELECT doc_id, page, word_ix, round(relative_size, 6) AS relative_size, round(baseline_offset, 6) AS baseline_offset, is_superscript, is_subscript, preceding_text, following_text, CASE WHEN is_superscript THEN '^{{' || text || '}}' WHEN is_subscript THEN '_{{' || text || '}}' ELSE text END AS markup FROM m",
     "script_statistics": f"WITH {WORDS_SQL}, {SIZE_SQL}, {SCRIPTS_SQL} SELECT doc_id, count(*) AS n_words, count(*) FILTER (is_superscript) AS n_superscript, count(*) FILTER (is_subscript) AS n_subscript, round(100.0 * count(*) FILTER (is_superscript) / count(*), 6) AS superscript_percent FROM m GROUP BY doc_id",
     "column_clusters": f"""WITH {WORDS_SQL}, g0 AS (SELECT doc_id, page, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0) > 5 THEN 1 ELSE 0 END AS nn FROM w),
-        g AS (SELECT *, sum(nn) OVER (PARTITION BY doc_id, page ORDER BY x0 RANGE UNBOUNDED PRECEDING) AS cluster_no FROM g0)
+        g AS (SELECT *, sum(nn) OVER (PARTITION BY doc_id, page ORDER BY x0 RANGE UNBOUNDED PRECEDING)::BIGINT AS cluster_no FROM g0)
         SELECT doc_id, page, cluster_no, round(avg(x0), 6) AS mean, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 3""",
     "gap_regularity": f"""WITH {WORDS_SQL}, e AS (SELECT DISTINCT doc_id, page, x0 FROM w), g AS (SELECT doc_id, page, x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0) AS gap FROM e)
         SELECT doc_id, page, count(*) AS n_gaps, round(1 - stddev_samp(gap) / avg(gap), 6) AS regularity FROM g WHERE gap > 15 GROUP BY ALL HAVING count(*) >= 2""",
