@@ -43,10 +43,10 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [report_json, report_html, report_lines, files_left, pages_recovered, event_windows]
 
 ORACLES = {
-    "report_html": f"WITH {RESULTS} SELECT count(*) + 2 AS n_lines FROM r",
+    "report_html": f"WITH {RESULTS} SELECT (count(*) + 2)::INT AS n_lines FROM r",
     "report_lines": f"""WITH {RESULTS} SELECT unnest(['total_files: ' || count(*), 'successful: ' || count(*) FILTER (success), 'failed: ' || count(*) FILTER (NOT success),
         'best_file: ' || (SELECT filename FROM r WHERE success AND score IS NOT NULL ORDER BY score DESC, filename LIMIT 1)]) AS line FROM r""",
     "files_left": f"WITH {RESULTS} SELECT filename AS path FROM r WHERE filename NOT IN (SELECT filename FROM r WHERE success)",
-    "pages_recovered": f"WITH {RESULTS}, rp AS (SELECT doc_id, unnest(pages) AS text, generate_subscripts(pages, 1) AS page FROM r) SELECT doc_id, page, CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN 'text' ELSE 'none' END AS recovery_method FROM rp",
+    "pages_recovered": f"WITH {RESULTS}, rp AS (SELECT doc_id, unnest(pages) AS text, generate_subscripts(pages, 1) AS page FROM r) SELECT doc_id, page::INT AS page, CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN 'text' ELSE 'none' END AS recovery_method FROM rp",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

@@ -397,7 +397,7 @@ def packed_sql(size: str, sep: int, most: int, least: int) -> str:
     return f"""WITH RECURSIVE {RPAGES}, n AS (SELECT *, coalesce({size}, 0) AS n FROM rp),
         k AS (SELECT doc_id, page, text, 0 AS chunk_id, n AS held FROM n WHERE page = 1
             UNION ALL SELECT n.doc_id, n.page, n.text, k.chunk_id + (k.held >= {least} AND k.held + n.n > {most})::INT, CASE WHEN k.held >= {least} AND k.held + n.n > {most} THEN n.n ELSE k.held + {sep} + n.n END FROM k JOIN n ON n.doc_id = k.doc_id AND n.page = k.page + 1)
-        SELECT doc_id, chunk_id, min(page) AS page_start, max(page) AS page_end, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page)) AS char_count FROM k GROUP BY ALL"""
+        SELECT doc_id, chunk_id, min(page)::INT AS page_start, max(page)::INT AS page_end, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page))::INT AS char_count FROM k GROUP BY ALL"""
 
 
 def marker_sql(kind: str) -> str:
@@ -408,7 +408,7 @@ def marker_sql(kind: str) -> str:
 SECTION = "(?m)^(?:第[0-9一二三四五六七八九十]+[章節]|[0-9]+\\.[0-9]+ |[0-9]+\\. |# |Chapter |Section |Article )"
 SEVERITY_RANK = "list_position(['critical', 'high', 'medium', 'low'], severity)"
 ORACLES = {
-    "tables_assembled": f"WITH {CELLS} SELECT doc_id, page, table_ix, n_rows, n_cols, array_to_string(list_transform(rows, lambda x: array_to_string(x, chr(9))), chr(10)) AS body, x0, top, x1, bottom, round(confidence, 6) AS confidence FROM t",
+    "tables_assembled": f"WITH {CELLS} SELECT doc_id, page, table_ix, n_rows, n_cols::BIGINT AS n_cols, array_to_string(list_transform(rows, lambda x: array_to_string(x, chr(9))), chr(10)) AS body, x0, top, x1, bottom, round(confidence, 6) AS confidence FROM t",
     "tables_valid": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(len(filled) / len(flatten(rows)), 6) AS fill_share FROM t WHERE n_rows >= 3 AND n_cols >= 3 AND confidence >= 0.7 AND len(filled) >= 0.5 * len(flatten(rows))",
     "table_headers": f"WITH {CELLS} SELECT doc_id, page, table_ix, {HEADER_1} AS header_1, len(rows) > 1 AND NOT {ANY('rows[1]', FIG)} AND ({ANY('rest', FIG)} OR {MEAN_LEN('rows[1]')} < 1.5 * {MEAN_LEN('rest')}) AS header_2 FROM t",
     "table_texts": f"""WITH {CELLS}, wd AS (SELECT *, list_transform(range(1, n_cols + 1), lambda k: least(30, greatest(3, list_max(list_transform(rows, lambda r: length(r[k])))))) AS ws, {HEADER_1} AS hd FROM t),
@@ -440,7 +440,7 @@ ORACLES = {
         SELECT doc_id, n_markers, n_definitions, n_matches, round(rate, 6) AS match_rate, CASE WHEN rate = 100 THEN 'COMPLETE' WHEN rate >= 80 THEN 'PARTIAL' ELSE 'POOR' END AS status, unmatched FROM q""",
     "flag_summary": f"WITH {FLAGS} SELECT flag_type, count(*) AS total, count(*) FILTER (NOT resolved) AS unresolved, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM f GROUP BY flag_type",
     "flags_open": f"WITH {FLAGS} SELECT flag_id, doc_id, flag_type, message FROM f WHERE NOT resolved AND severity = 'high'",
-    "flags_first": f"WITH {FLAGS} SELECT doc_id, flag_id, row_number() OVER (PARTITION BY doc_id ORDER BY {SEVERITY_RANK}, created_at, flag_id) AS place FROM f QUALIFY place <= 3",
+    "flags_first": f"WITH {FLAGS} SELECT doc_id, flag_id, row_number() OVER (PARTITION BY doc_id ORDER BY {SEVERITY_RANK}, created_at, flag_id)::INT AS place FROM f QUALIFY place <= 3",
     "flags_resolved": f"WITH {FLAGS} SELECT flag_id, severity = 'low' OR resolved AS resolved, CASE WHEN severity = 'low' THEN 'low' ELSE resolution_note END AS resolution_note FROM f",
     "flag_lines": f"WITH {FLAGS} SELECT flag_id, '[' || upper(severity) || '] ' || flag_type || ' p.' || coalesce(page::INT::VARCHAR, '-') || ': ' || coalesce(message, 'null') AS line FROM f WHERE NOT resolved",
     "page_errors": f"WITH {PAGES} SELECT * FROM e",
@@ -458,11 +458,11 @@ ORACLES = {
         SELECT doc_id, arg_min(engine, (-n, engine)) AS base_engine, count(*) AS n_engines FROM en GROUP BY doc_id""",
     "chunks_by_characters": packed_sql("length(text)", 2, 5000, 1000),
     "chunks_by_words": packed_sql("len(list_filter(regexp_split_to_array(text, '[ \\t\\n]+'), lambda x: x <> ''))", 0, 600, 100),
-    "chunks_by_pages": f"WITH {RPAGES} SELECT doc_id, ((page - 1) // 3)::INT AS chunk_id, min(page) AS page_start, max(page) AS page_end, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page)) AS char_count FROM rp GROUP BY ALL",
+    "chunks_by_pages": f"WITH {RPAGES} SELECT doc_id, ((page - 1) // 3)::INT AS chunk_id, min(page)::INT AS page_start, max(page)::INT AS page_end, length(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY page))::INT AS char_count FROM rp GROUP BY ALL",
     "section_counts": f"WITH {RESULTS}, s AS (SELECT doc_id, len(regexp_extract_all(raw_text, '{SECTION}')) AS n_sections FROM r WHERE length(raw_text) > 0) SELECT * FROM s WHERE n_sections > 0",
     "chunk_overlaps": f"""WITH {CHUNKS}, tl AS (SELECT *, CASE WHEN length(content) > 200 THEN right(content, 200) ELSE content END AS tail FROM ch)
         SELECT doc_id, chunk_id, coalesce(lag(tail) OVER o, '') AS overlap_start_text, CASE WHEN lead(chunk_id) OVER o IS NOT NULL THEN tail ELSE '' END AS overlap_end_text FROM tl WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_id)""",
-    "page_chunks": f"WITH {RPAGES}, {CHUNKS} SELECT rp.doc_id, page, min(chunk_id) AS chunk_id FROM rp JOIN ch ON ch.doc_id = rp.doc_id AND page BETWEEN page_start AND page_end GROUP BY ALL",
+    "page_chunks": f"WITH {RPAGES}, {CHUNKS} SELECT rp.doc_id, page::INT AS page, min(chunk_id) AS chunk_id FROM rp JOIN ch ON ch.doc_id = rp.doc_id AND page BETWEEN page_start AND page_end GROUP BY ALL",
     "chunk_pages": f"""WITH {RPAGES}, {CHUNKS}, h AS (SELECT ch.doc_id, ch.chunk_id, page FROM ch JOIN rp ON rp.doc_id = ch.doc_id AND length(substr(rp.text, 1, 100)) > 0 AND (contains(content, substr(rp.text, 1, 100)) OR contains(content, right(rp.text, 100))))
         SELECT ch.doc_id, ch.chunk_id, coalesce(pp, '1') AS pages FROM ch LEFT JOIN (SELECT doc_id, chunk_id, string_agg(page::VARCHAR, ',' ORDER BY page) AS pp FROM h GROUP BY ALL) USING (doc_id, chunk_id)""",
     "reassemble": f"WITH {REASSEMBLED} SELECT * FROM ra",
@@ -471,6 +471,6 @@ ORACLES = {
     "format_pages": f"""WITH {RPAGES}, fm AS (SELECT doc_id, string_agg({marker_sql('START')} || chr(10) || coalesce(text, '') || chr(10) || {marker_sql('END')}, chr(10) ORDER BY page) AS formatted FROM rp GROUP BY doc_id)
         SELECT doc_id, formatted, len(regexp_extract_all(formatted, '-+ PAGE [0-9]+ START -+')) AS n_start, len(regexp_extract_all(formatted, '-+ PAGE [0-9]+ END -+')) AS n_end FROM fm""",
     "format_headers": f"WITH {RESULTS} SELECT doc_id, array_to_string([repeat('=', 60), '[DOCUMENT FILENAME: ' || coalesce(filename, '') || ']', 'Pages: ' || format('{{:,}}', coalesce(page_count, 0)), 'Words: ' || format('{{:,}}', coalesce(word_count, 0)), repeat('=', 60)], chr(10)) AS header FROM r",
-    "format_round_trip": f"WITH {RPAGES} SELECT doc_id, page, coalesce(text, '') AS text FROM rp",
+    "format_round_trip": f"WITH {RPAGES} SELECT doc_id, page::INT AS page, coalesce(text, '') AS text FROM rp",
     "durations": f"WITH {RESULTS} SELECT doc_id, round(extraction_time, 2) AS seconds, CASE WHEN s < 60 THEN floor(s)::BIGINT || 's' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' ELSE floor(s / 3600)::BIGINT || 'h' END AS eta FROM (SELECT *, extraction_time * 100 AS s FROM r)",
 }

@@ -187,26 +187,26 @@ LOWEST_SQL = "list_sort([{'s': completeness, 'n': 'completeness'}, {'s': structu
 ENDS_JOIN = "NOT regexp_matches(line, '[。！？」』】）：；;]$') AND NOT regexp_matches(after, '^(?:[・•●○■□◆◇※*-]|[0-9]+[.)、．）]|第?[0-9一二三四五六七八九十]+[章条項節])') AND regexp_matches(line, '[はがをにでとのへからもや、，]$')"
 
 ORACLES = {
-    "doc_stats": f"SELECT doc_id, length(coalesce(text, '')) AS n_chars, {words_sql('text')} AS n_words, len(string_split(coalesce(text, ''), chr(10))) AS n_lines FROM documents",
+    "doc_stats": f"SELECT doc_id, length(coalesce(text, ''))::INT AS n_chars, ({words_sql('text')})::INT AS n_words, len(string_split(coalesce(text, ''), chr(10)))::INT AS n_lines FROM documents",
     "stats_by_language": f"SELECT lang, source, count(*) AS n_docs, sum(length(coalesce(text, '')))::BIGINT AS n_chars, sum({words_sql('text')})::BIGINT AS n_words, grouping(lang, source)::BIGINT AS level FROM documents GROUP BY ROLLUP (lang, source)",
     "cleanup_text": f"SELECT doc_id, {cleanup_sql('text')} AS clean_text FROM documents",
     "join_lines": f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
         f AS (SELECT *, coalesce({ENDS_JOIN}, false) AS joins FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS after FROM l)),
         s AS (SELECT doc_id, line_no, line, after, joins, false AS taken FROM f WHERE line_no = 0
             UNION ALL SELECT f.doc_id, f.line_no, f.line, f.after, f.joins, s.joins AND NOT s.taken FROM s JOIN f ON f.doc_id = s.doc_id AND f.line_no = s.line_no + 1)
-        SELECT doc_id, line_no, CASE WHEN joins THEN line || after ELSE line END AS line FROM s WHERE NOT taken""",
-    "encoding_errors": "WITH e AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\x{FFFD}|\\x00|\\\\x[0-9a-f]{2}|\\\\u[0-9a-f]{4}')) AS n_errors FROM documents WHERE text IS NOT NULL) SELECT doc_id, n_errors, n_errors > 0.05 * length(text) AS has_issues FROM e",
+        SELECT doc_id, line_no::INT AS line_no, CASE WHEN joins THEN line || after ELSE line END AS line FROM s WHERE NOT taken""",
+    "encoding_errors": "WITH e AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\x{FFFD}|\\x00|\\\\x[0-9a-f]{2}|\\\\u[0-9a-f]{4}')) AS n_errors FROM documents WHERE text IS NOT NULL) SELECT doc_id, n_errors::INT AS n_errors, n_errors > 0.05 * length(text) AS has_issues FROM e",
     "issue_counts": f"WITH i AS ({found_sql()}) SELECT issue_type, count(*) AS n_issues, count(DISTINCT doc_id) AS n_docs, round(avg({CONFIDENCE_SQL}), 6) AS mean_confidence FROM i GROUP BY issue_type",
     "mock_corrections": f"""WITH i AS (SELECT DISTINCT issue_type, original_text FROM ({found_sql()}))
         SELECT issue_type, original_text, CASE WHEN issue_type = 'ocr_digit_in_word' THEN list_reduce(list_transform(range(1, length(original_text) + 1), lambda k: CASE WHEN k > 1 AND regexp_matches(original_text[k - 1], '[a-z]') AND regexp_matches(original_text[k + 1], '[a-z]') AND original_text[k] IN ('0', '1', '5') THEN translate(original_text[k], '015', 'ois') ELSE original_text[k] END), lambda a, b: a || b)
             WHEN issue_type LIKE 'ocr_broken%' THEN regexp_replace(original_text, '[ \\t]+', '', 'g') WHEN issue_type = 'format_excess_spaces' THEN '  ' ELSE original_text END AS corrected FROM i""",
     "hallucination_scan": """WITH k AS (SELECT doc_id, unnest([{'kind': 'markdown_bold', 'n': len(regexp_extract_all(text, '\\*\\*[^*\\n]+\\*\\*'))}, {'kind': 'markdown_underline', 'n': len(regexp_extract_all(text, '__[^_\\n]+__'))}, {'kind': 'html_tag', 'n': len(regexp_extract_all(text, '</?[a-zA-Z][^>\\n]*>'))},
             {'kind': 'markdown_heading', 'n': len(regexp_extract_all(text, '(?m)^#{1,6}[ \\t]'))}, {'kind': 'note_that', 'n': len(regexp_extract_all(text, '(?im)^note that '))}, {'kind': 'in_summary', 'n': len(regexp_extract_all(text, '(?im)^in (?:summary|conclusion),'))}]) AS c FROM documents WHERE length(text) > 0)
-        SELECT doc_id, c.kind AS kind, c.n AS n_found FROM k WHERE c.n > 0""",
+        SELECT doc_id, c.kind AS kind, c.n::INT AS n_found FROM k WHERE c.n > 0""",
     "hallucination_removed": f"SELECT doc_id, {invented_sql('text')} AS text FROM documents",
     "quality_score": f"SELECT doc_id, completeness, structure, accuracy, footnotes, readability, round(overall, 6) AS overall, {GRADE_SQL} AS grade, round(greatest(0.3, least(1.0, 1 - least(0.5, list_var_pop([completeness, structure, accuracy, footnotes, readability]) / 1000))), 6) AS confidence FROM ({quality_sql('documents', 'text')})",
     "quality_grades": f"SELECT {GRADE_SQL} AS grade, count(*) AS n_docs, round(avg(overall), 6) AS mean_score FROM ({quality_sql('documents', 'text')}) GROUP BY ALL",
-    "quality_low_dimensions": f"SELECT doc_id, array_to_string(list_transform({LOWEST_SQL}, lambda x: x.n), ',') AS lowest, len(list_filter({LOWEST_SQL}, lambda x: x.s < 70)) AS n_recommendations FROM ({quality_sql('documents', 'text')})",
+    "quality_low_dimensions": f"SELECT doc_id, array_to_string(list_transform({LOWEST_SQL}, lambda x: x.n), ',') AS lowest, len(list_filter({LOWEST_SQL}, lambda x: x.s < 70))::INT AS n_recommendations FROM ({quality_sql('documents', 'text')})",
     "remediation_best": f"""WITH v AS (SELECT doc_id, page_count, 0 AS attempt, text FROM documents UNION ALL SELECT doc_id, page_count, 1, {invented_sql('text')} FROM documents UNION ALL SELECT doc_id, page_count, 2, {cleanup_sql(invented_sql('text'))} FROM documents)
         SELECT doc_id, attempt, round(overall, 6) AS score FROM ({quality_sql('v', 'text')}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(overall, 6) DESC, attempt) = 1""",
 }
