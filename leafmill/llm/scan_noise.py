@@ -36,14 +36,17 @@ PLAIN, TITLE, NUMBER, RECURS, BLANK = range(5)
 ZONES = 6  # first, second and third line with text; last; last but one; others
 
 # What a scanner takes for what.
-AS_LETTERS = {"0": "oO", "1": "liI", "5": "sS", "6": "bG", "8": "B", "9": "g", "4": "A", "3": "E", "7": "T", "2": "zZ", "+": "t", "|": "lIi", "$": "s", "(": "c", "!": "li"}
+AS_LETTERS = {"0": "oO", "1": "liI", "5": "sS", "6": "bG", "8": "B", "9": "g", "4": "A", "3": "E", "7": "T", "2": "zZ", "+": "t", "|": "lIi", "$": "sS", "(": "cC", "!": "liI"}
 WHOLE_PARTS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("vv", "w"), ("c", "e"), ("I", "l"), ("tl", "d"), ("lc", "k"))
 AS_DIGITS = str.maketrans("lIi|OoSsBbZzgq", "11110055868299")
 # Words behind a hyphen that hangs ("pre- and post-dose").
 HANGING = {"and", "or", "und", "oder", "bzw", "et", "ou", "y", "o", "e", "u", "sowie", "и", "или", "to", "bis", "nor"}
 CUT_MARKS = "-­¬‐‑"
 
-_TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9+|]*[A-Za-zÀ-ɏ0-9][A-Za-zÀ-ɏ0-9+|]*")
+_PLAIN = re.compile(r"[A-Za-zÀ-ɏ0-9+|]*[A-Za-zÀ-ɏ0-9][A-Za-zÀ-ɏ0-9+|]*")
+# The signs of AS_LETTERS belong to a word where a letter follows, '$' also at the end of one in lower case.
+_TOKEN = re.compile(rf"(?:[$(!](?=[A-Za-zÀ-ɏ]))?{_PLAIN.pattern}(?:(?:[$(!](?=[A-Za-zÀ-ɏ])|(?<=[a-zß-ÿ])\$(?!\d))[A-Za-zÀ-ɏ0-9+|]*)*")
+_SIGNS = frozenset("$(!")
 _NUMERAL = r"(?:[\dlIOoSB|]*\d[\dlIOoSB|]*|[lIO]{1,3}|[ivxlcdmIVXLCDM1|]{1,12})"
 _PAGE_NUMBER = re.compile(rf"\W*(?:page|p\.|seite|página|pág\.|стр\.|หน้า|पृष्ठ|第)?\s*{_NUMERAL}\s*(?:(?:/|of|von|de|sur|из|-|–)\s*{_NUMERAL})?\s*(?:頁|ページ|页|页)?\W*", re.I)
 _DIGITS = re.compile(r"(?<![^\W\d_])[lIOSB|]*\d[\dlIOSB|]*(?![^\W\d_])")
@@ -136,15 +139,20 @@ def broken_lines(pages: Sequence[str | None], labels: list[list[int]]) -> list[t
     for (p, i, line, _), (q, j, after, parted) in zip(body, body[1:]):
         if len(line) < 2 or line[-1] not in CUT_MARKS or not line[-2].isalpha() or (parted and p == q):
             continue
-        word = re.match(r"[^\W_]+|[+|]?[^\W_]+", after)
+        word = re.match(r"[^\W_]+|[+|$!]?[^\W_]+", after)
         if not word or (line[-1] in "-‐‑" and word.group().lower() in HANGING):
             continue
         head = after[:1]
-        if head.islower() or (head in "0123456789+|" and after[1:2].islower()) or (head.isupper() and line[-2].isupper() and word.group().isupper() and len(word.group()) > 1):
+        if head.islower() or (head in "0123456789+|$!" and after[1:2].islower()) or (head.isupper() and line[-2].isupper() and word.group().isupper() and len(word.group()) > 1):
             found.append((p, i, q, j))
     return found
 
 
+def plain_parts(token: str) -> list[tuple[int, str]]:
+    """(offset, part) of what a token with signs is if they are no letters; none of a token without them."""
+    return [] if _SIGNS.isdisjoint(token) else [(m.start(), m.group()) for m in _PLAIN.finditer(token)]
+
+
 def body_tokens(pages: Sequence[str | None], labels: list[list[int]], broken: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, str, int, int, int]]:
     """(page, line, token, next page, next line, cut) of the tokens of body lines; of a cut word the whole, with the length of its first part (else -1)."""
     goes_on = {(p, i): (q, j) for p, i, q, j in broken}
@@ -166,13 +174,19 @@ def body_tokens(pages: Sequence[str | None], labels: list[list[int]], broken: li
                 if rest:
                     taken[after] = rest.end()
                     yield p, i, part + rest.group(), *after, len(part)
+                    for at, plain in plain_parts(part + rest.group()):
+                        if at >= len(part):
+                            yield *after, plain, *after, -1
+                        else:
+                            yield p, i, plain, *after, len(part) - at
             for m in tokens:
-                if len(m.group()) > 1 and len(m.group()) <= 30:
-                    yield p, i, m.group(), p, i, -1
+                for word in (m.group(), *(plain for _, plain in plain_parts(m.group()))):
+                    if 1 < len(word) <= 30:
+                        yield p, i, word, p, i, -1
 
 
 def readings(word: str) -> list[tuple[str, int, bool]]:
-    """(what the word may have been, where it first differs, whether its shape alone proves it) by undoing confusions."""
+    """(what the word may have been, where it first differs, whether its shape alone proves it) by undoing confusions; -1 where the word is one behind a bracket or an exclamation mark."""
     found: dict[str, int] = {}
     odd = [i for i, c in enumerate(word) if c in AS_LETTERS]
     proven = ""
@@ -199,6 +213,8 @@ def readings(word: str) -> list[tuple[str, int, bool]]:
         made = number.group(1).translate(AS_DIGITS) + (number.group(2) or "")
         found.setdefault(made, next((i for i, (a, b) in enumerate(zip(word, made)) if a != b), 0))
     found.pop(word, None)
+    if word[0] in "(!" and word[1:].isalpha():
+        found[word[1:]] = -1
     return [(made, at, made == proven) for made, at in found.items()]
 
 
@@ -212,6 +228,13 @@ _JOIN = re.compile(f"(?<=[^\\W\\d_])[{CUT_MARKS}]\\n(?=[a-zà-ÿ])")
 WORDS_AT_ONCE = 300_000
 
 
+def page_words(page: str | None) -> set[str]:
+    """The distinct words of a page as they are counted."""
+    words = set(_TOKEN.findall(_JOIN.sub("", page or "")))
+    words.update([plain for w in words if not _SIGNS.isdisjoint(w) for _, plain in plain_parts(w)])
+    return {w for w in words if 1 < len(w) <= 30}
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[str] = Counter()
 
@@ -221,7 +244,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for pages in batch.column("_pages").to_pylist():
             for page in pages or ():
-                words.update({w for w in _TOKEN.findall(_JOIN.sub("", page or "")) if 1 < len(w) <= 30})
+                words.update(page_words(page))
         if len(words) > WORDS_AT_ONCE:
             yield counted()
             words.clear()
@@ -241,16 +264,17 @@ def misread_words(docs: DataFrame, pages: str) -> DataFrame:
 
     `at` is where the word first differs. Of several originals the one on most
     pages is taken. A number needs no other page to prove it, but must not be
-    rarer as it stands than as it would have been.
+    rarer as it stands than as it would have been. '(' or '!' before a word of
+    its own ('(old') is a sign, not a letter.
     """
     counts = cut_lineage(docs.select(docs[pages].alias("_pages")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     found = counts.mapInArrow(_read_words, "word string, n long, original string, at int, proven boolean")
     known = counts.select(F.col("word").alias("original"), F.col("n").alias("n_original"))
     digits = F.col("original").rlike("^[0-9]+(ml|mg|kg|g|mm|h)?$")
     n = F.coalesce("n_original", F.lit(0))
-    kept = found.join(known, "original", "left").where(F.when(digits, n >= F.col("n") - 1).otherwise(F.col("proven") | ((n >= MIN_PAGES) & (n >= TIMES * F.col("n")))))
-    best = F.max_by(F.struct("original", "at"), F.struct(n, F.col("original"))).alias("best")
-    return kept.groupBy("word").agg(best).select("word", "best.original", "best.at")
+    kept = found.join(known, "original", "left").where(F.when(digits, n >= F.col("n") - 1).when(F.col("at") < 0, n >= MIN_PAGES).otherwise(F.col("proven") | ((n >= MIN_PAGES) & (n >= TIMES * F.col("n")))))
+    best = F.max_by(F.struct("original", "at"), F.struct(F.col("at") < 0, n, F.col("original"))).alias("best")
+    return kept.groupBy("word").agg(best).where("best.at >= 0").select("word", "best.original", "best.at")
 
 
 LINES = T.StructType([T.StructField("doc", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("page", "line")), T.StructField("noise", T.StringType()), T.StructField("word", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("next_page", "next_line", "cut"))])
@@ -345,4 +369,5 @@ def paragraphs(pages: Sequence[str | None], model: LineModel, originals: dict[st
             if (p, i) in broken:
                 made[-1] = made[-1][:-1] + "\0"
             line_open, last = True, p
-    return [_TOKEN.sub(lambda m: originals.get(m.group(), m.group()), t.replace("\0", "")) for t in made]
+    plain = lambda m: originals.get(m.group(), m.group())
+    return [_TOKEN.sub(lambda m: originals.get(m.group()) or _PLAIN.sub(plain, m.group()), t.replace("\0", "")) for t in made]

@@ -1,5 +1,5 @@
 from leafmill.llm.markov import LineModel
-from leafmill.llm.scan_noise import BODY, FOOT, HEAD, broken_lines, first_model, line_labels, paragraphs, readings, scan_noise, continuous_text
+from leafmill.llm.scan_noise import BODY, FOOT, HEAD, body_tokens, broken_lines, first_model, line_labels, misread_words, paragraphs, readings, scan_noise, continuous_text
 
 BODY_1 = "The package insert for the medicine lists the storage condi-\ntions of the product and the pre- and\npost-dose values, and the rep0rt describes the follow-\nup of every visit."
 PAGES = [
@@ -40,3 +40,17 @@ def test_rows(spark):
     assert "storage conditions of the product" in text[0] and "the report describes the followup" in text[0]
     assert "goes on and returns on the following page" in " ".join(text)
     assert paragraphs([], first_model(), {}) == []
+
+
+def test_signs_for_letters(spark):
+    clean = [f"Number {n} has the Seiten and the doctor with ill patients, and the old ones care for it here." for n in ("one", "two", "three", "four", "five")]
+    scan = ["The $eiten of the do(tor are full of i!l patients that read on and on until the\nend of the page (old ones) where all of the (rep0rt) is for the do$\nand the last line of the page stands here as it has to be."]
+    df = spark.createDataFrame([(n, [p]) for n, p in enumerate(clean)] + [(9, scan)], "doc long, pages array<string>")
+    ids = spark.createDataFrame([(9,)], "doc long")
+    words = {r.word: r.original for r in misread_words(df, "pages").collect()}
+    assert {w: words.get(w) for w in ("$eiten", "do(tor", "i!l", "(old")} == {"$eiten": "Seiten", "do(tor": "doctor", "i!l": "ill", "(old": None}
+    assert words["rep0rt"] == "report"
+    assert (9, 1, 1, "misread") in {tuple(r) for r in scan_noise(df, "doc", "pages", ids).collect()}
+    text = " ".join(r.text for r in continuous_text(df, "doc", "pages", ids).collect())
+    assert "The Seiten of the doctor are full of ill" in text and "(old ones)" in text and "(report)" in text
+    assert [t[2:] for t in body_tokens(["the (condi-\ntions"], [[BODY, BODY]], [(0, 0, 0, 1)])] == [("(conditions", 0, 1, 6), ("conditions", 0, 1, 5), ("the", 0, 0, -1)]
