@@ -54,7 +54,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics and the verdict of every raw_text."""
-    return text_statistics(spread(read_table(spark, folder, "extraction_results")).dropDuplicates(["doc_id"]), ["doc_id"], "raw_text")
+    return text_statistics(spread(read_table(spark, folder, "extraction_results")).dropDuplicates(["doc_id"]), ["doc_id"], "raw_text", language="lang")
 
 
 def result_pages(spark: SparkSession, folder: str) -> DataFrame:
