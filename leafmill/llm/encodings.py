@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
+from leafmill.llm.copies import with_copies
 
 #: Verified tokens up to which they are broadcast to the pages; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -280,39 +281,44 @@ def restored(text: str, known: set[tuple[str, str]]) -> tuple[str, int]:
     return text, n + len(codes)
 
 
-SCAN = T.StructType([T.StructField("doc", T.LongType()), T.StructField("page", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n", T.LongType())])
-_SCAN = pa.schema([("doc", pa.int64()), ("page", pa.int32()), ("form", pa.string()), ("original", pa.string()), ("n", pa.int64())])
+SCAN = T.StructType([T.StructField("doc", T.LongType()), T.StructField("page", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n", T.LongType()), T.StructField("excess", T.DoubleType())])
+_SCAN = pa.schema([("doc", pa.int64()), ("page", pa.int32()), ("form", pa.string()), ("original", pa.string()), ("n", pa.int64()), ("excess", pa.float64())])
 WORDS_AT_ONCE = 300_000
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc, page, form, original) for suspects, of (doc, page) for what proves itself, of (original, n) for words and the pages they are on."""
+    """Rows of (doc, page, form, original) for suspects, of (doc, page) for what proves itself, of (original, n, excess) for words, the pages they are on and how many of these are copies of others, in parts."""
     words: Counter[str] = Counter()
+    excess: Counter[str] = Counter()
 
     def counted() -> pa.RecordBatch:
         none = pa.nulls(len(words))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], schema=_SCAN)
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64()), pa.array([excess[w] for w in words], pa.float64())], schema=_SCAN)
 
     for batch in batches:
         rows = []
-        for doc, page, text in zip(*(batch.column(n).to_pylist() for n in ("_doc", "_page", "_text"))):
+        for doc, page, text, copies in zip(*(batch.column(n).to_pylist() for n in ("_doc", "_page", "_text", "_copies"))):
             text = text.encode("utf-8", "replace").decode()
             if _LOST in text or any(True for _ in printed_codes(text)):
                 rows.append((doc, page, None, None))
             rows += [(doc, page, form, original) for form, original in suspects(text)]
-            words.update(page_words(text))
+            words.update(units := page_words(text))
+            if copies:
+                for unit in units:
+                    excess[unit] += 1 - 1 / copies
         if rows:
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.nulls(len(rows)).cast(pa.int64())], schema=_SCAN)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.nulls(len(rows)).cast(pa.int64()), pa.nulls(len(rows)).cast(pa.float64())], schema=_SCAN)
         if len(words) > WORDS_AT_ONCE:
             yield counted()
             words.clear()
+            excess.clear()
     if words:
         yield counted()
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, original, n) of every clean word under every chain."""
+    """(form, original, n, texts) of every clean word under every chain."""
     for batch in batches:
         forms, at = [], []
         for i, word in enumerate(batch.column("original").to_pylist()):
@@ -321,27 +327,28 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forms += made
             at += [i] * len(made)
         rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), batch.column("original").take(rows), batch.column("n").take(rows)], names=["form", "original", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), batch.column("original").take(rows), batch.column("n").take(rows), batch.column("texts").take(rows)], names=["form", "original", "n", "texts"])
 
 
 def garbled_tokens(df: DataFrame, doc: str, page: str, text: str, min_pages: int = MIN_PAGES) -> DataFrame:
     """Verified garbled places: doc, page (as long and int), form, original.
 
     A row for each distinct token of a page that is a garbled form of a word
-    standing on `min_pages` pages or more, and on more than the form itself; a
-    row with null form and original for a page with lost characters or printed codes.
+    standing on `min_pages` pages or more, and on more different page texts than the form itself
+    (of a tie, on more pages), so that copies of one page can't outvote other pages; a row with null form and original for a page with lost characters or printed codes.
     Null and empty texts give no row. Vocabulary, forms and tokens are tables of
     the cluster; only verified tokens are broadcast, up to BROADCAST_ROWS. Rows of one page are one page.
     """
     pages = df.select(df[doc].cast("long").alias("_doc"), df[page].cast("int").alias("_page"), df[text].alias("_text")).where(F.length("_text") > 0)
-    scanned = cut_lineage(pages.mapInArrow(_scan, SCAN))
-    words = scanned.where("n IS NOT NULL").groupBy("original").agg(F.sum("n").alias("n"))
+    scanned = cut_lineage(with_copies(pages, "_text").mapInArrow(_scan, SCAN))
+    words = scanned.where("n IS NOT NULL").groupBy("original").agg(F.sum("n").alias("n"), (F.sum("n") - F.round(F.sum("excess"))).cast("long").alias("texts"))
     tokens = scanned.where("form IS NOT NULL").select("doc", "page", "form", "original")
-    forms = words.where(F.col("n") >= min_pages).mapInArrow(_forms, "form string, original string, n long")
-    own = words.select(F.col("original").alias("form"), F.col("n").alias("n_form"))
+    forms = words.where(F.col("n") >= min_pages).mapInArrow(_forms, "form string, original string, n long, texts long")
+    own = words.select(F.col("original").alias("form"), F.col("n").alias("n_form"), F.col("texts").alias("texts_form"))
+    more = F.struct("texts", "n") > F.struct(F.coalesce("texts_form", F.lit(0)).alias("texts"), F.coalesce("n_form", F.lit(0)).alias("n"))
     # The distinct tokens meet the table, merged in each task first; then the verified ones go back to their pages.
     distinct = tokens.select("form", "original").distinct()
-    verified = distinct.join(forms, ["form", "original"]).join(own, "form", "left").where(F.col("n") > F.coalesce("n_form", F.lit(0)))
+    verified = distinct.join(forms, ["form", "original"]).join(own, "form", "left").where(more)
     verified = cut_lineage(verified.select("form", "original"))
     hits = tokens.join(F.broadcast(verified) if verified.count() <= BROADCAST_ROWS else verified, ["form", "original"]).distinct()
     sure = scanned.where("form IS NULL AND n IS NULL").select("doc", "page", "form", "original").distinct()

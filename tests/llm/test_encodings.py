@@ -35,3 +35,13 @@ def test_pages(spark):
     assert fixed[3, 1] == "so für es" and fixed[3, 3] == "2 °C" and fixed[3, 4] == "Таблица" and fixed[3, 5] == "承認の日付"
     assert fixed[1, 1] == CLEAN and fixed[2, 1] == DECOYS and fixed[2, 2] is None and fixed[2, 3] == ""
     assert garbled_tokens(df.limit(0), "doc", "page", "text").collect() == []
+
+
+def test_copies_of_a_garbled_page_have_one_vote(spark):
+    clean = [f"{w} für Größe und Таблица по протоколу" for w in ("eins", "zwei", "drei")]
+    hot = garble("für Größe", (("utf-8", "cp1252"),)) + " " + garble("Таблица по протоколу", (("koi8-r", "cp1251"),))
+    rows = [(1, n, t) for n, t in enumerate(clean)] + [(n, 1, hot) for n in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc long, page int, text string")
+    assert {r.doc for r in garbled_tokens(df, "doc", "page", "text").collect()} == set(range(10, 60))
+    fixed = {r.doc: r.text for r in put_right(df, "doc", "page", "text").collect() if r.doc > 1}
+    assert set(fixed.values()) == {"für Größe Таблица по протоколу"}
