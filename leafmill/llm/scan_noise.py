@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
+from leafmill.llm.copies import with_copies
 from leafmill.llm.markov import LineModel, bounded_sample
 
 #: Documents that the model is trained on.
@@ -236,15 +237,19 @@ def page_words(page: str | None) -> set[str]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the pages' words; each of several copies of a page weighs its part of one."""
     words: Counter[str] = Counter()
 
     def counted() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.float64())], names=["word", "n"])
 
     for batch in batches:
-        for pages in batch.column("_pages").to_pylist():
-            for page in pages or ():
+        for page, copies in zip(batch.column("_page").to_pylist(), batch.column("_copies").to_pylist()):
+            if copies is None:
                 words.update(page_words(page))
+            else:
+                for word in page_words(page):
+                    words[word] += 1 / copies
         if len(words) > WORDS_AT_ONCE:
             yield counted()
             words.clear()
@@ -260,14 +265,16 @@ def _read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def misread_words(docs: DataFrame, pages: str) -> DataFrame:
-    """word, original, at of the corpus's words that are misreadings, from the counts of all pages of all documents.
+    """word, original, at of the corpus's words that are misreadings, from the counts of all pages of all documents; equal pages count once.
 
     `at` is where the word first differs. Of several originals the one on most
     pages is taken. A number needs no other page to prove it, but must not be
     rarer as it stands than as it would have been. '(' or '!' before a word of
     its own ('(old') is a sign, not a letter.
     """
-    counts = cut_lineage(docs.select(docs[pages].alias("_pages")).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    texts = with_copies(docs.select(F.explode(docs[pages]).alias("_page")).where(F.length("_page") > 0), "_page")
+    # The parts of a page's copies add up to one.
+    counts = cut_lineage(texts.mapInArrow(_count_words, "word string, n double").groupBy("word").agg(F.round(F.sum("n")).cast("long").alias("n")))
     found = counts.mapInArrow(_read_words, "word string, n long, original string, at int, proven boolean")
     known = counts.select(F.col("word").alias("original"), F.col("n").alias("n_original"))
     digits = F.col("original").rlike("^[0-9]+(ml|mg|kg|g|mm|h)?$")

@@ -1,3 +1,4 @@
+from leafmill.llm.copies import with_copies
 from leafmill.llm.markov import LineModel
 from leafmill.llm.scan_noise import BODY, FOOT, HEAD, body_tokens, broken_lines, first_model, line_labels, misread_words, paragraphs, readings, scan_noise, continuous_text
 
@@ -54,3 +55,14 @@ def test_signs_for_letters(spark):
     text = " ".join(r.text for r in continuous_text(df, "doc", "pages", ids).collect())
     assert "The Seiten of the doctor are full of ill" in text and "(old ones)" in text and "(report)" in text
     assert [t[2:] for t in body_tokens(["the (condi-\ntions"], [[BODY, BODY]], [(0, 0, 0, 1)])] == [("(conditions", 0, 1, 6), ("conditions", 0, 1, 5), ("the", 0, 0, -1)]
+
+
+def test_copies_of_a_scan_count_once(spark):
+    clean = [f"Text {n} has the questions of the patients." for n in ("one", "two", "three", "four")]
+    scan = ["The qiiestioris of the report are read here on and on until the\nend of the page where all of it is for the reader of the whole\nand the last line of the page stands here as it has to be."]
+    df = spark.createDataFrame([(n, [p]) for n, p in enumerate(clean)] + [(n, scan) for n in range(10, 60)], "doc long, pages array<string>")
+    got = scan_noise(df, "doc", "pages", df.where("doc >= 10").select("doc")).where("noise = 'misread' AND line = 1")
+    assert got.count() == 50
+    texts = df.selectExpr("doc", "pages[0] AS text")
+    copies = {r.doc: r._copies for at_once in (0, 1, 9) for r in with_copies(texts, "text", at_once).collect()}
+    assert len(copies) == 54 and copies[0] is None and copies[10] == 50
