@@ -48,7 +48,7 @@ def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in whose raw_text at least half of the characters stand outside of sentences."""
-    measured = text_statistics(spread(read_table(spark, folder, "extraction_results")), ["doc_id"], "raw_text", with_common=False)
+    measured = text_statistics(spread(read_table(spark, folder, "extraction_results")), ["doc_id"], "raw_text", language="lang")
     return measured.where("verdict = 'not prose'").select("doc_id").distinct()
 
 
