@@ -232,6 +232,12 @@ def consensus_pages(spark: SparkSession, d: str) -> DataFrame:
     return R.consensus(R.consensus_pairs(engines, ["doc_id", "page"]), engines, ["doc_id", "page"]).withColumn("consensus_score", F.round("consensus_score", 6))
 
 
+def consensus_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact similarity of the whole texts of a document's engines; a document of one engine scores 1."""
+    e = engines(spark, d)
+    return R.consensus(R.consensus_pairs(e, DOC), e, DOC).withColumn("consensus_score", F.round("consensus_score", 6))
+
+
 def element_check(spark: SparkSession, d: str) -> DataFrame:
     """Words laid out against words extracted, of each document."""
     w = words(spark, d).groupBy("doc_id").agg(F.count("*").alias("expected"))
@@ -354,7 +360,7 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = [
     tables_assembled, tables_valid, table_headers, table_texts, tables_kept, table_confidence, layout_summary, tables_merged, document_tables, page_text_tables, formulas, grid_cells, text_boxes, sidebars, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
-    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_pages,
+    flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_pages, consensus_texts,
     chunks_by_characters, chunks_by_words, chunks_by_pages, section_starts, section_counts, chunk_overlaps, page_chunks, chunk_pages, reassemble, chunk_context, context_fit, context_pieces,
     format_pages, format_headers, format_round_trip, flag_boxes, flag_prompts, durations,
 ]

@@ -158,3 +158,16 @@ def test_settings():
         Settings(overlap=6000)
     with pytest.raises(ValueError):
         Settings(bottom_margin=0.6)
+
+
+def test_consensus_of_whole_texts(spark):
+    from leafmill.plans import report_queries
+
+    engines = [(1, "raw", "one two\nthree"), (1, "flat", "one two three"), (1, "chunks", "one two three"), (2, "raw", "alone")]
+    made = spark.createDataFrame(engines, "doc_id long, engine string, text string")
+    kept, report_queries.engines = report_queries.engines, lambda spark, d: made
+    try:
+        got = {r.doc_id: (r.base_engine, r.consensus_score) for r in report_queries.consensus_texts(spark, "").collect()}
+    finally:
+        report_queries.engines = kept
+    assert got == {1: ("chunks", round((1 + 12 / 13 + 12 / 13) / 3, 6)), 2: ("raw", 1.0)}
