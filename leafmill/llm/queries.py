@@ -57,6 +57,12 @@ def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return text_statistics(spread(read_table(spark, folder, "extraction_results")).dropDuplicates(["doc_id"]), ["doc_id"], "raw_text", language="lang")
 
 
+def p2_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every raw_text that SQL can express; repeated rows are dropped after they shrank to numbers."""
+    rows = text_statistics(spread(read_table(spark, folder, "extraction_results")), ["doc_id"], "raw_text", language="lang")
+    return rows.select("doc_id", "word_count", "mean_word_length", "symbol_ratio", "end_punctuation_share").distinct()
+
+
 def result_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The pages of extraction_results as (doc_id, page_number, page), numbered from 1."""
     pages = spread(read_table(spark, folder, "extraction_results")).select("doc_id", F.posexplode("pages").alias("_at", "page"))
@@ -165,6 +171,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_sentences": p1_sentences,
         "p2_found": p2_found,
         "p2_statistics": p2_statistics,
+        "p2_words": p2_words,
         "p3_found": p3_found,
         "p3_paragraphs": p3_paragraphs,
         "p4_found": p4_found,
@@ -184,6 +191,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB statements for the queries that SQL can express."""
     return {
+        "p2_words": """
+            WITH t AS (
+                SELECT doc_id, raw_text, regexp_extract_all(regexp_replace(raw_text, '([\\x{0E01}-\\x{0E30}\\x{0E32}\\x{0E33}\\x{0E40}-\\x{0E46}\\x{3005}\\x{3006}\\x{3041}-\\x{3096}\\x{309D}-\\x{309F}\\x{30A1}-\\x{30FA}\\x{30FC}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]\\p{M}*)', ' \\1 ', 'g'), '\\p{L}[\\p{L}\\p{M}]*(?:[’''\\-‐‑]\\p{L}[\\p{L}\\p{M}]*)*') AS words,
+                    regexp_replace(raw_text, '[\\s\\x{0B}\\x{85}\\p{Z}]', '', 'g') AS bare,
+                    list_filter(string_split(raw_text, chr(10)), lambda x: length(regexp_replace(x, '[\\s\\x{0B}\\x{85}\\p{Z}]', '', 'g')) > 0) AS lines
+                FROM extraction_results)
+            SELECT DISTINCT doc_id, coalesce(len(words), 0)::BIGINT AS word_count,
+                length(array_to_string(words, '')) / nullif(len(words), 0)::DOUBLE AS mean_word_length,
+                length(regexp_replace(bare, '[\\p{L}\\p{M}\\p{N}]', '', 'g')) / nullif(length(bare), 0)::DOUBLE AS symbol_ratio,
+                len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？．।॥؟][\"''”’»“)\\]」』）】›\\[0-9¹²³†‡*※]{0,3}[\\s\\x{0B}\\x{85}\\p{Z}]*$'))) / nullif(len(lines), 0)::DOUBLE AS end_punctuation_share
+            FROM t""",
         "p6_found": """
             SELECT DISTINCT c.doc_id, c.chunk_id
             FROM chunks c JOIN chunking_strategies s ON s.strategy_id = coalesce(c.strategy_id, 1)

@@ -1,5 +1,5 @@
 from leafmill.llm.copies import with_copies
-from leafmill.llm.markov import LineModel
+from leafmill.llm import scan_noise as module
 from leafmill.llm.scan_noise import BODY, FOOT, HEAD, body_tokens, broken_lines, first_model, line_labels, misread_words, paragraphs, readings, scan_noise, continuous_text
 
 BODY_1 = "The package insert for the medicine lists the storage condi-\ntions of the product and the pre- and\npost-dose values, and the rep0rt describes the follow-\nup of every visit."
@@ -24,9 +24,32 @@ def test_readings():
     assert readings("312") == []
 
 
-def test_training_keeps_probabilities():
-    model = first_model().trained([[0, 1], [2]], 2, 10.0)
-    assert isinstance(model, LineModel) and model.path([]) == []
+def test_path_decides_zones():
+    """A number ends a page as its foot and stands in a table as a row, whatever it shows by itself."""
+    table = "The table of the doses is given here in full length.\nvial   12\n44\nlabel   3\nThe last row of the table stands above this line here."
+    labels = line_labels([table, table + "\n44"], first_model())
+    assert labels[0] == [BODY] * 5 and labels[1] == [BODY] * 5 + [FOOT]
+    codes, _ = module.observations([table])
+    assert module.LABELS[first_model().without_path(codes)][2] == FOOT
+
+
+def test_no_caps(spark):
+    """Long words, words with many signs and Cyrillic words are put right."""
+    long = "Pharmakokinetikuntersuchungsberichte"
+    clean = [f"{n}: Die {long} und die таблица sowie statistically relevant." for n in ("eins", "zwei", "drei", "vier", "funf")]
+    scan = ["Die " + long.replace("o", "0") + " und die та6лица sowie 5ta7i5tica1ly und so weiter bis zum\nEnde der Seite, auf der alles steht, was zu lesen war und ist\nund die letzte Zeile der Seite steht hier, wie es sein muss."]
+    df = spark.createDataFrame([(n, [p]) for n, p in enumerate(clean)] + [(9, scan)], "doc long, pages array<string>")
+    words = {r.word: r.original for r in misread_words(df, "pages").collect()}
+    assert words[long.replace("o", "0")] == long and words["та6лица"] == "таблица" and words["5ta7i5tica1ly"] == "statistically"
+
+
+def test_shuffled_branches_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(1, PAGES), (5, ["the report", "a report", "report"])], "doc long, pages array<string>")
+    ids = spark.createDataFrame([(1,)], "doc long")
+    got = [sorted(map(tuple, scan_noise(df, "doc", "pages", ids).collect()))]
+    monkeypatch.setattr(module, "BROADCAST_ROWS", -1)
+    got.append(sorted(map(tuple, scan_noise(df, "doc", "pages", ids).collect())))
+    assert got[0] == got[1] and got[0]
 
 
 def test_rows(spark):
