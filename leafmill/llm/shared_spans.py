@@ -8,9 +8,11 @@ The windows that two rows share are then extended: all spans of full length
 around them are hashed (96 bits) and looked up in the same manner, and
 overlapping found spans are merged to maximal runs.
 
-Both look-ups send, of a task's equal hashes, a single one through the shuffle;
-rows that already met in the task are sure and go by their key, so a text copied
-into a third of all rows loads no task more than any other.
+Both look-ups send, of a task's equal hashes, those of a single row through the shuffle, and of
+these one for each stretch that the repeats cover;
+rows that already met in the task are sure, so a text copied
+into a third of all rows loads no task more than any other. Shared anchors come back to
+the texts as a filter of bounded size, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
+from leafmill.llm.filters import filter_of
 
 #: A perfect difference set modulo 91.
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 
 ROWS_AT_ONCE = 1_000_000
-#: Anchors (of 8 bytes) up to which the candidates' side of the join with the texts is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xBF58476D1CE4E5B9))
@@ -91,8 +93,9 @@ def _met(order_keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarr
 
 
 ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType())])
-SPANS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tail", T.LongType())])
-#: An anchor's hash is even; that of a sure row, which met another in its task, is made odd.
+#: `more` is how much further the last of a span's repeats begins, each of which overlaps or touches the one before.
+SPANS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("tail", T.LongType()), T.StructField("more", T.IntegerType())])
+#: An anchor's hash is even; that of an anchor which two rows share in one task is made odd.
 SURE_ANCHOR = np.int64(1)
 #: A span's tail holds 32 bits of its second hash and its start; a sure span's tail its end, this bit, and its start.
 SURE_SPAN = np.int64(1 << 31)
@@ -137,12 +140,14 @@ def _anchors(length: int):
 
         def flush(hashes: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
             h, d = np.concatenate(hashes), np.concatenate(docs)
-            order, shared, first = _met((h,), d)
+            order, shared, _ = _met((h,), d)
             fresh = np.ones(len(h), bool)
-            fresh[1:] = (np.diff(h[order]) != 0) | (np.diff(d[order]) != 0)
+            fresh[1:] = np.diff(h[order]) != 0
             # In the order of rows, in which the ids next to each other compress.
-            one, sure = np.sort(order[first & fresh]), np.sort(order[shared & fresh])
-            return _batch(h=np.concatenate([h[one], h[sure] | SURE_ANCHOR]), doc=np.concatenate([d[one], d[sure]]))
+            at = np.sort(order[fresh])
+            sure = np.zeros(len(h), bool)
+            sure[order] = shared
+            return _batch(h=h[at] | sure[at], doc=d[at])
 
         hashes, docs, held = [], [], 0
         for batch in batches:
@@ -162,37 +167,72 @@ def _anchors(length: int):
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, h) of sorted anchors that two docs share."""
+    """h of sorted anchors that two docs share, once or a few times."""
     for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy(),)):
-        h, doc = rows.column("h").to_numpy(), rows.column("doc").to_numpy()
-        kept = several | ((h & SURE_ANCHOR) != 0)
-        yield _batch(doc=doc[kept], h=h[kept] & ~SURE_ANCHOR)
+        h = rows.column("h").to_numpy()
+        yield _batch(h=np.unique(h[several | ((h & SURE_ANCHOR) != 0)] & ~SURE_ANCHOR))
+
+
+def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching spans of each doc made one."""
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = doc[1:] != doc[:-1]
+    base = (np.cumsum(fresh) - 1) << 32  # keeps docs apart in one running maximum
+    reach = np.maximum.accumulate(base + b)
+    opens = fresh.copy()
+    opens[1:] |= (base + a)[1:] > reach[:-1]
+    at = np.flatnonzero(opens)
+    ends = np.append(at[1:], len(doc)) - 1 if len(at) else at
+    return doc[at], a[at], (reach - base)[ends]
 
 
 def _shared_spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, a, b) of sorted spans that two docs share."""
+        """(doc, a, b) of sorted spans that two docs share, merged as far as they are at hand."""
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            doc, a, b = merged(*(np.concatenate(x) for x in zip(*parts)))
+            return _batch(doc=doc, a=a.astype(np.int32), b=b.astype(np.int32))
+
         for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy(), r.column("tail").to_numpy() >> 32)):
-            doc, tail = rows.column("doc").to_numpy(), rows.column("tail").to_numpy()
+            doc, tail, more = (rows.column(c).to_numpy() for c in ("doc", "tail", "more"))
             sure = (tail & SURE_SPAN) != 0
             kept = several | sure
             start = tail & (SURE_SPAN - 1)
-            end = np.where(sure, tail >> 32, start + length)
-            yield _batch(doc=doc[kept], a=start[kept].astype(np.int32), b=end[kept].astype(np.int32))
+            end = np.where(sure, tail >> 32, start + more + length)
+            parts.append((doc[kept], start[kept], end[kept]))
+            held += int(kept.sum())
+            if held >= ROWS_AT_ONCE:
+                yield flush()
+                parts, held = [], 0
+        if held:
+            yield flush()
 
     return run
 
 
-def _candidate_spans(length: int):
+def _candidate_spans(length: int, known: Broadcast):
     width = length - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = WindowHash(0), WindowHash(1)
+        hashers, anchors = (WindowHash(0), WindowHash(1)), known.value
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             h1, h2, d, p = (np.concatenate(x) for x in zip(*parts))
             order, shared, first = _met((h1, h2), d)
-            first, sure = np.sort(order[first]), np.sort(order[shared])
+            sure = np.sort(order[shared])
+            # Of the first row of a key, its places; those that overlap or touch are one stretch.
+            at = order[first]
+            at = at[np.lexsort((p[at], h2[at], h1[at]))]
+            far = np.ones(len(at), bool)
+            far[1:] = (h1[at][1:] != h1[at][:-1]) | (h2[at][1:] != h2[at][:-1]) | (p[at][1:] > p[at][:-1] + length)
+            begins = np.flatnonzero(far)
+            reach = np.zeros(len(h1), np.int64)
+            reach[at[begins]] = p[at[np.append(begins[1:], len(at)) - 1]] - p[at[begins]] if len(at) else 0
+            first = np.sort(at[begins])
             # Sure spans, merged to runs of adjacent starts.
             sd, sp = d[sure], p[sure]
             opens = np.ones(len(sd), bool)
@@ -202,15 +242,18 @@ def _candidate_spans(length: int):
             key = np.concatenate([h1[first], mixed(sd[lo].view(np.uint64))]).view(np.int64)
             found = (h2[first] & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | p[first]
             tail = np.concatenate([found, ((sp[hi] + length) << 32) | SURE_SPAN | sp[lo]])
-            return _batch(h=key, doc=np.concatenate([d[first], sd[lo]]), tail=tail)
+            more = np.concatenate([reach[first], np.zeros(len(lo), np.int64)]).astype(np.int32)
+            return _batch(h=key, doc=np.concatenate([d[first], sd[lo]]), tail=tail, more=more)
 
         parts, held = [], 0
         for batch in batches:
-            for doc, text, wanted in zip(batch.column("_doc").to_pylist(), batch.column("_text"), batch.column("_hashes")):
+            for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):
                 points = code_points(text.as_py())
                 n = len(points)
                 starts = anchor_starts(n, width)
-                found = starts[np.isin(hashers[0].at(points, starts, width).view(np.int64) & ~SURE_ANCHOR, wanted.values.to_numpy())]
+                found = starts[anchors.has((hashers[0].at(points, starts, width).view(np.int64) & ~SURE_ANCHOR).view(np.uint64))]
+                if not len(found):
+                    continue
                 marks = np.zeros(n + 2, np.int32)
                 np.add.at(marks, np.maximum(found - (length - width), 0), 1)
                 np.add.at(marks, np.minimum(found, n - length) + 1, -1)
@@ -250,13 +293,9 @@ def shared_runs(df: DataFrame, key: str, text: str, length: int = 200) -> DataFr
         raise ValueError(f"length must be at least {2 * PERIOD}")
     name = f"{key}_key" if key in ("start_pos", "end_pos") else key
     rows = df.select(df[key].cast("long").alias("_doc"), df[text].alias("_text")).where((F.length("_text") >= length) & F.col("_doc").isNotNull())
-    place = F.when(F.col("h").bitwiseAND(int(SURE_ANCHOR)) != 0, F.col("doc")).otherwise(F.col("h"))
-    anchors = rows.mapInArrow(_anchors(length), ANCHORS).repartition(place).sortWithinPartitions("h", "doc")
-    met = anchors.mapInArrow(_shared_anchors, "doc long, h long")
-    wanted = cut_lineage(met.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_hashes")))
-    # A row of `wanted` holds at most a ninth as many hashes as its text has characters.
-    small = wanted.agg(F.sum(F.size("_hashes"))).first()[0] or 0
-    candidates = rows.join(F.broadcast(wanted) if small <= BROADCAST_ROWS else wanted, "_doc")
-    spans = candidates.mapInArrow(_candidate_spans(length), SPANS).repartition("h").sortWithinPartitions("h", F.shiftright("tail", 32), "doc")
+    anchors = rows.mapInArrow(_anchors(length), ANCHORS).repartition(F.col("h").bitwiseAND(int(~SURE_ANCHOR))).sortWithinPartitions("h", "doc")
+    met = cut_lineage(anchors.mapInArrow(_shared_anchors, "h long"))
+    known = df.sparkSession.sparkContext.broadcast(filter_of(met, "h", met.count()))
+    spans = rows.mapInArrow(_candidate_spans(length, known), SPANS).repartition("h").sortWithinPartitions("h", F.shiftright("tail", 32), "doc")
     found = spans.mapInArrow(_shared_spans(length), "doc long, a int, b int")
     return _runs(found).select(F.col("doc").alias(name), "start_pos", "end_pos")
