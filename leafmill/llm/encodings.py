@@ -1,11 +1,11 @@
 """Text that went through a wrong decoding, found and put right by the garbled forms of clean words.
 
-One pass over the pages counts, per task, the corpus's words that hold other
-than ASCII characters (in scripts without spaces, its pairs of characters), and
-cuts the tokens that some chain of encodings could have made. The garbled forms of every
-clean word under every chain are the table that these tokens are hash-joined with;
-a hit is a verified place, and its word the original. Lost characters (U+FFFD)
-and printed codes prove themselves.
+A first pass over the pages counts the corpus's units that hold other than ASCII characters: words, their
+runs of such characters, in scripts without spaces pairs of characters. The garbled forms of
+every clean unit under every chain of encodings are a table. A second pass cuts the pages' own tokens -
+words, runs, and windows as long as the forms of pairs - and those that a bounded filter of the
+table lets pass are hash-joined with it. What stands on fewer page texts than its original is
+garbled, and the original its word. Lost characters (U+FFFD) and printed codes prove themselves.
 """
 
 from __future__ import annotations
@@ -16,18 +16,24 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
 from leafmill.llm.copies import with_copies
+from leafmill.llm.filters import Filter, filter_of
+from leafmill.llm.shared_spans import WindowHash, code_points
 
 #: Verified tokens up to which they are broadcast to the pages; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
-#: Pages that a word must be on to count as the corpus's own.
-MIN_PAGES = 3
+#: Different page texts that a word must be on: its form is on one at least, and must be on fewer.
+MIN_TEXTS = 2
+#: Characters of pages that are worked on together.
+AT_ONCE = 1_000_000
 
 
 def _sloppy(name: str) -> tuple[dict[int, int], str]:
@@ -135,21 +141,11 @@ def page_words(text: str) -> set[str]:
         units.update(map(str.__add__, run, run[1:]))
     for word in _WORD.findall(text):
         if not _DENSE_RUN.search(word):
-            if len(word) <= 40:
-                units.add(word)
+            units.add(word)
             units.update(_RUN.findall(word))
     return units
 
 
-def _around(text: str, start: int, end: int) -> tuple[int, int]:
-    """The word that text[start:end] is part of: ASCII letters and other characters on both sides."""
-    while start and (text[start - 1] > "\x7f" or text[start - 1].isalpha()):
-        start -= 1
-    while end < len(text) and (text[end] > "\x7f" or text[end].isalpha()):
-        end += 1
-    return start, end
-
-
 def _put_right(raw: bytes, name: str, first: str | None) -> tuple[str, int]:
     """Bytes read as `name` with their UTF-8 runs decoded, twice if they had been read as `first` before, and how many such runs."""
     out, at, n = [], 0, 0
@@ -172,19 +168,6 @@ def _normal_case(word: str) -> bool:
     return bool(letters) and (letters.islower() or letters.isupper() or letters[1:].islower() or letters.istitle())
 
 
-@lru_cache(200_000)
-def _narrow_suspects(word: str) -> tuple[tuple[str, str], ...]:
-    """(form, original) of a word under the single-byte chains."""
-    found = []
-    for source, name in NARROW_READ_AS:
-        raw = _to_bytes(word, name)
-        if raw is not None:
-            made = _read(raw, source)
-            if made != word and _normal_case(made):
-                found.append((word, made))
-    return tuple(found)
-
-
 @lru_cache(200_000)
 def _utf8_readings(run: str) -> tuple[tuple[tuple[tuple[str, str], ...], str], ...]:
     """(chain, original) of a run that holds UTF-8 read in a single-byte charset."""
@@ -200,12 +183,6 @@ def _utf8_readings(run: str) -> tuple[tuple[tuple[tuple[str, str], ...], str], .
     return tuple(found)
 
 
-def _dense(text: str, made: str, *chain: tuple[str, str]) -> set[tuple[str, str]]:
-    """(form, original) of the pairs of a restored stretch whose forms stand in the text."""
-    pairs = {pair for run in _DENSE_RUN.findall(made) for pair in map(str.__add__, run, run[1:])}
-    return {(form, pair) for pair in pairs if (form := garble(pair, chain)) and form in text}
-
-
 def _readable(made: str, source: str) -> bool:
     """Whether a stretch could be text of a wide charset's language: enough hiragana, or enough of the commonest signs of Chinese."""
     own = _HIRAGANA if source in ("cp932", "euc_jp") else _COMMON_HAN
@@ -239,27 +216,18 @@ def stretches(text: str) -> Iterator[tuple[int, int, str, tuple[tuple[str, str],
                 yield m.start(), m.end(), made, ((source, name),)
 
 
-def suspects(text: str) -> set[tuple[str, str]]:
-    """(form, original) of every token that a chain could have made: the text's words that hold more than ASCII, and, where a stretch turns out to be of a dense script, its pairs."""
-    found: set[tuple[str, str]] = set()
-    if text.isascii():
-        return found
-    for start, end, made, chain in stretches(text):
-        found |= _dense(text, made, *chain)
-        if chain[-1] in _UTF8_STEPS:
-            a, b = _around(text, start, end)
-            found.add((text[start:end], made))
-            found.add((text[a:b], text[a:start] + made + text[end:b]))
-    for word in _WORD.findall(text):
-        if 1 < len(word) <= 40:
-            found.update(_narrow_suspects(word))
-    return found
-
-
 def restored(text: str, known: set[tuple[str, str]]) -> tuple[str, int]:
-    """The text with its verified tokens put back, and the number of places: first stretches of dense scripts of which a third of the pairs is verified, then other tokens, the longest first."""
+    """The text with its verified tokens put back, and the number of places: first whole words and runs, then stretches of dense scripts of which a third of the pairs is verified, then other tokens, the longest first."""
     originals = {original for _, original in known}
-    n, best = 0, {}
+    whole, count = dict(sorted(known)), 0
+
+    def put(m: re.Match[str]) -> str:
+        nonlocal count
+        count += m.group() in whole
+        return whole.get(m.group(), m.group())
+
+    text = _RUN.sub(put, _WORD.sub(put, text)) if whole else text
+    n, best = count, {}
     for start, end, made, chain in stretches(text) if originals else ():
         pairs = {p for run in _DENSE_RUN.findall(made) for p in map(str.__add__, run, run[1:])}
         score = len(pairs & originals)
@@ -281,86 +249,219 @@ def restored(text: str, known: set[tuple[str, str]]) -> tuple[str, int]:
     return text, n + len(codes)
 
 
-SCAN = T.StructType([T.StructField("doc", T.LongType()), T.StructField("page", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n", T.LongType()), T.StructField("excess", T.DoubleType())])
-_SCAN = pa.schema([("doc", pa.int64()), ("page", pa.int32()), ("form", pa.string()), ("original", pa.string()), ("n", pa.int64()), ("excess", pa.float64())])
 WORDS_AT_ONCE = 300_000
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc, page, form, original) for suspects, of (doc, page) for what proves itself, of (original, n, excess) for words, the pages they are on and how many of these are copies of others, in parts."""
+def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(original, texts) of the pages' units, in parts; each of several copies of a page weighs its part of one."""
     words: Counter[str] = Counter()
-    excess: Counter[str] = Counter()
 
     def counted() -> pa.RecordBatch:
-        none = pa.nulls(len(words))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64()), pa.array([excess[w] for w in words], pa.float64())], schema=_SCAN)
+        return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.float64())], names=["original", "texts"])
 
     for batch in batches:
-        rows = []
-        for doc, page, text, copies in zip(*(batch.column(n).to_pylist() for n in ("_doc", "_page", "_text", "_copies"))):
-            text = text.encode("utf-8", "replace").decode()
-            if _LOST in text or any(True for _ in printed_codes(text)):
-                rows.append((doc, page, None, None))
-            rows += [(doc, page, form, original) for form, original in suspects(text)]
-            words.update(units := page_words(text))
-            if copies:
+        for text, copies in zip(batch.column("_text").to_pylist(), batch.column("_copies").to_pylist()):
+            if text.isascii():
+                continue
+            units = page_words(text.encode("utf-8", "replace").decode())
+            if copies is None:
+                words.update(units)
+            else:
                 for unit in units:
-                    excess[unit] += 1 - 1 / copies
-        if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.nulls(len(rows)).cast(pa.int64()), pa.nulls(len(rows)).cast(pa.float64())], schema=_SCAN)
+                    words[unit] += 1 / copies
         if len(words) > WORDS_AT_ONCE:
             yield counted()
             words.clear()
-            excess.clear()
     if words:
         yield counted()
 
 
+WORD, RUN, PAIR = range(3)
+_UTF8_CHAINS = [k for k, chain in enumerate(CHAINS) if chain[0][0] == "utf-8"]
+_NARROW_CHAINS = [k for k, chain in enumerate(CHAINS) if chain[0] in NARROW_READ_AS]
+_PAIR_CHAINS = [k for k, chain in enumerate(CHAINS) if chain[0] not in NARROW_READ_AS]
+_ONE_DENSE_PAIR = re.compile(f"[{DENSE}]{{2}}")
+
+
+def chains_of(unit: str) -> list[tuple[int, int]]:
+    """(kind of token, chain) under which the forms of a unit are looked for: those of words everywhere, of runs within a word under UTF-8, of pairs within dense stretches."""
+    if _ONE_DENSE_PAIR.fullmatch(unit) or _DENSE_RUN.fullmatch(unit):
+        return [(PAIR, k) for k in _PAIR_CHAINS] if len(unit) == 2 else []
+    if _RUN.fullmatch(unit) and len(unit) == 1:
+        return [(RUN, k) for k in _UTF8_CHAINS]
+    found = [(WORD, k) for k in (*_UTF8_CHAINS, *_NARROW_CHAINS)]
+    return found + [(RUN, k) for k in _UTF8_CHAINS] if _RUN.fullmatch(unit) else found
+
+
+#: Bytes that a unit's characters must have for their being UTF-8 not to be chance.
+EVIDENT_BYTES = 6
+
+
+def is_clean(unit: str) -> bool:
+    """Whether a unit isn't, as a whole, UTF-8 that was read in a single-byte charset; of shorter ones the count of texts decides."""
+    high = "".join(_RUN.findall(unit))
+    for name in UTF8_READ_AS if len(high) >= EVIDENT_BYTES else ():
+        raw = _to_bytes(high, name)
+        if raw is not None and _UTF8_RUN.fullmatch(raw):
+            return False
+    return True
+
+
+FORMS = T.StructType([T.StructField("form", T.StringType()), T.StructField("h", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("chain", T.IntegerType()), T.StructField("original", T.StringType()), T.StructField("texts", T.DoubleType())])
+
+
+def hashes_of(strings: list[str], hasher: WindowHash, kinds: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings, pairs apart from words and runs."""
+    points, sizes = code_points("".join(strings)), np.array([len(s) for s in strings], np.int64)
+    return hasher.at(points, np.cumsum(sizes) - sizes, sizes) ^ (kinds == PAIR).astype(np.uint64)
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(form, original, n, texts) of every clean word under every chain."""
+    """Every clean unit under every chain that its tokens are looked for by; a form that is its unit's under several chains has a row for each."""
+    hasher = WindowHash(0)
     for batch in batches:
-        forms, at = [], []
+        forms, kinds, chains, at = [], [], [], []
         for i, word in enumerate(batch.column("original").to_pylist()):
-            made = {garble(word, chain) for chain in CHAINS}
-            made.discard(None)
-            forms += made
-            at += [i] * len(made)
-        rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), batch.column("original").take(rows), batch.column("n").take(rows), batch.column("texts").take(rows)], names=["form", "original", "n", "texts"])
+            made: dict[int, str | None] = {}
+            for kind, k in chains_of(word) if is_clean(word) else ():
+                if k not in made:
+                    made[k] = garble(word, CHAINS[k])
+                form = made[k]
+                if form and _LOST not in form and (kind == PAIR or _WORD.fullmatch(form)):
+                    forms.append(form)
+                    kinds.append(kind)
+                    chains.append(k)
+                    at.append(i)
+        rows, kind = pa.array(at, pa.int64()), np.array(kinds, np.int32)
+        hashed = hashes_of(forms, hasher, kind).view(np.int64) if forms else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(hashed), pa.array(kind), pa.array(chains, pa.int32()), batch.column("original").take(rows), batch.column("texts").take(rows)], names=FORMS.names)
+
+
+TOKENS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("page", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("form", T.StringType()), T.StructField("weight", T.DoubleType())])
+
+
+def _windows(points: np.ndarray, hasher: WindowHash, known: Filter, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(starts, length) of the windows that may be forms of pairs; short ones count only where they overlap each other."""
+    near = lengths[np.minimum(points, len(lengths) - 1)]
+    for length in range(1, 32):
+        starts = np.flatnonzero((near >> np.uint32(length)) & 1)
+        starts = starts[starts + length <= len(points)]
+        if not len(starts):
+            continue
+        starts = starts[known.has(hasher.at(points, starts, length) ^ np.uint64(1))]
+        if length < EVIDENT and len(starts):
+            close = np.diff(starts) < length
+            starts = starts[np.append(close, False) | np.append(False, close)]
+        if len(starts):
+            yield starts, length
+
+
+def _tokens(known: Broadcast, lengths: np.ndarray):
+    """The pages' own tokens that the filter of forms lets pass, and (doc, page) of pages that prove themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, forms = WindowHash(0), known.value
+
+        def looked_up(pages: list[tuple[int, int, str, float]]) -> pa.RecordBatch:
+            whole = "\n".join(text for _, _, text, _ in pages)
+            begins = np.cumsum([0] + [len(text) + 1 for _, _, text, _ in pages])[:-1]
+            points, at, ends, kinds = code_points(whole), [], [], []
+            for kind, pattern in ((WORD, _WORD), (RUN, _RUN)):
+                places = [m.span() for m in pattern.finditer(whole)]
+                if places:
+                    a, b = np.array(places).T
+                    passed = forms.has(hasher.at(points, a, b - a))
+                    at.append(a[passed])
+                    ends.append(b[passed])
+                    kinds.append(np.full(int(passed.sum()), kind))
+            for starts, length in _windows(points, hasher, forms, lengths):
+                at.append(starts)
+                ends.append(starts + length)
+                kinds.append(np.full(len(starts), PAIR))
+            a, b, kind = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, ends, kinds))
+            page = np.searchsorted(begins, a, "right") - 1
+            cols = list(zip(*((pages[p][0], pages[p][1], i - o, k, whole[i:j], pages[p][3]) for p, i, j, k, o in zip(page.tolist(), a.tolist(), b.tolist(), kind.tolist(), begins[page].tolist())))) or [()] * 6
+            return rows_of(cols)
+
+        def rows_of(cols: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], names=TOKENS.names)
+
+        held, size = [], 0
+        for batch in batches:
+            sure = []
+            for doc, page, text, copies in zip(*(batch.column(n).to_pylist() for n in ("_doc", "_page", "_text", "_copies"))):
+                if _LOST in text or any(True for _ in printed_codes(text)):
+                    sure.append((doc, page, None, None, None, None))
+                if not text.isascii():
+                    held.append((doc, page, text.encode("utf-8", "replace").decode(), 1.0 / (copies or 1)))
+                    size += len(text)
+                if size >= AT_ONCE:
+                    yield looked_up(held)
+                    held, size = [], 0
+            if sure:
+                yield rows_of(list(zip(*sure)))
+        if held:
+            yield looked_up(held)
+
+    return run
+
+
+#: Length of a window from which on it proves a pair alone; of shorter ones, three characters and more must follow on each other, of pairs of characters four.
+EVIDENT = 5
 
 
-def garbled_tokens(df: DataFrame, doc: str, page: str, text: str, min_pages: int = MIN_PAGES) -> DataFrame:
+def garbled_tokens(df: DataFrame, doc: str, page: str, text: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Verified garbled places: doc, page (as long and int), form, original.
 
     A row for each distinct token of a page that is a garbled form of a word
-    standing on `min_pages` pages or more, and on more different page texts than the form itself
-    (of a tie, on more pages), so that copies of one page can't outvote other pages; a row with null form and original for a page with lost characters or printed codes.
+    standing on `min_texts` different page texts or more, and on more of them than the form itself,
+    so that copies of one page can't outvote other pages; a row with null form and original for a page with lost characters or printed codes.
     Null and empty texts give no row. Vocabulary, forms and tokens are tables of
-    the cluster; only verified tokens are broadcast, up to BROADCAST_ROWS. Rows of one page are one page.
+    the cluster; a filter of bounded size goes to every task, and verified tokens are broadcast up to BROADCAST_ROWS. Rows of one page are one page.
     """
     pages = df.select(df[doc].cast("long").alias("_doc"), df[page].cast("int").alias("_page"), df[text].alias("_text")).where(F.length("_text") > 0)
-    scanned = cut_lineage(with_copies(pages, "_text").mapInArrow(_scan, SCAN))
-    words = scanned.where("n IS NOT NULL").groupBy("original").agg(F.sum("n").alias("n"), (F.sum("n") - F.round(F.sum("excess"))).cast("long").alias("texts"))
-    tokens = scanned.where("form IS NOT NULL").select("doc", "page", "form", "original")
-    forms = words.where(F.col("n") >= min_pages).mapInArrow(_forms, "form string, original string, n long, texts long")
-    own = words.select(F.col("original").alias("form"), F.col("n").alias("n_form"), F.col("texts").alias("texts_form"))
-    more = F.struct("texts", "n") > F.struct(F.coalesce("texts_form", F.lit(0)).alias("texts"), F.coalesce("n_form", F.lit(0)).alias("n"))
-    # The distinct tokens meet the table, merged in each task first; then the verified ones go back to their pages.
-    distinct = tokens.select("form", "original").distinct()
-    verified = distinct.join(forms, ["form", "original"]).join(own, "form", "left").where(more)
-    verified = cut_lineage(verified.select("form", "original"))
-    hits = tokens.join(F.broadcast(verified) if verified.count() <= BROADCAST_ROWS else verified, ["form", "original"]).distinct()
-    sure = scanned.where("form IS NULL AND n IS NULL").select("doc", "page", "form", "original").distinct()
-    return hits.select("doc", "page", "form", "original").unionByName(sure)
-
-
-def put_right(df: DataFrame, doc: str, page: str, text: str, min_pages: int = MIN_PAGES) -> DataFrame:
+    pages = with_copies(pages, "_text")
+    units = pages.mapInArrow(_count_units, "original string, texts double").groupBy("original").agg(F.round(F.sum("texts")).alias("texts"))
+    forms = cut_lineage(units.where(F.col("texts") >= min_texts).mapInArrow(_forms, FORMS))
+    # At most a row for each character: the lengths, as bits, of the forms of pairs that begin with it.
+    pairs = forms.where(f"kind = {PAIR} AND length(form) < 32").groupBy(F.ascii("form").alias("c")).agg(F.expr("bit_or(shiftleft(1L, length(form)))").alias("bits"))
+    lengths = np.zeros(0x110000, np.uint32)
+    for row in pairs.collect():
+        lengths[row["c"]] = row["bits"]
+    known = df.sparkSession.sparkContext.broadcast(filter_of(forms, "h", forms.count()))
+    tokens = cut_lineage(pages.mapInArrow(_tokens(known, lengths), TOKENS))
+    cut = tokens.where("form IS NOT NULL")
+    # The distinct tokens, merged in each task first, meet the table; then the verified ones go back to their places.
+    distinct = cut.groupBy("doc", "page", "kind", "form").agg(F.max("weight").alias("weight")).groupBy("kind", "form").agg(F.round(F.sum("weight")).alias("texts_form"))
+    kind = F.when(F.col("kind") == PAIR, PAIR).otherwise(F.col("kind")).alias("kind")
+    verified = distinct.join(forms.select("form", kind, "chain", "original", "texts"), ["kind", "form"]).where("texts > texts_form")
+    narrow = F.col("chain").isin(_NARROW_CHAINS)
+    normal = F.regexp_replace("original", r"[^\p{L}]", "").rlike(r"^(?:\p{Ll}+|\p{Lu}+|.\p{Ll}+)$")
+    verified = verified.where(~narrow | ((F.length("form") > 1) & normal))
+    # A word or run has one original, that on most texts; a pair may be another's in each chain.
+    best = F.max_by(F.struct("chain", "original"), F.struct("texts", "original")).alias("best")
+    words = verified.where(f"kind <> {PAIR}").groupBy("kind", "form").agg(best).select("kind", "form", "best.chain", "best.original")
+    verified = cut_lineage(words.unionByName(verified.where(f"kind = {PAIR}").select("kind", "form", "chain", "original").distinct()))
+    met = cut.join(F.broadcast(verified) if verified.count() <= BROADCAST_ROWS else verified, ["kind", "form"])
+    alone = met.where(f"kind <> {PAIR} OR length(form) >= {EVIDENT}")
+    # Short windows: where enough of one chain overlap, the chain is proven for its page, and all its windows count.
+    stretch = Window.partitionBy("doc", "page", "chain").orderBy("at")
+    short = met.where(f"kind = {PAIR} AND length(form) < {EVIDENT}").withColumn("_far", F.when(F.col("at") - F.lag("at").over(stretch) < F.length("form"), 0).otherwise(1))
+    short = short.withColumn("_island", F.sum("_far").over(stretch.rowsBetween(Window.unboundedPreceding, 0)))
+    least = F.when(F.length("form") > 2, 2).otherwise(3)
+    short = short.withColumn("_proven", F.count("*").over(Window.partitionBy("doc", "page", "chain", "_island")) >= least)
+    short = short.withColumn("_proven", F.max("_proven").over(Window.partitionBy("doc", "page", "chain"))).where("_proven")
+    hits = alone.select("doc", "page", "form", "original").unionByName(short.select("doc", "page", "form", "original")).distinct()
+    sure = tokens.where("form IS NULL").select("doc", "page", "form", F.lit(None).cast("string").alias("original")).distinct()
+    return hits.unionByName(sure)
+
+
+def put_right(df: DataFrame, doc: str, page: str, text: str, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Every page in its original characters, as far as they are known: doc, page, text, n_restored.
 
     n_restored counts the places put back. Lost characters stay as they are. Pages of a null text keep it.
     """
-    tokens = garbled_tokens(df, doc, page, text, min_pages).where("form IS NOT NULL")
+    tokens = garbled_tokens(df, doc, page, text, min_texts).where("form IS NOT NULL")
     fixes = tokens.groupBy(F.col("doc").alias("_doc"), F.col("page").alias("_page")).agg(F.collect_list(F.struct("form", "original")).alias("_fixes"))
     pages = df.select(df[doc].cast("long").alias("_doc"), df[page].cast("int").alias("_page"), df[text].alias("_text"))
 
