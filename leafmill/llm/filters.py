@@ -32,18 +32,19 @@ class Filter:
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Which of these hashes (uint64) may be in the table; those in it always are."""
-        found = np.ones(len(hashes), bool)
-        for places in _places(hashes, self.size):
-            at = (hashes >> np.uint64(58)) * np.uint64(self.size) + places
-            found &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        left = np.arange(len(hashes))
+        for k in range(PLACES):  # most hashes that aren't there fail at the first place
+            h = hashes[left]
+            at = (h >> np.uint64(58)) * np.uint64(self.size) + _place(h, k, self.size)
+            left = left[((self.bits[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).view(bool)]
+        found = np.zeros(len(hashes), bool)
+        found[left] = True
         return found
 
 
-def _places(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
+def _place(hashes: np.ndarray, k: int, size: int) -> np.ndarray:
     low, step = hashes & np.uint64(0xFFFFFFFF), ((hashes >> np.uint64(26)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    for k in range(PLACES):
-        x = (low + np.uint64(k) * step) * np.uint64(0x9E3779B97F4A7C15)
-        yield (x >> np.uint64(29)) & np.uint64(size - 1)
+    return (((low + np.uint64(k) * step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)) & np.uint64(size - 1)
 
 
 def bits_for(n: int) -> int:
@@ -66,8 +67,8 @@ def filter_of(hashes: DataFrame, column: str, n: int) -> Filter:
             blocks = (h >> np.uint64(58)).astype(np.int64)
             for block in np.unique(blocks).tolist():
                 bits = parts.setdefault(block, np.zeros(size, bool))
-                for places in _places(h[blocks == block], size):
-                    bits[places.astype(np.int64)] = True
+                for k in range(PLACES):
+                    bits[_place(h[blocks == block], k, size).view(np.int64)] = True
         for block, bits in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
 
