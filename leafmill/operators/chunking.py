@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.columns import match_starts
+
 # What begins a section, by line.
-SECTION_STARTS = "(?m)^(?:第[0-9一二三四五六七八九十]+[章節]|[0-9]+\\.[0-9]+ |[0-9]+\\. |# |Chapter |Section |Article )"
+SECTION_STARTS = "(?m)^(?:#{1,6}\\s+|[0-9]+\\.\\s+|[0-9]+\\.[0-9]+\\s+|第[0-9]+[章条節項]|[一二三四五六七八九十]+[、.]|={3,}|-{3,})"
 
 
 def packed(pages: DataFrame, keys: list[str], page: str, text: str, most: int, least: int, unit: str = "characters") -> DataFrame:
@@ -47,10 +49,29 @@ def _joined(placed: DataFrame, keys: list[str], page: str, text: str) -> DataFra
 
 def section_positions(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Where sections begin in each text."""
-    found = df.where(F.length(text) > 0).select(*keys, F.transform(F.split(text, SECTION_STARTS, -1), F.length).alias("_b"), F.regexp_extract_all(F.col(text), F.lit(SECTION_STARTS), F.lit(0)).alias("_m"))
-    spots = found.select(*keys, "_b", "_m", F.posexplode("_m").alias("_k", "start_text"))
-    before = F.aggregate(F.slice("_b", 1, F.col("_k") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("_m", 1, F.col("_k")), F.lit(0), lambda a, x: a + F.length(x))
-    return spots.select(*keys, before.alias("position"), "start_text")
+    found = df.where(F.length(text) > 0).select(*keys, text, F.regexp_extract_all(F.col(text), F.lit(SECTION_STARTS), F.lit(0)).alias("_m")).where(F.size("_m") > 0)
+    spots = found.select(*keys, F.explode(F.arrays_zip(match_starts(F.col(text), F.lit(SECTION_STARTS), F.col("_m")).alias("position"), F.col("_m").alias("start_text"))).alias("_s"))
+    return spots.select(*keys, "_s.position", "_s.start_text")
+
+
+def packed_by_sections(df: DataFrame, keys: list[str], text: str, most: int = 5000, least: int = 1000) -> DataFrame:
+    """Texts in chunks that end where sections begin: keys, chunk_id, start_pos, end_pos, content.
+
+    A chunk is closed before a section that would take it beyond `most`, if it holds `least`; what follows the last
+    begin of a section stays with its chunk. Only the sections' sizes are folded. A text without sections has no row (pack its pages instead).
+    """
+    starts = section_positions(df, keys, text).groupBy(*keys).agg(F.array_sort(F.collect_set("position")).alias("_p"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array(F.lit(0)).alias("cuts"))
+
+    def step(acc: Column, p: Column) -> Column:
+        size = p - acc["at"]
+        closes = (acc["held"] + size > most) & (acc["held"] >= least)
+        return F.struct(p.alias("at"), F.when(closes, size).otherwise(acc["held"] + size).alias("held"), F.when(closes, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"))
+
+    cut = df.join(starts, keys).select(*keys, F.col(text).alias("_text"), F.aggregate("_p", begin, step, lambda a: a["cuts"]).alias("_c"))
+    ends = F.concat(F.slice("_c", F.lit(2), F.size("_c")), F.array(F.length("_text")))
+    each = cut.select(*keys, "_text", F.posexplode(F.arrays_zip(F.col("_c").alias("start_pos"), ends.alias("end_pos"))).alias("chunk_id", "_s"))
+    return each.select(*keys, "chunk_id", "_s.start_pos", "_s.end_pos", F.expr("substring(_text, _s.start_pos + 1, _s.end_pos - _s.start_pos)").alias("content"))
 
 
 def with_overlaps(chunks: DataFrame, keys: list[str], size: int = 500) -> DataFrame:

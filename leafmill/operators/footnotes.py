@@ -30,12 +30,33 @@ def markers(words: DataFrame, sizes: DataFrame, main: float = 0.8, around: int =
     return found.select(*PAGE, "word_ix", F.col("text").alias("marker"), context.alias("context"))
 
 
-def definition_spans(lines: DataFrame, keys: list[str], line_no: str, text: str) -> DataFrame:
+def footnote_lines(words: DataFrame, sizes: DataFrame, main: float = 0.8, reach: float = 5.0) -> DataFrame:
+    """The lines of a page's lower part: a word opens a line when it stands `reach` or more from the line's first word, words in order of the decoder; a line's words go by x0.
+
+    Each line's first word depends on those before, so the words of a page's lower part, which are few, are folded.
+    """
+    low = words.join(sizes, PAGE).where(F.col("top") >= main * F.col("page_height"))
+    ordered = low.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("word_ix", "top", "x0", "text"))).alias("_w"))
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def step(acc: Column, w: Column) -> Column:
+        opens = acc["anchor"].isNull() | (F.abs(w["top"] - acc["anchor"]) >= reach)
+        line = acc["line"] + opens.cast("int")
+        return F.struct(F.when(opens, w["top"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    placed = ordered.withColumn("_l", F.aggregate("_w", start, step, lambda a: a["lines"]))
+    each = placed.select(*PAGE, F.explode(F.arrays_zip("_w", "_l")).alias("_x")).select(*PAGE, F.col("_x._l").alias("line_no"), "_x._w.*")
+    texts = F.array_sort(F.collect_list(F.struct("x0", "word_ix", "text")))
+    return each.groupBy(*PAGE, "line_no").agg(texts.alias("_t")).select(*PAGE, "line_no", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("line_text"))
+
+
+def definition_spans(lines: DataFrame, keys: list[str], line_no: str | list[str], text: str) -> DataFrame:
     """Definitions from ordered lines: one begins at a marker and takes in the lines up to the next; lines before the first are dropped."""
     starts = F.col(text).rlike(FOOTNOTE_MARKER)
-    order = Window.partitionBy(*keys).orderBy(line_no)
+    line_no = [line_no] if isinstance(line_no, str) else line_no
+    order = Window.partitionBy(*keys).orderBy(*line_no)
     grouped = lines.withColumn("_d", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_d > 0")
-    joined = grouped.groupBy(*keys, F.col("_d").alias("definition_no")).agg(F.array_sort(F.collect_list(F.struct(line_no, text))).alias("_l"))
+    joined = grouped.groupBy(*keys, F.col("_d").alias("definition_no")).agg(F.array_sort(F.collect_list(F.struct(*line_no, text))).alias("_l"))
     whole = F.array_join(F.transform("_l", lambda x: x[text]), " ")
     marker = F.regexp_extract(whole, FOOTNOTE_MARKER, 0)
     return joined.select(*keys, "definition_no", marker.alias("marker"), F.regexp_replace(whole, FOOTNOTE_MARKER + "[:： ]*", "").alias("text"))

@@ -22,6 +22,8 @@ def _in_page() -> WindowSpec:
 SECTION_NUMBER = r"^(?:\d+\.\d+|\(\d+\)|[①-⑳]|\d+[)）]|第?\d+[章条項節款目]|\d+\.|[一二三四五六七八九十]+[、.])"
 # Patterns that begin a footnote marker.
 FOOTNOTE_MARKER = r"^(?:\*\d+|※\d+|注\d+|†|‡|\[\d+\]|\(\*?\d+\))"
+# Patterns that a word of a footnote begins with.
+FOOTNOTE_BEGIN = r"^(?:\*\d*|※\d*|注\d*|†|‡|\[\d+\]|\(\d+\)|[¹²³⁴⁵⁶⁷⁸⁹⁰])"
 # Words that are nothing but a page number.
 STRICT_PAGE_NUMBER = r"^(?:page\s*\d+|p\.\s*\d+|-\s*\d+\s*-|\d+\s*/\s*\d+|\d+\s*ページ|\d+\s*頁)$"
 # Phrases of footnotes.
@@ -125,15 +127,67 @@ def repeating_zones(zones: DataFrame, pages: DataFrame, sample: int = 5, share:
     return counted.join(total, ["doc_id", "zone"]).where(F.col("n_pages") >= share * F.col("_n")).drop("_n")
 
 
+def near_pairs(a: DataFrame, b: DataFrame, x: str, y: str, reach: float) -> DataFrame:
+    """Rows of a page with the rows of `b` whose `y` is within `reach` of their `x`: an equality join on the page and on bands as wide as `reach`, each row of `b` standing in three."""
+    band = F.floor(F.col(y) / reach)
+    wide = b.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    joined = a.withColumn("_band", F.floor(F.col(x) / reach)).join(wide, [*PAGE, "_band"])
+    return joined.where(F.abs(F.col(x) - F.col(y)) <= reach).drop("_band")
+
+
+def _centre(prefix: str = "") -> tuple[Column, Column]:
+    return (F.col(f"{prefix}x0") + F.col(f"{prefix}x1")) / 2, (F.col(f"{prefix}top") + F.col(f"{prefix}bottom")) / 2
+
+
 def near_words(candidates: DataFrame, words: DataFrame, reach: float = 50.0) -> DataFrame:
-    """The candidates that have another word's centre nearer than `reach`; an exact copy of a word is no other word."""
-    centre = lambda p: ((F.col(f"{p}.x0") + F.col(f"{p}.x1")) / 2, (F.col(f"{p}.top") + F.col(f"{p}.bottom")) / 2)
-    a, b = candidates.alias("a"), words.alias("b")
-    (ax, ay), (bx, by) = centre("a"), centre("b")
-    same_page = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page"))
+    """The candidates that have another word's centre nearer than `reach`; an exact copy of a word is no other word.
+
+    Centres fall into squares as wide as `reach`; a candidate meets the words of its square and the eight around it.
+    """
+    x, y = _centre()
+    squares = lambda k: (F.floor(x / reach) + k).cast("long"), lambda k: (F.floor(y / reach) + k).cast("long")
+    around = F.explode(F.array(*(F.struct(squares[0](i).alias("i"), squares[1](j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    a = candidates.withColumn("_s", around).withColumns({"_i": F.col("_s.i"), "_j": F.col("_s.j")}).drop("_s").alias("a")
+    b = words.withColumns({"_i": squares[0](0), "_j": squares[1](0)}).alias("b")
+    (ax, ay), (bx, by) = _centre("a."), _centre("b.")
+    same_place = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
     other = F.struct(*(F.col(f"a.{c}") for c in ("text", "x0", "top", "x1", "bottom"))) != F.struct(*(F.col(f"b.{c}") for c in ("text", "x0", "top", "x1", "bottom")))
     near = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) < reach
-    return a.join(b, same_page & other & near, "left_semi")
+    met = a.join(b, same_place & other & near, "left_semi").select(*WORD).distinct()
+    return candidates.join(met, WORD, "left_semi")
+
+
+def without_repeated_places(words: DataFrame) -> DataFrame:
+    """Of words of one text at one place, rounded to a tenth, the first from the top and the left."""
+    first = Window.partitionBy(*PAGE, F.round("x0", 1), F.round("top", 1), "text").orderBy("top", "x0", "word_ix")
+    return words.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def footnote_content(words: DataFrame, reach: float = 20.0) -> DataFrame:
+    """Words that may be of a footnote: they begin like a marker, stand on a line with another word that does, hold a phrase of footnotes, or are longer than ten characters."""
+    text = F.trim("text")
+    begins = text.rlike(FOOTNOTE_BEGIN)
+    marks = words.where(begins).select(*PAGE, F.col("word_ix").alias("_mark"), F.col("top").alias("_mark_top"))
+    beside = near_pairs(words.select(*WORD, "top"), marks, "top", "_mark_top", reach)
+    beside = beside.where((F.abs(F.col("top") - F.col("_mark_top")) < reach) & (F.col("word_ix") != F.col("_mark"))).select(*WORD, F.lit(True).alias("_beside")).distinct()
+    rule = F.when(begins, "marker").when(F.coalesce("_beside", F.lit(False)), "beside_marker").when(text.rlike(FOOTNOTE_PHRASES), "phrase").when(F.length(text) > 10, "long")
+    return words.join(beside, WORD, "left").withColumn("rule", rule).where("rule IS NOT NULL").drop("_beside")
+
+
+def page_kinds(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """What becomes of each analysed page: its text where it has words, else a placeholder if it is scanned, an error mark if it holds characters that weren't read, nothing if it is blank."""
+    held = words.groupBy(*PAGE).agg(F.count("*").alias("n_words"))
+    n = F.coalesce("n_words", F.lit(0))
+    kind = F.when(n > 0, "text").when(F.col("is_scanned"), "scanned").when(F.coalesce("char_count", F.lit(0)) > 0, "error").otherwise("blank")
+    filler = F.when(kind == "scanned", F.format_string("[SCANNED PAGE %d - OCR REQUIRED]", F.col("page"))).when(kind == "error", F.format_string("[EXTRACTION ERROR: Page %d]", F.col("page"))).when(kind == "blank", "")
+    joined = pages.withColumnRenamed("page_number", "page").join(held, PAGE, "left")
+    return joined.select(*PAGE, kind.alias("kind"), n.alias("n_words"), filler.alias("placeholder"))
+
+
+def tagged_rotation(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """Words with the rotation of their page (0 where it isn't known); places stay as they are."""
+    angles = pages.select("doc_id", F.col("page_number").alias("page"), F.coalesce("rotation_angle", F.lit(0)).alias("_angle"))
+    return words.join(angles, PAGE, "left").withColumn("rotated", F.coalesce("_angle", F.lit(0))).drop("_angle")
 
 
 def metadata_filter(words: DataFrame, sizes: DataFrame, repeated: DataFrame, drop_page_numbers: bool = True) -> DataFrame:
@@ -180,18 +234,21 @@ def outside_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
     return words.alias("w").join(tables.alias("t"), (F.col("w.doc_id") == F.col("t.doc_id")) & (F.col("w.page") == F.col("t.page")) & inside, "left_anti")
 
 
-def overlap_pairs(words: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of words of a page whose boxes share more than `share` of the smaller one."""
-    a, b = words.alias("a"), words.alias("b")
+def overlap_pairs(words: DataFrame, share: float = 0.5, band: float = 20.0) -> DataFrame:
+    """Pairs of words of a page whose boxes share more than `share` of the smaller one.
+
+    A box stands in every square of `band` that it touches, so only boxes of one square meet; a pair that meets in several counts once.
+    """
+    squares = lambda lo, hi: F.sequence(F.floor(F.col(lo) / band), F.floor(F.greatest(lo, hi) / band))
+    placed = words.withColumn("_i", F.explode(squares("x0", "x1"))).withColumn("_j", F.explode(squares("top", "bottom")))
+    a, b = placed.alias("a"), placed.alias("b")
     wide = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
     high = F.least("a.bottom", "b.bottom") - F.greatest("a.top", "b.top")
     area = lambda p: (F.col(f"{p}.x1") - F.col(f"{p}.x0")) * (F.col(f"{p}.bottom") - F.col(f"{p}.top"))
     smaller = F.least(area("a"), area("b"))
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.word_ix") < F.col("b.word_ix"))
-    # Neighbours on the page only: the boxes must touch at all.
-    on &= (F.col("b.x0") < F.col("a.x1")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.top") < F.col("a.bottom")) & (F.col("a.top") < F.col("b.bottom"))
-    found = a.join(b, on).where((smaller > 0) & (wide * high > share * smaller))
-    return found.select(F.col("a.doc_id"), F.col("a.page"), F.col("a.word_ix").alias("word_a"), F.col("b.word_ix").alias("word_b"))
+    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j")) & (F.col("a.word_ix") < F.col("b.word_ix"))
+    found = a.join(b, on & (wide > 0) & (high > 0)).where((smaller > 0) & (wide * high > share * smaller))
+    return found.select(F.col("a.doc_id"), F.col("a.page"), F.col("a.word_ix").alias("word_a"), F.col("b.word_ix").alias("word_b")).distinct()
 
 
 def inventory(words: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -216,13 +273,19 @@ def size_distribution(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE, F.coalesce("size", "height").alias("size")).agg(F.count("*").alias("n_words"))
 
 
+REGIONS = ("top_region", "middle_region", "bottom_region")
+SIZES = ("large_text", "standard_text", "small_text", "tiny_text")
+
+
 def coverage(inventories: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Per document: expected words, extracted words, coverage and missing percent, status by the unrounded coverage."""
-    expected = inventories.groupBy("doc_id").agg(F.sum("total").alias("expected"))
+    """Per document: expected words, extracted words, coverage and missing percent, status by the unrounded coverage, words by region and by size."""
+    expected = inventories.groupBy("doc_id").agg(F.sum("total").alias("expected"), *(F.sum(c).alias(c) for c in (*REGIONS, *SIZES)))
     both = expected.join(extracted.select("doc_id", F.col("n_words").alias("extracted")), "doc_id", "left").na.fill(0, ["extracted"])
     share = F.when(F.col("expected") > 0, F.col("extracted") * 100.0 / F.col("expected")).otherwise(0.0)
+    missing = F.greatest(F.col("expected") - F.col("extracted"), F.lit(0))
+    missing_share = F.when(F.col("expected") > 0, missing * 100.0 / F.col("expected")).otherwise(0.0)
     status = F.when(share >= 85, "GOOD").when(share >= 70, "WARNING").otherwise("POOR")
-    return both.select("doc_id", "expected", "extracted", (F.col("expected") - F.col("extracted")).alias("missing"), F.round(share, 2).alias("coverage_percent"), F.round(100 - share, 2).alias("missing_percent"), status.alias("status"))
+    return both.select("doc_id", "expected", "extracted", missing.alias("missing"), F.round(share, 2).alias("coverage_percent"), F.round(missing_share, 2).alias("missing_percent"), status.alias("status"), *REGIONS, *SIZES)
 
 
 def trimmed_sizes(words: DataFrame) -> DataFrame:

@@ -69,6 +69,31 @@ def error_report(errors: DataFrame) -> DataFrame:
     return totals.join(by_type, "doc_id").join(by_severity, "doc_id")
 
 
+# What is recommended for each type of error, in this order.
+RECOMMENDATIONS = [
+    ("scanned_page", "Consider using OCR for scanned pages"),
+    ("rotated_page", "Enable rotation correction for rotated pages"),
+    ("encoding_error", "Try different encoding fallbacks (UTF-8, Shift-JIS, EUC-JP)"),
+    ("overlapping_text", "Review overlapping text - may need manual cleanup"),
+    ("corruption", "PDF may be corrupted - try re-saving or repairing"),
+]
+
+
+def recovery_report(errors: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Per document with errors: how many were recovered (their page stands in `recovered`), the share, and what is recommended, a line each.
+
+    A critical or, else, a high severity comes first among the recommendations.
+    """
+    pages = recovered.select("doc_id", F.col("page").alias("page_number"), F.lit(True).alias("_ok")).distinct()
+    joined = errors.join(pages, ["doc_id", "page_number"], "left")
+    has = lambda c, v: F.max(F.when(F.col(c) == v, 1).otherwise(0)) > 0
+    lines = [F.when(has("error_type", kind), text) for kind, text in RECOMMENDATIONS]
+    urgent = F.when(has("severity", "critical"), "Critical errors found - manual intervention required").when(has("severity", "high"), "Some pages may have incomplete extraction")
+    advice = F.filter(F.array(urgent, *lines), lambda x: x.isNotNull())
+    n, ok = F.count("*"), F.count_if("_ok")
+    return joined.groupBy("doc_id").agg(n.alias("total_errors"), ok.alias("recovered"), F.round(ok / n, 2).alias("recovery_rate"), F.array_join(F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("No significant issues found"))), "\n").alias("recommendations"))
+
+
 def clean_results(results: DataFrame) -> DataFrame:
     """Each document's delivery that was loaded last, and `success`: it has text."""
     newest = Window.partitionBy("doc_id").orderBy(F.desc("loaded_at"), "filename")
@@ -91,17 +116,18 @@ def batch_summary(results: DataFrame) -> DataFrame:
         F.count_if(~F.col("success")).alias("failed"),
         F.coalesce(F.sum("page_count"), F.lit(0)).alias("total_pages"),
         F.coalesce(F.sum("word_count"), F.lit(0)).alias("total_words"),
-        F.round(F.coalesce(F.avg(F.when(ok, score)), F.lit(0.0)), 6).alias("mean_quality"),
+        F.coalesce(F.sum(F.when(ok, score.cast("decimal(18,6)"))).cast("double") / F.nullif(F.count_if(ok), F.lit(0)), F.lit(0.0)).alias("mean_quality"),
         F.min(F.when(ok, F.struct((-score).alias("s"), "filename")))["filename"].alias("best_file"),
         F.min(F.when(ok, F.struct(score.alias("s"), "filename")))["filename"].alias("worst_file"),
     )
 
 
-def batch_issues(results: DataFrame) -> DataFrame:
-    """At most one issue a file: failed, else low quality, else low confidence."""
+def batch_issues(results: DataFrame, coverage: str | None = None) -> DataFrame:
+    """At most one issue a file: failed, else low quality, else a coverage under 80 percent (where it is known), else low confidence."""
     score = sound_score(F.col("quality_score"))
-    kind = F.when(~F.col("success"), "failed").when(score < 60, "low_quality").when(F.col("confidence") < 0.5, "low_confidence")
-    severity = F.when(kind == "low_confidence", "medium").otherwise("high")
+    covered = F.col(coverage) if coverage else F.lit(None).cast("double")
+    kind = F.when(~F.col("success"), "failed").when(score < 60, "low_quality").when(covered < 80, "low_coverage").when(F.col("confidence") < 0.5, "low_confidence")
+    severity = F.when(kind.startswith("low_co"), "medium").otherwise("high")
     return results.select("doc_id", "filename", kind.alias("issue"), F.when(kind.isNotNull(), severity).alias("severity")).where("issue IS NOT NULL")
 
 
@@ -127,7 +153,7 @@ def consensus_pairs(engines: DataFrame, keys: list[str]) -> DataFrame:
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=True).ratio() for x, y in zip(left, right)])
+            yield pd.Series([1.0 if (x or "") == (y or "") else difflib.SequenceMatcher(None, x or "", y or "", autojunk=True).ratio() for x, y in zip(left, right)])
 
     return pairs.select(*keys, "engine_a", "engine_b", ratio("text_a", "text_b").alias("similarity"))
 

@@ -5,9 +5,11 @@ A table is a row of (doc_id, page, table_ix, rows array<array<string>>, box, con
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators.layout import clusters, near_pairs
+
 TABLE = ["doc_id", "page", "table_ix"]
 BLANKS = " \t\n\r\u00a0\u2002\u2003\u2009\u202f\u3000"
 
@@ -19,7 +21,7 @@ def clean_cells(cells: DataFrame) -> DataFrame:
 
 def assemble(cells: DataFrame, least_rows: int = 2) -> DataFrame:
     """Tables of `least_rows` rows or more: rows of equal width (a missing cell is empty, of two in one place the greater text stands), the box around the cells, the mean confidence."""
-    row = cells.groupBy(*TABLE, "row_no").agg(F.collect_list(F.struct("col_no", "text")).alias("_cells"), F.max("col_no").alias("_last"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.sum("confidence").alias("_sum"), F.count("confidence").alias("_n"))
+    row = cells.groupBy(*TABLE, "row_no").agg(F.collect_list(F.struct("col_no", "text")).alias("_cells"), F.max("col_no").alias("_last"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.sum(F.col("confidence").cast("decimal(18,6)")).alias("_sum"), F.count("confidence").alias("_n"))
     table = row.groupBy(*TABLE).agg(
         F.array_sort(F.collect_list(F.struct("row_no", "_cells"))).alias("_rows"),
         (F.max("_last") + 1).alias("n_cols"),
@@ -28,7 +30,7 @@ def assemble(cells: DataFrame, least_rows: int = 2) -> DataFrame:
         F.min("top").alias("top"),
         F.max("x1").alias("x1"),
         F.max("bottom").alias("bottom"),
-        (F.sum("_sum") / F.sum("_n")).alias("confidence"),
+        (F.sum("_sum").cast("double") / F.sum("_n")).alias("confidence"),  # an exact sum, whatever the order
     )
     wide = F.transform("_rows", lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.array_max(F.transform(F.filter(r["_cells"], lambda x: x["col_no"] == c), lambda x: x["text"])), F.lit(""))))
     return table.where(F.col("n_rows") >= least_rows).withColumn("rows", wide).drop("_rows")
@@ -41,6 +43,13 @@ def is_valid(rows: Column, confidence: Column, least: int = 3, sure: float = 0.8
     return (F.size(rows) >= least) & (F.size(rows[0]) >= least) & (confidence >= sure) & (full >= filled * F.size(cells))
 
 
+def is_valid_text_table(rows: Column, confidence: Column, sure: float = 0.9, most_rows: int = 20, most_columns: int = 10, distinct: float = 0.3) -> Column:
+    """Whether a table that was found by its text alone is one: surer, of bounded size, and not the same few cells over and over."""
+    cells = F.flatten(rows)
+    varied = F.size(F.array_distinct(cells)) >= distinct * F.size(cells)
+    return is_valid(rows, confidence, 3, sure) & (F.size(rows) <= most_rows) & (F.size(rows[0]) <= most_columns) & varied
+
+
 def fill_share(rows: Column) -> Column:
     """Share of the cells that hold text."""
     cells = F.flatten(rows)
@@ -50,14 +59,14 @@ def fill_share(rows: Column) -> Column:
 def has_number_free_header(rows: Column) -> Column:
     """Header rule 1: no number in the first row, one or more in the others."""
     number = lambda c: F.regexp_replace(c, "[.,]", "").rlike("^[0-9]+$")
-    rest = F.flatten(F.slice(rows, 2, 1000000))
+    rest = F.flatten(F.slice(rows, F.lit(2), F.size(rows)))
     return (F.size(rows) > 1) & ~F.exists(rows[0], number) & F.exists(rest, number)
 
 
 def has_short_header(rows: Column) -> Column:
     """Header rule 2: no figure in the first row, and a figure in the others or a first row not much longer than they are on average."""
     figure = lambda c: c.rlike("^[0-9.,]+$")
-    rest = F.flatten(F.slice(rows, 2, 1000000))
+    rest = F.flatten(F.slice(rows, F.lit(2), F.size(rows)))
     mean = lambda cells: F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.length(c)) / F.size(cells)
     return (F.size(rows) > 1) & ~F.exists(rows[0], figure) & (F.exists(rest, figure) | (mean(rows[0]) < 1.5 * mean(rest)))
 
@@ -76,7 +85,7 @@ def to_pipes(rows: Column, header: Column, widest: int = 30) -> Column:
     line = lambda r: F.array_join(F.zip_with(r, widths, _fitted), " | ")
     rule = F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), "-+-")
     body = F.transform(rows, line)
-    lines = F.when(header, F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, 1000000))).otherwise(body)
+    lines = F.when(header, F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.size(body)))).otherwise(body)
     return F.array_join(lines, "\n")
 
 
@@ -85,7 +94,7 @@ def to_markdown(rows: Column) -> Column:
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(rows[0])))
     body = F.transform(rows, line)
-    return F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, 1000000)), "\n")
+    return F.array_join(F.concat(F.slice(body, 1, 1), F.array(rule), F.slice(body, F.lit(2), F.size(body))), "\n")
 
 
 def to_tabs(rows: Column) -> Column:
@@ -98,6 +107,16 @@ def marked_table(rows: Column, text: Column) -> Column:
     return F.concat(F.format_string("[TABLE: %dx%d]\n", F.size(rows), F.size(rows[0])), text, F.lit("\n[TABLE END]"))
 
 
+def method_marked_table(rows: Column, text: Column, method: Column, confidence: Column) -> Column:
+    """A table's text between its marks, which tell how it was found and how sure it is."""
+    return F.concat(F.format_string("[TABLE: %dx%d | %s | %d%%]\n", F.size(rows), F.size(rows[0]), method, F.round(confidence * 100).cast("int")), text, F.lit("\n[TABLE END]"))
+
+
+def method_summary(found: DataFrame) -> DataFrame:
+    """Numbers of tables and pages with one by method."""
+    return found.groupBy("method").agg(F.count("*").alias("n_tables"), F.countDistinct("doc_id", "page").alias("n_pages"))
+
+
 def keep_surest(tables: DataFrame) -> DataFrame:
     """Of tables of a page whose boxes touch the surest, the earlier on a tie.
 
@@ -115,14 +134,22 @@ def keep_surest(tables: DataFrame) -> DataFrame:
     return tables.join(kept.select("doc_id", "page", F.col("_k.table_ix").alias("table_ix")), TABLE, "left_semi")
 
 
+def aligned_rows(words: DataFrame, columns: DataFrame, gap: float = 9.0) -> DataFrame:
+    """Row clusters of a page's words, neighbours within `gap`, that at least half as many words as the page has `columns` stand in: mean and size."""
+    rows = clusters(words, ["doc_id", "page"], "top", gap, 1)
+    wide = columns.groupBy("doc_id", "page").agg(F.count("*").alias("_columns"))
+    return rows.join(wide, ["doc_id", "page"]).where(F.col("n") >= 0.5 * F.col("_columns")).drop("_columns")
+
+
 def grid_cells(words: DataFrame, columns: DataFrame, rows: DataFrame, dx: float = 10.0, dy: float = 9.0) -> DataFrame:
     """The words at each crossing of aligned columns and rows of a page, joined by spaces; a word can fall in several."""
     page = ["doc_id", "page"]
-    crossings = columns.select(*page, F.col("mean").alias("col_x")).join(rows.select(*page, F.col("mean").alias("row_y")), page).alias("g")
-    w = words.alias("w")
-    on = (F.col("w.doc_id") == F.col("g.doc_id")) & (F.col("w.page") == F.col("g.page")) & (F.abs(F.col("w.x0") - F.col("g.col_x")) <= dx) & (F.abs(F.col("w.top") - F.col("g.row_y")) <= dy)
-    texts = F.array_sort(F.collect_list(F.struct("w.word_ix", "w.text")))
-    joined = w.join(crossings, on).groupBy("g.doc_id", "g.page", "g.row_y", "g.col_x").agg(texts.alias("_w"))
+    c, r, w = columns.select(*page, F.col("mean").alias("col_x")), rows.select(*page, F.col("mean").alias("row_y")), words.select(*page, "word_ix", "text", "x0", "top")
+    # A word meets the columns near it by bands of x, then the rows near it by bands of y.
+    at_column = near_pairs(w, c, "x0", "col_x", dx)
+    both = near_pairs(at_column, r, "top", "row_y", dy)
+    texts = F.array_sort(F.collect_list(F.struct("word_ix", "text")))
+    joined = both.groupBy(*page, "row_y", "col_x").agg(texts.alias("_w"))
     return joined.select("doc_id", "page", "row_y", "col_x", F.array_join(F.transform("_w", lambda x: x["text"]), " ").alias("cell_text"))
 
 
@@ -213,6 +240,12 @@ def regions(tables: DataFrame, boxes_: DataFrame) -> DataFrame:
     return tables.withColumn("region_type", F.lit("table")).unionByName(boxes_.withColumn("region_type", F.lit("textbox")), allowMissingColumns=True)
 
 
+def ordered_regions(found: DataFrame) -> DataFrame:
+    """Regions with their place on the page, from the top down and from the left; ties by kind."""
+    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("top", "x0", "region_type"))
+    return found.withColumn("place", place)
+
+
 def pages_with_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
     """Page texts with their tables' marked texts behind them, from the top down."""
     block = marked_table(F.col("rows"), to_pipes(F.col("rows"), has_number_free_header(F.col("rows"))))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import io_queries, layout_queries, report_queries, text_queries
+from leafmill.plans import detail_queries, io_queries, layout_queries, report_queries, text_queries
 
-MODULES = (layout_queries, text_queries, report_queries, io_queries)
+MODULES = (layout_queries, text_queries, report_queries, io_queries, detail_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's five quality dimensions, weighted score, grade and confidence."""
-    return text_queries.quality_score(spark, folder)
+    return detail_queries.quality_score(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

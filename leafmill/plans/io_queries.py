@@ -21,6 +21,11 @@ def report_html(spark: SparkSession, d: str) -> DataFrame:
     return sinks.html_report(batch_table(spark, d)).select(F.size(F.split("html", "\n")).alias("n_lines"))
 
 
+def report_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the batch report's file."""
+    return sinks.csv_report(results(spark, d))
+
+
 def report_lines(spark: SparkSession, d: str) -> DataFrame:
     return sinks.key_value_lines(batch_summary(spark, d).select("total_files", "successful", "failed", "best_file"))
 
@@ -40,9 +45,13 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(read_table(spark, d, "events"), "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
-QUERIES = [report_json, report_html, report_lines, files_left, pages_recovered, event_windows]
+QUERIES = [report_json, report_csv, report_html, report_lines, files_left, pages_recovered, event_windows]
 
 ORACLES = {
+    "report_json": f"""WITH {RESULTS}, n AS (SELECT count(*) AS n, count(*) FILTER (success) AS ok, coalesce(list(filename ORDER BY filename) FILTER (NOT success), []) AS bad FROM r)
+        SELECT '{{"total":' || n || ',"successful":' || ok || ',"failed":' || (n - ok) || ',"success_rate":"' || format('{{:.1f}}', 100.0 * ok / n) || '%","failure_rate":"' || format('{{:.1f}}', 100.0 * (n - ok) / n) || '%","failed_files":[' || array_to_string(list_transform(bad, lambda x: '"' || x || '"'), ',') || ']}}' AS report FROM n""",
+    "report_csv": f"""WITH {RESULTS}, s AS (SELECT *, CASE WHEN isnan(quality_score) THEN 0.0 ELSE coalesce(quality_score, 0.0) END AS q FROM r) SELECT filename, CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, format('{{:.1f}}', round(q, 1)) AS score, coalesce(quality_grade, '') AS grade, format('{{:.1f}}', round(100 * coalesce(confidence, 0.0), 1)) AS confidence,
+        coalesce(page_count, 0) AS pages, coalesce(word_count, 0) AS words, coalesce(corrections_made, 0) AS corrections, format('{{:.1f}}', round(coalesce(extraction_time, 0.0), 1)) AS seconds FROM s""",
     "report_html": f"WITH {RESULTS} SELECT (count(*) + 2)::INT AS n_lines FROM r",
     "report_lines": f"""WITH {RESULTS} SELECT unnest(['total_files: ' || count(*), 'successful: ' || count(*) FILTER (success), 'failed: ' || count(*) FILTER (NOT success),
         'best_file: ' || (SELECT filename FROM r WHERE success AND score IS NOT NULL ORDER BY score DESC, filename LIMIT 1)]) AS line FROM r""",

@@ -63,18 +63,18 @@ def zone_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def repeating_headers(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.repeating_zones(L.zone_strings(w, L.page_sizes(w)), w, share=0.3)
+    return L.repeating_zones(L.zone_strings(w, L.page_sizes(w)), w)
 
 
 def nearby_words(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.near_words(w.where(F.col("text").rlike(r"^\d+$")), w, 40.0).select(*L.WORD)
+    return L.near_words(w.where(F.col("text").rlike(r"^\d+$")), w).select(*L.WORD)
 
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
     z = L.page_sizes(w)
-    return L.metadata_filter(w, z, L.repeating_zones(L.zone_strings(w, z), w, share=0.3)).select(*L.WORD, "rule", "keep")
+    return L.metadata_filter(w, z, L.repeating_zones(L.zone_strings(w, z), w)).select(*L.WORD, "rule", "keep")
 
 
 def same_line_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -91,9 +91,20 @@ def words_outside_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return L.overlap_pairs(words(spark, d))
+
+
+def overlap_pairs_slight(spark: SparkSession, d: str) -> DataFrame:
+    """As overlap_pairs, from a tenth of the smaller box on."""
     return L.overlap_pairs(words(spark, d), 0.1)
 
 
+def recurring_headers(spark: SparkSession, d: str) -> DataFrame:
+    """As repeating_headers, from three pages in ten on."""
+    w = words(spark, d)
+    return L.repeating_zones(L.zone_strings(w, L.page_sizes(w)), w, share=0.3)
+
+
 def inventory_by_page(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
     return L.inventory(w, L.page_sizes(w))
@@ -144,7 +155,7 @@ def gap_regularity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    words_columns, words_lines, line_text, page_text, word_bands, word_kinds, zone_texts, repeating_headers, nearby_words, metadata_filter, same_line_markers, words_outside_tables, overlap_pairs,
+    words_columns, words_lines, line_text, page_text, word_bands, word_kinds, zone_texts, repeating_headers, nearby_words, metadata_filter, same_line_markers, words_outside_tables, overlap_pairs, overlap_pairs_slight, recurring_headers,
     inventory_by_page, size_distribution, coverage_report, trimmed_font_size, mean_font_size, word_scripts, script_statistics, attached_scripts, column_clusters, gap_regularity,
 ]
 
@@ -153,7 +164,7 @@ FOOTNOTE_RE2 = r"^(?:\*\d+|※\d+|注\d+|†|‡|\[\d+\]|\(\*?\d+\))"
 ZONES_SQL = """zt AS (SELECT doc_id, page, zone, string_agg(text, ' ' ORDER BY word_ix) AS zone_text FROM (
         SELECT w.*, CASE WHEN top < 0.1 * page_height THEN 'top' WHEN top > (1 - 0.1) * page_height THEN 'bottom' END AS zone FROM w JOIN z USING (doc_id, page)) WHERE zone IS NOT NULL GROUP BY ALL)"""
 REPEATED_SQL = """rz AS (SELECT c.* FROM (
-        SELECT doc_id, zone, zone_text, count(*) AS n_pages FROM zs GROUP BY ALL) c JOIN (SELECT doc_id, zone, count(*) AS n FROM zs GROUP BY ALL) t USING (doc_id, zone) WHERE c.n_pages >= 0.3 * t.n)"""
+        SELECT doc_id, zone, zone_text, count(*) AS n_pages FROM zs GROUP BY ALL) c JOIN (SELECT doc_id, zone, count(*) AS n FROM zs GROUP BY ALL) t USING (doc_id, zone) WHERE c.n_pages >= 0.8 * t.n)"""
 SAMPLED_SQL = """zs AS (SELECT * FROM zt WHERE page <= 5 AND doc_id IN (SELECT doc_id FROM w GROUP BY doc_id HAVING count(DISTINCT page) >= 3))"""
 NEAR = "sqrt(pow((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + pow((a.top + a.bottom) / 2 - (b.top + b.bottom) / 2, 2)) < {}"
 OTHER = "(a.text, a.x0, a.top, a.x1, a.bottom) IS DISTINCT FROM (b.text, b.x0, b.top, b.x1, b.bottom)"
@@ -180,7 +191,7 @@ ORACLES = {
     "word_kinds": f"WITH {WORDS_SQL} SELECT regexp_matches(text, '{SECTION_RE2}') AS is_section, regexp_matches(text, '{FOOTNOTE_RE2}') AS is_footnote, regexp_matches(text, '{JP}') AS is_japanese, count(*) AS n_words FROM w GROUP BY ALL",
     "zone_texts": f"WITH {WORDS_SQL}, {SIZES_SQL}, {ZONES_SQL} SELECT * FROM zt",
     "repeating_headers": f"WITH {WORDS_SQL}, {SIZES_SQL}, {ZONES_SQL}, {SAMPLED_SQL}, {REPEATED_SQL} SELECT doc_id, zone, zone_text, n_pages FROM rz",
-    "nearby_words": f"WITH {WORDS_SQL} SELECT a.doc_id, a.page, a.word_ix FROM w a WHERE regexp_matches(a.text, '^[0-9]+$') AND EXISTS (SELECT 1 FROM w b WHERE b.doc_id = a.doc_id AND b.page = a.page AND {OTHER} AND {NEAR.format(40)})",
+    "nearby_words": f"WITH {WORDS_SQL} SELECT a.doc_id, a.page, a.word_ix FROM w a WHERE regexp_matches(a.text, '^[0-9]+$') AND EXISTS (SELECT 1 FROM w b WHERE b.doc_id = a.doc_id AND b.page = a.page AND {OTHER} AND {NEAR.format(50)})",
     "metadata_filter": f"""WITH {WORDS_SQL}, {SIZES_SQL}, {ZONES_SQL}, {SAMPLED_SQL}, {REPEATED_SQL},
         e AS (SELECT w.*, width, page_height, CASE WHEN top < 0.1 * page_height THEN 'top' WHEN top > 0.9 * page_height THEN 'bottom' END AS zone FROM w JOIN z USING (doc_id, page)),
         n AS (SELECT a.* FROM e a WHERE regexp_matches(text, '^[0-9]+$') AND zone IS NOT NULL AND (abs((x0 + x1) / 2 - width / 2) < 0.2 * width OR x0 < 0.2 * width OR x1 > 0.8 * width)
@@ -197,14 +208,20 @@ ORACLES = {
         SELECT doc_id, page, word_ix FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = w.doc_id AND t.page = w.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 AND t.x1 AND (w.top + w.bottom) / 2 BETWEEN t.top AND t.bottom)""",
     "overlap_pairs": f"""WITH {WORDS_SQL}, p AS (SELECT a.doc_id, a.page, a.word_ix AS word_a, b.word_ix AS word_b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS wide, (least(a.bottom, b.bottom) - greatest(a.top, b.top)) AS high,
             least((a.x1 - a.x0) * (a.bottom - a.top), (b.x1 - b.x0) * (b.bottom - b.top)) AS smaller FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.page = b.page AND a.word_ix < b.word_ix)
+        SELECT doc_id, page, word_a, word_b FROM p WHERE wide > 0 AND high > 0 AND smaller > 0 AND wide * high > 0.5 * smaller""",
+    "overlap_pairs_slight": f"""WITH {WORDS_SQL}, p AS (SELECT a.doc_id, a.page, a.word_ix AS word_a, b.word_ix AS word_b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS wide, (least(a.bottom, b.bottom) - greatest(a.top, b.top)) AS high,
+            least((a.x1 - a.x0) * (a.bottom - a.top), (b.x1 - b.x0) * (b.bottom - b.top)) AS smaller FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.page = b.page AND a.word_ix < b.word_ix)
         SELECT doc_id, page, word_a, word_b FROM p WHERE wide > 0 AND high > 0 AND smaller > 0 AND wide * high > 0.1 * smaller""",
+    "recurring_headers": f"WITH {WORDS_SQL}, {SIZES_SQL}, {ZONES_SQL}, {SAMPLED_SQL}, {REPEATED_SQL} SELECT doc_id, zone, zone_text, n_pages FROM rz".replace("0.8 * t.n", "0.3 * t.n"),
     "inventory_by_page": f"""WITH {WORDS_SQL}, {SIZES_SQL} SELECT doc_id, page, count(*) AS total, count(*) FILTER (top < 0.15 * page_height) AS top_region, count(*) FILTER (top >= 0.15 * page_height AND top <= 0.85 * page_height) AS middle_region,
         count(*) FILTER (top > 0.85 * page_height) AS bottom_region, count(*) FILTER (s > 18) AS large_text, count(*) FILTER (s >= 10 AND s <= 18) AS standard_text, count(*) FILTER (s >= 6 AND s < 10) AS small_text, count(*) FILTER (s < 6) AS tiny_text
         FROM (SELECT w.*, page_height, coalesce(size, height, 0.0) AS s FROM w JOIN z USING (doc_id, page)) GROUP BY ALL""",
     "size_distribution": f"WITH {WORDS_SQL} SELECT doc_id, page, coalesce(w.size, height) AS size, count(*) AS n_words FROM w GROUP BY ALL",
-    "coverage_report": f"""WITH {WORDS_SQL}, e AS (SELECT doc_id, count(*) AS expected FROM w GROUP BY doc_id), r AS (SELECT DISTINCT doc_id, coalesce(word_count, 0) AS n FROM extraction_results),
-        j AS (SELECT doc_id, expected, coalesce(n, 0) AS extracted, coalesce(n, 0) * 100.0 / expected AS share FROM e LEFT JOIN r USING (doc_id))
-        SELECT doc_id, expected, extracted, expected - extracted AS missing, round(share, 2) AS coverage_percent, round(100 - share, 2) AS missing_percent, CASE WHEN share >= 85 THEN 'GOOD' WHEN share >= 70 THEN 'WARNING' ELSE 'POOR' END AS status FROM j""",
+    "coverage_report": f"""WITH {WORDS_SQL}, {SIZES_SQL}, e AS (SELECT doc_id, count(*) AS expected, count(*) FILTER (top < 0.15 * page_height) AS top_region, count(*) FILTER (top >= 0.15 * page_height AND top <= 0.85 * page_height) AS middle_region, count(*) FILTER (top > 0.85 * page_height) AS bottom_region,
+            count(*) FILTER (s > 18) AS large_text, count(*) FILTER (s >= 10 AND s <= 18) AS standard_text, count(*) FILTER (s >= 6 AND s < 10) AS small_text, count(*) FILTER (s < 6) AS tiny_text FROM (SELECT w.*, page_height, coalesce(size, height, 0.0) AS s FROM w JOIN z USING (doc_id, page)) GROUP BY doc_id),
+        r AS (SELECT DISTINCT doc_id, coalesce(word_count, 0) AS n FROM extraction_results),
+        j AS (SELECT e.*, coalesce(n, 0) AS extracted, coalesce(n, 0) * 100.0 / expected AS share, greatest(expected - coalesce(n, 0), 0) AS missing FROM e LEFT JOIN r USING (doc_id))
+        SELECT doc_id, expected, extracted, missing, round(share, 2) AS coverage_percent, round(missing * 100.0 / expected, 2) AS missing_percent, CASE WHEN share >= 85 THEN 'GOOD' WHEN share >= 70 THEN 'WARNING' ELSE 'POOR' END AS status, top_region, middle_region, bottom_region, large_text, standard_text, small_text, tiny_text FROM j""",
     "trimmed_font_size": f"WITH {WORDS_SQL}, {SIZE_SQL} SELECT doc_id, page, round(average_size, 6) AS average_size FROM av",
     "mean_font_size": f"WITH {WORDS_SQL} SELECT doc_id, page, round(avg(coalesce(size, height, 10.0)), 6) AS mean_size FROM w GROUP BY ALL",
     "word_scripts": f"WITH {WORDS_SQL}, {SIZE_SQL}, {SCRIPTS_SQL} SELECT doc_id, page, word_ix, round(relative_size, 6) AS relative_size, round(baseline_offset, 6) AS baseline_offset, is_superscript, is_subscript, preceding_text, following_text, CASE WHEN is_superscript THEN '^{{' || text || '}}' WHEN is_subscript THEN '_{{' || text || '}}' ELSE text END AS markup FROM m",

@@ -12,7 +12,8 @@ from leafmill.operators import layout as L
 from leafmill.operators import reports as R
 from leafmill.operators import tables as T
 from leafmill.operators import textops as X
-from leafmill.plans.layout_queries import words
+from leafmill.plans.layout_queries import ORACLES as LAYOUT_ORACLES
+from leafmill.plans.layout_queries import coverage_report, words
 from leafmill.sources.tables import read_table
 
 DOC = ["doc_id"]
@@ -26,14 +27,26 @@ def assembled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tables_assembled(spark: SparkSession, d: str) -> DataFrame:
-    return assembled(spark, d).select(*T.TABLE, "n_rows", F.col("n_cols").cast("long").alias("n_cols"), T.to_tabs(F.col("rows")).alias("body"), "x0", "top", "x1", "bottom", F.round("confidence", 6).alias("confidence"))
+    return assembled(spark, d).select(*T.TABLE, "n_rows", F.col("n_cols").cast("long").alias("n_cols"), T.to_tabs(F.col("rows")).alias("body"), "x0", "top", "x1", "bottom", "confidence")
 
 
 def tables_valid(spark: SparkSession, d: str) -> DataFrame:
+    t = assembled(spark, d)
+    return t.where(T.is_valid(F.col("rows"), F.col("confidence"))).select(*T.TABLE, F.round(T.fill_share(F.col("rows")), 6).alias("fill_share"))
+
+
+def tables_plausible(spark: SparkSession, d: str) -> DataFrame:
+    """As tables_valid, at a confidence of .7."""
     t = assembled(spark, d)
     return t.where(T.is_valid(F.col("rows"), F.col("confidence"), sure=0.7)).select(*T.TABLE, F.round(T.fill_share(F.col("rows")), 6).alias("fill_share"))
 
 
+def tables_valid_text(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that hold as found by their text alone."""
+    t = assembled(spark, d)
+    return t.where(T.is_valid_text_table(F.col("rows"), F.col("confidence"))).select(*T.TABLE)
+
+
 def table_headers(spark: SparkSession, d: str) -> DataFrame:
     return assembled(spark, d).select(*T.TABLE, T.has_number_free_header(F.col("rows")).alias("header_1"), T.has_short_header(F.col("rows")).alias("header_2"))
 
@@ -53,13 +66,24 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes from table extents that no other table touches: rectangles drawn around words."""
+    """Boxes around the columns of pages, as rectangles that no table touches and five words stand in."""
     w = words(spark, d)
-    rects = assembled(spark, d).select("doc_id", "page", F.col("table_ix").alias("rect_ix"), "x0", "top", "x1", "bottom")
-    return T.boxes(w, rects, rects.limit(0).withColumnRenamed("rect_ix", "table_ix"), 1)
+    return T.boxes(w, rectangles(w), assembled(spark, d))
+
+
+def rectangles(w: DataFrame) -> DataFrame:
+    """Rectangles to look at where no decoder gives any: the extents of a page's columns."""
+    extent = L.columns(w).groupBy("doc_id", "page", F.col("column_no").cast("int").alias("rect_ix"))
+    return extent.agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
 
 
 def sidebars(spark: SparkSession, d: str) -> DataFrame:
+    w = words(spark, d)
+    return T.sidebars(w, L.page_sizes(w))
+
+
+def sidebars_narrow(spark: SparkSession, d: str) -> DataFrame:
+    """As sidebars, of two words and a gap of 5 points on."""
     w = words(spark, d)
     return T.sidebars(w, L.page_sizes(w), least=2, gap=5.0)
 
@@ -131,8 +155,8 @@ def footnote_report(spark: SparkSession, d: str) -> DataFrame:
 
 def footnote_spans(spark: SparkSession, d: str) -> DataFrame:
     """Definitions found in the lines of the words."""
-    lines = L.line_texts(L.lines(L.columns(words(spark, d)))).withColumn("line", F.col("column_no") * 1000 + F.col("line_no"))
-    return N.definition_spans(lines, L.PAGE, "line", "line_text")
+    lines = L.line_texts(L.lines(L.columns(words(spark, d))))
+    return N.definition_spans(lines, L.PAGE, ["column_no", "line_no"], "line_text")
 
 
 def notes_appended(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +223,9 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_issues(spark: SparkSession, d: str) -> DataFrame:
-    return R.batch_issues(results(spark, d))
+    """Issues of files, with the coverage of those that words were laid out for."""
+    covered = coverage_report(spark, d).select("doc_id", F.col("coverage_percent").alias("coverage"))
+    return R.batch_issues(results(spark, d).join(covered, "doc_id", "left"), "coverage")
 
 
 def batch_table(spark: SparkSession, d: str) -> DataFrame:
@@ -207,8 +233,10 @@ def batch_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extraction_confidence(spark: SparkSession, d: str) -> DataFrame:
-    r = results(spark, d)
-    return r.select("doc_id", F.round(R.extraction_confidence(F.coalesce(R.sound_score(F.col("quality_score")), F.lit(0.0)), F.lit(100.0), 100 * F.col("confidence")), 6).alias("extraction_confidence"))
+    """From the score, the coverage of the words and the match rate of the footnotes; a report that isn't there counts as full."""
+    full = lambda c: F.least(F.coalesce(F.col(c), F.lit(100.0)), F.lit(100.0))
+    r = results(spark, d).join(coverage_report(spark, d).select("doc_id", "coverage_percent"), "doc_id", "left").join(footnote_report(spark, d).select("doc_id", "match_rate"), "doc_id", "left")
+    return r.select("doc_id", F.round(R.extraction_confidence(F.coalesce(R.sound_score(F.col("quality_score")), F.lit(0.0)), full("coverage_percent"), full("match_rate")), 4).alias("extraction_confidence"))
 
 
 def engines(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +378,7 @@ def flag_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def flag_prompts(spark: SparkSession, d: str) -> DataFrame:
     made = M.correction_prompt(F.col("flag_type"), F.lit("<"), F.coalesce("message", F.lit("")), F.lit(">"))
-    reply = M.parsed_reply(F.concat(F.lit('so {"corrected": "'), F.coalesce("message", F.lit("")), F.lit('", "confidence": 0.9} end')), F.col("message"))
+    reply = M.parsed_reply(F.concat(F.lit("so "), F.to_json(F.struct(F.translate(F.coalesce("message", F.lit("")), "{}", "()").alias("corrected"), F.lit(0.9).alias("confidence"))), F.lit(" end")), F.col("message"))
     return flags(spark, d).select("flag_id", F.length(made).alias("n_prompt"), reply["corrected"].alias("corrected"), reply["confidence"].alias("confidence"))
 
 
@@ -359,7 +387,7 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    tables_assembled, tables_valid, table_headers, table_texts, tables_kept, table_confidence, layout_summary, tables_merged, document_tables, page_text_tables, formulas, grid_cells, text_boxes, sidebars, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
+    tables_assembled, tables_valid, tables_plausible, tables_valid_text, table_headers, table_texts, tables_kept, table_confidence, layout_summary, tables_merged, document_tables, page_text_tables, formulas, grid_cells, text_boxes, sidebars, sidebars_narrow, footnote_markers, footnote_types, footnote_matches, footnote_report, footnote_spans, notes_appended,
     flag_summary, flags_open, flags_first, flags_resolved, flag_lines, page_errors, error_counts, error_report, scanned_pages, batch_summary, batch_issues, batch_table, extraction_confidence, element_check, position_check, undefined_markers, latest_results, consensus_base, consensus_pages, consensus_texts,
     chunks_by_characters, chunks_by_words, chunks_by_pages, section_starts, section_counts, chunk_overlaps, page_chunks, chunk_pages, reassemble, chunk_context, context_fit, context_pieces,
     format_pages, format_headers, format_round_trip, flag_boxes, flag_prompts, durations,
@@ -368,11 +396,16 @@ QUERIES = [
 WORDS = """w AS (SELECT DISTINCT ON (doc_id, page, word_ix) * FROM words WHERE trim(text) <> ''),
     z AS (SELECT doc_id, page, max(x1) AS width, max(bottom) AS page_height FROM w GROUP BY ALL)"""
 CELLS = """c AS (SELECT DISTINCT ON (cell_id) * REPLACE (trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8194) || chr(8195) || chr(8201) || chr(8239) || chr(12288)) AS text) FROM table_cells),
-    t0 AS (SELECT doc_id, page_number AS page, table_ix, max(col_no) AS last, count(DISTINCT row_no) AS n_rows, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, sum(confidence) / count(confidence) AS confidence FROM c GROUP BY ALL),
+    t0 AS (SELECT doc_id, page_number AS page, table_ix, max(col_no) AS last, count(DISTINCT row_no) AS n_rows, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, sum(confidence::DECIMAL(18,6))::DOUBLE / count(confidence) AS confidence FROM c GROUP BY ALL),
     g AS (SELECT t0.*, r.row_no, k.col_no, coalesce((SELECT max(c.text) FROM c WHERE c.doc_id = t0.doc_id AND c.page_number = t0.page AND c.table_ix = t0.table_ix AND c.row_no = r.row_no AND c.col_no = k.col_no), '') AS text
-        FROM t0 JOIN (SELECT DISTINCT doc_id, page_number AS page, table_ix, row_no FROM c) r USING (doc_id, page, table_ix), (SELECT unnest(range(0, 64)) AS col_no) k WHERE t0.n_rows >= 2 AND k.col_no <= t0.last),
+        FROM t0 JOIN (SELECT DISTINCT doc_id, page_number AS page, table_ix, row_no FROM c) r USING (doc_id, page, table_ix), (SELECT unnest(range(0, (SELECT max(last) + 1 FROM t0))) AS col_no) k WHERE t0.n_rows >= 2 AND k.col_no <= t0.last),
     rw AS (SELECT doc_id, page, table_ix, row_no, list(text ORDER BY col_no) AS cells FROM g GROUP BY ALL),
     t AS (SELECT t0.*, last + 1 AS n_cols, rr.rows, list_filter(flatten(rr.rows), lambda x: x <> '') AS filled, flatten(rr.rows[2:]) AS rest FROM t0 JOIN (SELECT doc_id, page, table_ix, list(cells ORDER BY row_no) AS rows FROM rw GROUP BY ALL) rr USING (doc_id, page, table_ix))"""
+BOXES = """c1 AS (SELECT *, CASE WHEN x0 - lag(x1) OVER o > 50 THEN 1 ELSE 0 END AS nc FROM w WINDOW o AS (PARTITION BY doc_id, page ORDER BY x0, word_ix)),
+    c2 AS (SELECT *, sum(nc) OVER (PARTITION BY doc_id, page ORDER BY x0, word_ix ROWS UNBOUNDED PRECEDING)::INT AS rect_ix FROM c1),
+    rc AS (SELECT doc_id, page, rect_ix, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom FROM c2 GROUP BY ALL),
+    fr AS (SELECT * FROM rc r WHERE r.x1 - r.x0 >= 50 AND r.bottom - r.top >= 20 AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = r.doc_id AND t.page = r.page AND NOT (r.x1 < t.x0 OR t.x1 < r.x0 OR r.bottom < t.top OR t.bottom < r.top))),
+    h AS (SELECT fr.doc_id, fr.page, rect_ix, fr.x0, fr.top, string_agg(w.text, ' ' ORDER BY word_ix) AS text FROM fr JOIN w ON w.doc_id = fr.doc_id AND w.page = fr.page AND (w.x0 + w.x1) / 2 BETWEEN fr.x0 AND fr.x1 AND (w.top + w.bottom) / 2 BETWEEN fr.top AND fr.bottom GROUP BY ALL HAVING count(*) >= 5)"""
 NUM = "regexp_matches(replace(replace(x, '.', ''), ',', ''), '^[0-9]+$')"
 FIG = "regexp_matches(x, '^[0-9.,]+$')"
 ANY = lambda cells, cond: f"len(list_filter({cells}, lambda x: {cond})) > 0"
@@ -411,11 +444,13 @@ def marker_sql(kind: str) -> str:
     return f"(repeat('-', (60 - length({text})) // 2) || {text} || repeat('-', 60 - length({text}) - (60 - length({text})) // 2))"
 
 
-SECTION = "(?m)^(?:第[0-9一二三四五六七八九十]+[章節]|[0-9]+\\.[0-9]+ |[0-9]+\\. |# |Chapter |Section |Article )"
+SECTION = "(?m)^(?:#{1,6}\\s+|[0-9]+\\.\\s+|[0-9]+\\.[0-9]+\\s+|第[0-9]+[章条節項]|[一二三四五六七八九十]+[、.]|={3,}|-{3,})"
 SEVERITY_RANK = "list_position(['critical', 'high', 'medium', 'low'], severity)"
 ORACLES = {
-    "tables_assembled": f"WITH {CELLS} SELECT doc_id, page, table_ix, n_rows, n_cols::BIGINT AS n_cols, array_to_string(list_transform(rows, lambda x: array_to_string(x, chr(9))), chr(10)) AS body, x0, top, x1, bottom, round(confidence, 6) AS confidence FROM t",
-    "tables_valid": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(len(filled) / len(flatten(rows)), 6) AS fill_share FROM t WHERE n_rows >= 3 AND n_cols >= 3 AND confidence >= 0.7 AND len(filled) >= 0.5 * len(flatten(rows))",
+    "tables_assembled": f"WITH {CELLS} SELECT doc_id, page, table_ix, n_rows, n_cols::BIGINT AS n_cols, array_to_string(list_transform(rows, lambda x: array_to_string(x, chr(9))), chr(10)) AS body, x0, top, x1, bottom, confidence FROM t",
+    "tables_valid": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(len(filled) / len(flatten(rows)), 6) AS fill_share FROM t WHERE n_rows >= 3 AND n_cols >= 3 AND confidence >= 0.8 AND len(filled) >= 0.5 * len(flatten(rows))",
+    "tables_plausible": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(len(filled) / len(flatten(rows)), 6) AS fill_share FROM t WHERE n_rows >= 3 AND n_cols >= 3 AND confidence >= 0.7 AND len(filled) >= 0.5 * len(flatten(rows))",
+    "tables_valid_text": f"WITH {CELLS} SELECT doc_id, page, table_ix FROM t WHERE n_rows BETWEEN 3 AND 20 AND n_cols BETWEEN 3 AND 10 AND confidence >= 0.9 AND len(filled) >= 0.5 * len(flatten(rows)) AND len(list_distinct(flatten(rows))) >= 0.3 * len(flatten(rows))",
     "table_headers": f"WITH {CELLS} SELECT doc_id, page, table_ix, {HEADER_1} AS header_1, len(rows) > 1 AND NOT {ANY('rows[1]', FIG)} AND ({ANY('rest', FIG)} OR {MEAN_LEN('rows[1]')} < 1.5 * {MEAN_LEN('rest')}) AS header_2 FROM t",
     "table_texts": f"""WITH {CELLS}, wd AS (SELECT *, list_transform(range(1, n_cols + 1), lambda k: least(30, greatest(3, list_max(list_transform(rows, lambda r: length(r[k])))))) AS ws, {HEADER_1} AS hd FROM t),
         ln AS (SELECT *, list_transform(rows, lambda r: array_to_string(list_transform(range(1, n_cols + 1), lambda k: rpad(CASE WHEN length(r[k]) > ws[k] THEN substr(r[k], 1, ws[k] - 3) || '...' ELSE r[k] END, ws[k]::INT, ' ')), ' | ')) AS body,
@@ -423,8 +458,7 @@ ORACLES = {
         SELECT doc_id, page, table_ix, array_to_string(list_concat(list_concat(md[1:1], ['|' || repeat(' --- |', n_cols)]), md[2:]), chr(10)) AS markdown,
             '[TABLE: ' || n_rows || 'x' || n_cols || ']' || chr(10) || array_to_string(CASE WHEN hd THEN list_concat(list_concat(body[1:1], [array_to_string(list_transform(ws, lambda k: repeat('-', k)), '-+-')]), body[2:]) ELSE body END, chr(10)) || chr(10) || '[TABLE END]' AS pipes FROM ln""",
     "table_confidence": f"WITH {CELLS} SELECT doc_id, page, table_ix, round(0.6 + 0.3 * len(filled) / len(flatten(rows)), 6) AS alignment_confidence, round(0.7 + 0.2 * len(filled) / len(flatten(rows)), 6) AS whitespace_confidence FROM t",
-    "layout_summary": f"""WITH {WORDS}, {CELLS}, h AS (SELECT DISTINCT t.doc_id, t.page, t.table_ix FROM t JOIN w ON w.doc_id = t.doc_id AND w.page = t.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 AND t.x1 AND (w.top + w.bottom) / 2 BETWEEN t.top AND t.bottom WHERE t.x1 - t.x0 >= 50 AND t.bottom - t.top >= 20),
-        rg AS (SELECT doc_id, 'table' AS region_type FROM t UNION ALL SELECT doc_id, 'textbox' FROM h) SELECT region_type, count(*) AS n_regions, count(DISTINCT doc_id) AS n_docs FROM rg GROUP BY region_type""",
+    "layout_summary": f"""WITH {WORDS}, {CELLS}, {BOXES}, rg AS (SELECT doc_id, 'table' AS region_type FROM t UNION ALL SELECT doc_id, 'textbox' FROM h) SELECT region_type, count(*) AS n_regions, count(DISTINCT doc_id) AS n_docs FROM rg GROUP BY region_type""",
     "document_tables": f"WITH {CELLS} SELECT doc_id, page, count(*) AS n_tables, string_agg(table_ix::VARCHAR, ',' ORDER BY table_ix) AS table_ixs FROM t GROUP BY ALL",
     "element_check": f"""WITH {WORDS}, {RESULTS}, e AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), q AS (SELECT doc_id, coalesce(word_count, 0) / n AS ratio FROM e JOIN r USING (doc_id))
         SELECT doc_id, round(least(ratio, 1.0), 6) AS ratio, CASE WHEN ratio < 0.5 THEN 'issue' WHEN ratio < 0.7 OR ratio > 1.5 THEN 'warning' ELSE 'ok' END AS verdict FROM q""",
@@ -433,8 +467,8 @@ ORACLES = {
     "undefined_markers": f"""WITH {RESULTS}, m AS (SELECT doc_id, raw_text, unnest(list_distinct(regexp_extract_all(raw_text, '\\*[0-9]+'))) AS marker FROM r WHERE length(raw_text) > 0)
         SELECT doc_id, marker FROM m WHERE NOT (contains(raw_text, marker || ':') OR contains(raw_text, marker || '：') OR contains(raw_text, marker || ' ') OR contains(raw_text, marker || chr(10)) OR contains(raw_text, marker || chr(9)))""",
     "latest_results": f"WITH {RESULTS} SELECT doc_id, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS loaded_at, success FROM r",
-    "text_boxes": f"""WITH {WORDS}, {CELLS}, h AS (SELECT t.doc_id, t.page, t.table_ix AS rect_ix, string_agg(w.text, ' ' ORDER BY word_ix) AS text FROM t JOIN w ON w.doc_id = t.doc_id AND w.page = t.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 AND t.x1 AND (w.top + w.bottom) / 2 BETWEEN t.top AND t.bottom WHERE t.x1 - t.x0 >= 50 AND t.bottom - t.top >= 20 GROUP BY ALL)
-        SELECT *, CASE WHEN regexp_matches(lower(text), 'warning|警告|caution|注意|danger|危険') THEN 'warning' WHEN regexp_matches(lower(text), 'note|注|info|情報|tip|hint') THEN 'note' WHEN regexp_matches(lower(text), 'example|例|sample|サンプル') THEN 'example' ELSE 'generic' END AS box_type FROM h""",
+    "text_boxes": f"""WITH {WORDS}, {CELLS}, {BOXES}
+        SELECT * EXCLUDE (x0, top), CASE WHEN regexp_matches(lower(text), 'warning|警告|caution|注意|danger|危険') THEN 'warning' WHEN regexp_matches(lower(text), 'note|注|info|情報|tip|hint') THEN 'note' WHEN regexp_matches(lower(text), 'example|例|sample|サンプル') THEN 'example' ELSE 'generic' END AS box_type FROM h""",
     "footnote_markers": f"WITH {WORDS}, {MARKS} SELECT doc_id, page, word_ix, marker, context FROM mk",
     "footnote_types": f"""WITH fd AS (SELECT DISTINCT ON (footnote_id) *, left(marker, 1) AS c FROM footnote_definitions) SELECT CASE WHEN c IN ('*', '＊') THEN 'star' WHEN c = '※' THEN 'komejirushi' WHEN c = '注' THEN 'chu' WHEN c = '[' THEN 'bracket' WHEN c IN ('(', '（') THEN 'paren' WHEN c IN ('†', '‡') THEN 'dagger' END AS marker_type,
         count(*) AS n_definitions, count(DISTINCT {NORM('marker')}) AS n_markers FROM fd GROUP BY ALL""",
@@ -455,11 +489,10 @@ ORACLES = {
         pg AS (SELECT doc_id, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS pages_affected FROM (SELECT DISTINCT doc_id, page_number FROM e WHERE page_number > 0) GROUP BY doc_id)
         SELECT doc_id, total_errors, by_type, by_severity, pages_affected FROM (SELECT doc_id, count(*) AS total_errors FROM e GROUP BY doc_id) JOIN ty USING (doc_id) JOIN sv USING (doc_id) JOIN pg USING (doc_id)""",
     "scanned_pages": f"WITH {PAGES} SELECT doc_id, page_number FROM p WHERE coalesce(word_count, 0) < 10",
-    "batch_summary": f"""WITH {RESULTS} SELECT count(*) AS total_files, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, sum(page_count)::BIGINT AS total_pages, sum(word_count)::BIGINT AS total_words, round(avg(score) FILTER (success), 6) AS mean_quality,
+    "batch_summary": f"""WITH {RESULTS} SELECT count(*) AS total_files, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, sum(page_count)::BIGINT AS total_pages, sum(word_count)::BIGINT AS total_words, sum(score::DECIMAL(18,6)) FILTER (success)::DOUBLE / count(score) FILTER (success) AS mean_quality,
         (SELECT filename FROM r WHERE success AND score IS NOT NULL ORDER BY score DESC, filename LIMIT 1) AS best_file, (SELECT filename FROM r WHERE success AND score IS NOT NULL ORDER BY score, filename LIMIT 1) AS worst_file FROM r""",
-    "batch_issues": f"WITH {RESULTS}, i AS (SELECT doc_id, filename, CASE WHEN NOT success THEN 'failed' WHEN score < 60 THEN 'low_quality' WHEN confidence < 0.5 THEN 'low_confidence' END AS issue FROM r) SELECT *, CASE WHEN issue = 'low_confidence' THEN 'medium' ELSE 'high' END AS severity FROM i WHERE issue IS NOT NULL",
+    "batch_issues": f"WITH {RESULTS}, cv AS ({LAYOUT_ORACLES['coverage_report']}), i AS (SELECT doc_id, filename, CASE WHEN NOT success THEN 'failed' WHEN score < 60 THEN 'low_quality' WHEN coverage_percent < 80 THEN 'low_coverage' WHEN confidence < 0.5 THEN 'low_confidence' END AS issue FROM r LEFT JOIN cv USING (doc_id)) SELECT *, CASE WHEN issue LIKE 'low_co%' THEN 'medium' ELSE 'high' END AS severity FROM i WHERE issue IS NOT NULL",
     "batch_table": f"WITH {RESULTS} SELECT filename, format('{{:.1f}}', score) AS score, CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'ok' ELSE 'bad' END AS css, coalesce(word_count, 0) AS words FROM r",
-    "extraction_confidence": f"WITH {RESULTS} SELECT doc_id, round(0.5 * coalesce(score, 0) / 100 + 0.3 + 0.2 * (100 * confidence) / 100, 6) AS extraction_confidence FROM r",
     "consensus_base": f"""WITH {RESULTS}, {REASSEMBLED}, en AS (SELECT doc_id, 'raw' AS engine, length(raw_text) AS n FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'flat', length(raw_text) FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT doc_id, 'chunks', length(full_text) FROM ra)
         SELECT doc_id, arg_min(engine, (-n, engine)) AS base_engine, count(*) AS n_engines FROM en GROUP BY doc_id""",
     "chunks_by_characters": packed_sql("length(text)", 2, 5000, 1000),
@@ -480,3 +513,24 @@ ORACLES = {
     "format_round_trip": f"WITH {RPAGES} SELECT doc_id, page::INT AS page, coalesce(text, '') AS text FROM rp",
     "durations": f"WITH {RESULTS} SELECT doc_id, round(extraction_time, 2) AS seconds, CASE WHEN s < 60 THEN floor(s)::BIGINT || 's' WHEN s < 3600 THEN floor(s / 60)::BIGINT || 'm' ELSE floor(s / 3600)::BIGINT || 'h' END AS eta FROM (SELECT *, extraction_time * 100 AS s FROM r)",
 }
+ORACLES["extraction_confidence"] = f"WITH {RESULTS}, cv AS ({LAYOUT_ORACLES['coverage_report']}), fr AS ({ORACLES['footnote_report']}) SELECT doc_id, round(0.5 * coalesce(score, 0) / 100 + 0.3 * least(coalesce(coverage_percent, 100.0), 100.0) / 100 + 0.2 * least(coalesce(match_rate, 100.0), 100.0) / 100, 4) AS extraction_confidence FROM r LEFT JOIN cv USING (doc_id) LEFT JOIN fr USING (doc_id)"
+ORACLES["section_starts"] = f"""WITH {RESULTS}, s AS (SELECT doc_id, regexp_extract_all(raw_text, '{SECTION}') AS m, list_transform(string_split_regex(raw_text, '{SECTION}'), lambda x: length(x)) AS b FROM r WHERE length(raw_text) > 0)
+    SELECT doc_id, (list_sum(b[1:k]) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS position, m[k] AS start_text FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM s WHERE len(m) > 0)"""
+TOUCH = "NOT (o.x1 < k.x0 OR k.x1 < o.x0 OR o.bottom < k.top OR k.bottom < o.top)"
+ORACLES["tables_kept"] = f"""WITH RECURSIVE {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY confidence DESC, table_ix) AS rn FROM t),
+    gk AS (SELECT doc_id, page, rn, [{{'ix': table_ix, 'x0': x0, 'top': top, 'x1': x1, 'bottom': bottom}}] AS kept FROM o WHERE rn = 1
+        UNION ALL SELECT o.doc_id, o.page, o.rn, CASE WHEN len(list_filter(gk.kept, lambda k: {TOUCH})) > 0 THEN gk.kept ELSE list_append(gk.kept, {{'ix': o.table_ix, 'x0': o.x0, 'top': o.top, 'x1': o.x1, 'bottom': o.bottom}}) END FROM gk JOIN o ON o.doc_id = gk.doc_id AND o.page = gk.page AND o.rn = gk.rn + 1)
+    SELECT doc_id, page, unnest(kept).ix AS table_ix FROM (SELECT * FROM gk QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY rn DESC) = 1)"""
+ORACLES["sidebars"] = f"""WITH {WORDS}, x AS (SELECT doc_id, page, min(x0) AS lo, max(x1) AS hi FROM w GROUP BY ALL), p AS (SELECT w.*, x1 < lo + 0.2 * width AS l, x0 > hi - 0.2 * width AS r FROM w JOIN x USING (doc_id, page) JOIN z USING (doc_id, page)),
+    s AS (SELECT doc_id, page, 'left' AS side, count(*) FILTER (l) AS n_words, min(x0) FILTER (NOT l) - max(x1) FILTER (l) AS gap, string_agg(text, ' ' ORDER BY top, x0, word_ix) FILTER (l) AS text FROM p GROUP BY ALL
+        UNION ALL SELECT doc_id, page, 'right', count(*) FILTER (r), min(x0) FILTER (r) - max(x1) FILTER (NOT r), string_agg(text, ' ' ORDER BY top, x0, word_ix) FILTER (r) FROM p GROUP BY ALL)
+    SELECT doc_id, page, side, n_words, text FROM s WHERE n_words >= 5 AND gap > 30"""
+ORACLES["sidebars_narrow"] = ORACLES["sidebars"].replace("n_words >= 5 AND gap > 30", "n_words >= 2 AND gap > 5")
+ORACLES["grid_cells"] = f"""WITH {WORDS}, x0s AS (SELECT doc_id, page, x0 AS v, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id, page ORDER BY x0) > 5 THEN 1 ELSE 0 END AS nn FROM w), x1s AS (SELECT *, sum(nn) OVER (PARTITION BY doc_id, page ORDER BY v RANGE UNBOUNDED PRECEDING) AS c FROM x0s), cx AS (SELECT doc_id, page, c, avg(v) AS col_x FROM x1s GROUP BY ALL HAVING count(*) >= 3),
+    y0s AS (SELECT doc_id, page, top AS v, CASE WHEN top - lag(top) OVER (PARTITION BY doc_id, page ORDER BY top) > 9 THEN 1 ELSE 0 END AS nn FROM w), y1s AS (SELECT *, sum(nn) OVER (PARTITION BY doc_id, page ORDER BY v RANGE UNBOUNDED PRECEDING) AS c FROM y0s), cy AS (SELECT doc_id, page, c, avg(v) AS row_y FROM y1s GROUP BY ALL HAVING count(*) >= 3)
+    SELECT w.doc_id, w.page, round(row_y, 6) AS row_y, round(col_x, 6) AS col_x, string_agg(text, ' ' ORDER BY word_ix) AS cell_text FROM w JOIN cx ON cx.doc_id = w.doc_id AND cx.page = w.page AND abs(x0 - col_x) <= 10 JOIN cy ON cy.doc_id = w.doc_id AND cy.page = w.page AND abs(top - row_y) <= 9 GROUP BY w.doc_id, w.page, row_y, col_x"""
+ORACLES["notes_appended"] = f"""WITH pt AS ({LAYOUT_ORACLES['page_text']}), fd AS (SELECT DISTINCT ON (footnote_id) *, page_number AS page FROM footnote_definitions), n AS (SELECT doc_id, page, string_agg(concat_ws(' ', marker, text), chr(10) ORDER BY y, footnote_id) AS lines FROM fd GROUP BY ALL)
+    SELECT doc_id, page, page_text || coalesce(chr(10) || chr(10) || repeat('-', 40) || chr(10) || 'FOOTNOTES:' || chr(10) || lines, '') AS page_text FROM pt LEFT JOIN n USING (doc_id, page)"""
+ORACLES["page_text_tables"] = f"""WITH pt AS ({LAYOUT_ORACLES['page_text']}), tt AS ({ORACLES['table_texts']}), {CELLS}, b AS (SELECT doc_id, page, string_agg(pipes, chr(10) || chr(10) ORDER BY top, table_ix) AS blocks FROM tt JOIN t USING (doc_id, page, table_ix) GROUP BY ALL)
+    SELECT doc_id, page, page_text || coalesce(chr(10) || chr(10) || blocks, '') AS page_text FROM pt LEFT JOIN b USING (doc_id, page)"""
+ORACLES["flag_prompts"] = f"WITH {FLAGS} SELECT flag_id, (length('{M.PROMPT.replace(chr(37) + 's', '').replace(chr(39), chr(39) * 2)}') + length(flag_type) + 2 + length(coalesce(message, '')))::INT AS n_prompt, coalesce(message, '') AS corrected, 0.9::DOUBLE AS confidence FROM f"

@@ -55,8 +55,14 @@ def issue_counts(spark: SparkSession, d: str) -> DataFrame:
     return issues(spark, d).groupBy("issue_type").agg(F.count("*").alias("n_issues"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+def issue_scan_unbounded(spark: SparkSession, d: str) -> DataFrame:
+    """As issue_scan, of the patterns that have no word boundaries."""
+    return issue_scan(spark, d).where(F.col("issue_type").isin([name for name, p in X.ISSUE_PATTERNS if "(?" not in p]))
+
+
 def issue_context(spark: SparkSession, d: str) -> DataFrame:
-    return issues(spark, d).select("doc_id", "issue_type", "position", "context_before", "context_after")
+    """The surroundings of the issues of patterns without word boundaries."""
+    return issues(spark, d).where(F.col("issue_type").isin([name for name, p in X.ISSUE_PATTERNS if "(?" not in p])).select("doc_id", "issue_type", "position", "context_before", "context_after")
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
@@ -84,6 +90,28 @@ def verification_report(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count("*").alias("total_issues"), F.count_if(changed).alias("total_changed"), F.count_if(changed & (F.col("confidence") >= 0.7)).alias("total_applied"), F.round(F.coalesce(F.avg("confidence"), F.lit(1.0)), 6).alias("average_confidence"))
 
 
+def enhanced(spark: SparkSession, d: str) -> DataFrame:
+    return X.enhanced_issues(documents(spark, d), DOC, "text")
+
+
+def issue_scan_enhanced(spark: SparkSession, d: str) -> DataFrame:
+    """The longer scan by type, with the priorities in which its issues are looked at."""
+    found = enhanced(spark, d).withColumn("priority", X.issue_priority(F.col("issue_type"), F.col("confidence")))
+    return found.groupBy("issue_type", "priority").agg(F.count("*").alias("n_issues"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("original_text")).alias("n_chars"))
+
+
+def issue_enhanced_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Of the longer scan's overlapping issues the surest."""
+    kept = X.resolve_overlaps(enhanced(spark, d), DOC, surest_first=True)
+    return kept.select("doc_id", "position", "issue_type", "original_text", "confidence")
+
+
+def fallback_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """What the stand-in corrector makes of each distinct issue."""
+    distinct = issues(spark, d).select("original_text").distinct()
+    return distinct.withColumn("_c", X.fallback_correction(F.col("original_text"))).select("original_text", "_c.corrected", "_c.confidence")
+
+
 def hallucination_scan(spark: SparkSession, d: str) -> DataFrame:
     return X.invented_passages(documents(spark, d), DOC, "text")
 
@@ -97,8 +125,12 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("overall", X.quality_overall())
 
 
-def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
+def quality_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the corpus, for which there are no reports."""
+    return quality_columns(scored(spark, d))
+
+
+def quality_columns(s: DataFrame) -> DataFrame:
     return s.select("doc_id", *X.WEIGHTS, F.round("overall", 6).alias("overall"), X.grade(F.round("overall", 6)).alias("grade"), F.round(X.quality_confidence(), 6).alias("confidence"))
 
 
@@ -110,19 +142,9 @@ def quality_low_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("doc_id", F.array_join(X.lowest_dimensions(), ",").alias("lowest"), F.size(X.recommendations()).alias("n_recommendations"))
 
 
-def remediation_best(spark: SparkSession, d: str) -> DataFrame:
-    """Each document under 70 as it is and in two cleaned variants; the best is kept."""
-    docs = documents(spark, d).select("doc_id", "text", "page_count")
-    t = F.col("text")
-    variants = docs.select("doc_id", "page_count", F.explode(F.array(*(F.struct(F.lit(k).alias("attempt"), v.alias("text")) for k, v in enumerate([t, X.without_invented(t), X.cleanup(X.without_invented(t))])))).alias("_v"))
-    made = X.quality_dimensions(variants.select("doc_id", "page_count", "_v.attempt", F.col("_v.text").alias("text")), "text", "page_count")
-    best = X.best_variant(made.withColumn("score", F.round(X.quality_overall(), 6)), DOC)
-    return best.select("doc_id", "attempt", "score")
-
-
 QUERIES = [
-    doc_stats, stats_by_language, cleanup_text, join_lines, encoding_errors, encoding_fixed, issue_scan, issue_counts, issue_context, issue_resolved, mock_corrections, corrected_texts, verification_report,
-    hallucination_scan, hallucination_removed, quality_score, quality_grades, quality_low_dimensions, remediation_best,
+    doc_stats, stats_by_language, cleanup_text, join_lines, encoding_errors, encoding_fixed, issue_scan, issue_scan_unbounded, issue_counts, issue_context, issue_resolved, mock_corrections, corrected_texts, verification_report,
+    hallucination_scan, hallucination_removed, quality_grades, quality_low_dimensions, quality_text, issue_scan_enhanced, issue_enhanced_resolved, fallback_corrections,
 ]
 
 JP = "[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]"
@@ -134,10 +156,20 @@ def words_sql(t: str) -> str:
     return f"CASE WHEN {trimmed} = '' THEN 0 ELSE len(string_split({trimmed}, ' ')) END"
 
 
+# RE2 has no lookahead: a star before a digit, which may open but not close, is written as chr(1) beforehand.
+STARRED = "regexp_replace({t}, '[*]([0-9])', chr(1) || '\\1', 'g')"
+INVENTED_SQL = [(kind, "[*\\x{01}][^*\\x{01}]+[*]" if kind == "markdown_italic" else p) for kind, p in X.INVENTED]
+
+
 def invented_sql(t: str) -> str:
-    for p, to in [("</?[a-zA-Z][^>\\n]*>", ""), ("\\*\\*([^*\\n]+)\\*\\*", "\\1"), ("__([^_\\n]+)__", "\\1"), ("\\n{3,}", "\n\n")]:
-        t = f"regexp_replace({t}, '{p}', '{to}', 'g')"
-    return t
+    for kind, p in INVENTED_SQL:
+        t = f"replace(regexp_replace({STARRED.format(t=t)}, '{p}', '', 'g'), chr(1), '*')" if kind == "markdown_italic" else f"regexp_replace({t}, '{p}', '', 'g')"
+    return f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def invented_count_sql(kind: str, pattern: str) -> str:
+    text = STARRED.format(t="text") if kind == "markdown_italic" else "text"
+    return f"SELECT doc_id, '{kind}' AS kind, len(regexp_extract_all({text}, '{pattern}'))::INT AS n_found FROM documents WHERE length(text) > 0"
 
 
 def cleanup_sql(t: str) -> str:
@@ -146,42 +178,51 @@ def cleanup_sql(t: str) -> str:
     return f"trim({t})"
 
 
-ISSUES_SQL = [
-    ("ocr_digit_in_word", "[a-zA-Z]+[0-9]+[a-zA-Z]+", ""),
-    ("format_excess_spaces", "[ \\t]{3,}", ""),
-    ("format_repeated_marks", "[!?]{3,}", ""),
-]
+WORD_RE = "[\\p{L}\\p{N}_]"
+#: Patterns with word boundaries, as consuming groups over texts in which every other character stands twice.
+BOUNDED_SQL = {"ocr_ambiguous_il1": "[Il1][Il1]+", "ocr_ambiguous_o0": "[O0][O0]+"}
 
 
 def found_sql() -> str:
-    """Texts of the matches by pattern; the word boundaries of the suffix and prefix patterns as consuming groups."""
-    parts = [f"SELECT doc_id, '{n}' AS issue_type, unnest(regexp_extract_all(text, '{p}')) AS original_text FROM documents" for n, p, _ in ISSUES_SQL]
-    suffix = "([\\p{L}\\p{N}_]+[ \\t]+(?:ing|tion|ment|ness|able|ible))(?:[^\\p{L}\\p{N}_]|$)"
-    prefix = "(?:^|[^\\p{L}\\p{N}_])((?:un|re|pre|dis|mis)[ \\t]+[\\p{L}\\p{N}_]+)"
-    parts.append(f"SELECT doc_id, 'ocr_broken_suffix' AS issue_type, unnest(regexp_extract_all(text, '{suffix}', 1)) AS original_text FROM documents")
-    parts.append(f"SELECT doc_id, 'ocr_broken_prefix' AS issue_type, unnest(regexp_extract_all(text, '{prefix}', 1)) AS original_text FROM documents")
+    """The texts of the matches by pattern."""
+    parts = []
+    for name, p in X.ISSUE_PATTERNS:
+        source, pattern, group = "text", p, 0
+        if name in BOUNDED_SQL:
+            source, pattern, group = "regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g')", f"(?:^|[^\\p{{L}}\\p{{N}}_])({BOUNDED_SQL[name]})(?:[^\\p{{L}}\\p{{N}}_]|$)", 1
+        elif name == "ocr_rn_as_m":  # what follows is left to the next match by doubling every letter
+            source, pattern, group = "regexp_replace(text, '([a-z])', '\\1\\1', 'g')", "rrnn[a-z]", -1
+        elif name == "broken_suffix":
+            pattern, group = "(" + p.removesuffix("(?![\\p{L}\\p{N}_])") + ")(?:[^\\p{L}\\p{N}_]|$)", 1
+        elif name == "broken_prefix":
+            pattern, group = "(?:^|[^\\p{L}\\p{N}_])(" + p.removeprefix("(?<![\\p{L}\\p{N}_])") + ")", 1
+        made = f"unnest(regexp_extract_all({source}, '{pattern}', {max(group, 0)}))"
+        parts.append(f"SELECT doc_id, '{name}' AS issue_type, {'left(' + made + ', 0) || ' + chr(39) + 'rn' + chr(39) if group < 0 else made} AS original_text FROM documents")
     return " UNION ALL ".join(parts)
 
 
-CONFIDENCE_SQL = "CASE issue_type WHEN 'ocr_digit_in_word' THEN CASE WHEN regexp_matches(original_text, '^[A-Z]+[0-9]+$') THEN 0.3 ELSE 0.85 END WHEN 'ocr_broken_suffix' THEN 0.9 WHEN 'ocr_broken_prefix' THEN 0.85 ELSE 0.8 END"
+CONFIDENCE_SQL = "CASE issue_type WHEN 'ocr_digit_in_word' THEN CASE WHEN regexp_matches(original_text, '^[A-Z]+[0-9]+$') THEN 0.3 ELSE 0.85 END WHEN 'ocr_ambiguous_il1' THEN 0.75 WHEN 'broken_suffix' THEN 0.9 WHEN 'broken_prefix' THEN 0.85 ELSE CASE WHEN issue_type LIKE 'format%' THEN 0.8 ELSE 0.7 END END"
 
 
-def quality_sql(source: str, t: str, p: str = "page_count") -> str:
+def quality_sql(source: str, t: str, p: str = "page_count", coverage: str = "NULL::DOUBLE", match_rate: str = "NULL::DOUBLE", tables: str = "0") -> str:
     text, pages = f"coalesce({t}, '')", f"coalesce({p}, 1)"
     share = f"({words_sql(t)}) / (300.0 * greatest({pages}, 1))"
     many = lambda pattern: f"(CASE WHEN len(regexp_extract_all({text}, '{pattern}')) > 5 THEN 10.0 ELSE 0.0 END)"
     clamp = lambda x: f"greatest(0.0, least(100.0, {x}))::DOUBLE"
     lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-    complete = f"(CASE WHEN {share} < 0.5 THEN 50.0 WHEN {share} < 0.7 THEN 70.0 ELSE 90.0 END) - (CASE WHEN regexp_matches(lower({text}), '\\[(?:page [0-9]+ )?extraction error') THEN 10.0 ELSE 0.0 END)"
-    structure = f"100.0 - (CASE WHEN contains({text}, 'PAGE') OR contains({text}, 'page') THEN 0.0 ELSE 10.0 END) - (CASE WHEN NOT regexp_matches({text}, '[0-9]+\\.[0-9]+') AND {pages} > 3 THEN 10.0 ELSE 0.0 END) + (CASE WHEN contains({text}, '[TABLE') THEN 5.0 WHEN {pages} > 5 THEN -5.0 ELSE 0.0 END) - (CASE WHEN regexp_matches({text}, '\\n{{5,}}') THEN 5.0 ELSE 0.0 END)"
+    complete = f"coalesce(CASE WHEN {coverage} > 100 THEN 100.0 ELSE {coverage} END, CASE WHEN {share} < 0.5 THEN 50.0 WHEN {share} < 0.7 THEN 70.0 ELSE 90.0 END) - (CASE WHEN regexp_matches(lower({text}), '\\[(?:page [0-9]+ )?extraction error') THEN 10.0 ELSE 0.0 END)"
+    structure = f"100.0 - (CASE WHEN contains(lower({text}), 'page') THEN 0.0 ELSE 10.0 END) - (CASE WHEN NOT regexp_matches({text}, '[0-9]+\\.[0-9]+') AND {pages} > 3 THEN 10.0 ELSE 0.0 END) + (CASE WHEN coalesce({tables}, 0) = 0 AND {pages} > 5 THEN -5.0 WHEN contains({text}, '[TABLE') THEN 5.0 ELSE 0.0 END) - (CASE WHEN regexp_matches({text}, '\\n{{5,}}') THEN 5.0 ELSE 0.0 END)"
     accuracy = f"100.0 - {many('[a-z][0-9][a-z]')} - {many(chr(92) + '?' + chr(92) + '?' + chr(92) + '?+')} - {many('□+')} - least(20.0, len(regexp_extract_all({text}, '\\x{{FFFD}}')))"
-    readable = f"CASE WHEN n > 0 THEN 100.0 - (CASE WHEN total / n < 20 THEN 10.0 ELSE 0.0 END) - (CASE WHEN long > 0.1 * n THEN 5.0 ELSE 0.0 END) ELSE 100.0 END"
+    blocks = f"regexp_extract_all({text}, '(?s).{{100}}')"
+    whole = f"{blocks}[1:greatest(0, len({blocks}) - (length({text}) % 100 = 0)::INT)]"
+    readable = f"100.0 - (CASE WHEN n > 0 AND total / n < 20 THEN 10.0 ELSE 0.0 END) - (CASE WHEN n > 0 AND long > 0.1 * n THEN 5.0 ELSE 0.0 END) - (CASE WHEN len({whole}) > 0 AND len(list_distinct({whole})) * 2 < len({whole}) THEN 15.0 ELSE 0.0 END) + (CASE WHEN contains({text}, '[DOCUMENT FILENAME:') THEN 5.0 ELSE 0.0 END)"
     inner = f"SELECT *, {lines} AS ls FROM {source}"
     counted = f"SELECT *, len(ls) AS n, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0)::DOUBLE AS total, len(list_filter(ls, lambda x: length(x) > 200)) AS long FROM ({inner})"
-    dims = f"SELECT *, {clamp(complete)} AS completeness, {clamp(structure)} AS structure, {clamp(accuracy)} AS accuracy, 80.0::DOUBLE AS footnotes, {clamp(readable)} AS readability FROM ({counted})"
+    dims = f"SELECT *, {clamp(complete)} AS completeness, {clamp(structure)} AS structure, {clamp(accuracy)} AS accuracy, {clamp(f'coalesce({match_rate}, 80.0)')} AS footnotes, {clamp(readable)} AS readability FROM ({counted})"
     return f"SELECT *, completeness * 0.30::DOUBLE + structure * 0.25::DOUBLE + accuracy * 0.20::DOUBLE + footnotes * 0.15::DOUBLE + readability * 0.10::DOUBLE AS overall FROM ({dims})"
 
 
+QUALITY_COLUMNS = "doc_id, completeness, structure, accuracy, footnotes, readability, round(overall, 6) AS overall, {grade} AS grade, round(greatest(0.3, least(1.0, 1 - least(0.5, list_var_pop([completeness, structure, accuracy, footnotes, readability]) / 1000))), 6) AS confidence"
 GRADE_SQL = "CASE WHEN round(overall, 6) >= 90 THEN 'Excellent' WHEN round(overall, 6) >= 80 THEN 'Good' WHEN round(overall, 6) >= 70 THEN 'Fair' WHEN round(overall, 6) >= 60 THEN 'Poor' ELSE 'Failed' END"
 LOWEST_SQL = "list_sort([{'s': completeness, 'n': 'completeness'}, {'s': structure, 'n': 'structure'}, {'s': accuracy, 'n': 'accuracy'}, {'s': footnotes, 'n': 'footnotes'}, {'s': readability, 'n': 'readability'}])[1:2]"
 ENDS_JOIN = "NOT regexp_matches(line, '[。！？」』】）：；;]$') AND NOT regexp_matches(after, '^(?:[・•●○■□◆◇※*-]|[0-9]+[.)、．）]|第?[0-9一二三四五六七八九十]+[章条項節])') AND regexp_matches(line, '[はがをにでとのへからもや、，]$')"
@@ -199,14 +240,24 @@ ORACLES = {
     "issue_counts": f"WITH i AS ({found_sql()}) SELECT issue_type, count(*) AS n_issues, count(DISTINCT doc_id) AS n_docs, round(avg({CONFIDENCE_SQL}), 6) AS mean_confidence FROM i GROUP BY issue_type",
     "mock_corrections": f"""WITH i AS (SELECT DISTINCT issue_type, original_text FROM ({found_sql()}))
         SELECT issue_type, original_text, CASE WHEN issue_type = 'ocr_digit_in_word' THEN list_reduce(list_transform(range(1, length(original_text) + 1), lambda k: CASE WHEN k > 1 AND regexp_matches(original_text[k - 1], '[a-z]') AND regexp_matches(original_text[k + 1], '[a-z]') AND original_text[k] IN ('0', '1', '5') THEN translate(original_text[k], '015', 'ois') ELSE original_text[k] END), lambda a, b: a || b)
-            WHEN issue_type LIKE 'ocr_broken%' THEN regexp_replace(original_text, '[ \\t]+', '', 'g') WHEN issue_type = 'format_excess_spaces' THEN '  ' ELSE original_text END AS corrected FROM i""",
-    "hallucination_scan": """WITH k AS (SELECT doc_id, unnest([{'kind': 'markdown_bold', 'n': len(regexp_extract_all(text, '\\*\\*[^*\\n]+\\*\\*'))}, {'kind': 'markdown_underline', 'n': len(regexp_extract_all(text, '__[^_\\n]+__'))}, {'kind': 'html_tag', 'n': len(regexp_extract_all(text, '</?[a-zA-Z][^>\\n]*>'))},
-            {'kind': 'markdown_heading', 'n': len(regexp_extract_all(text, '(?m)^#{1,6}[ \\t]'))}, {'kind': 'note_that', 'n': len(regexp_extract_all(text, '(?im)^note that '))}, {'kind': 'in_summary', 'n': len(regexp_extract_all(text, '(?im)^in (?:summary|conclusion),'))}]) AS c FROM documents WHERE length(text) > 0)
-        SELECT doc_id, c.kind AS kind, c.n::INT AS n_found FROM k WHERE c.n > 0""",
+            WHEN issue_type IN ('broken_suffix', 'broken_prefix') THEN regexp_replace(original_text, '[\\s\\p{{Z}}]+', '', 'g') WHEN issue_type = 'format_excess_spaces' THEN '  ' ELSE original_text END AS corrected FROM i""",
+    "hallucination_scan": f"WITH k AS ({' UNION ALL '.join(invented_count_sql(*p) for p in INVENTED_SQL)}) SELECT * FROM k WHERE n_found > 0",
     "hallucination_removed": f"SELECT doc_id, {invented_sql('text')} AS text FROM documents",
-    "quality_score": f"SELECT doc_id, completeness, structure, accuracy, footnotes, readability, round(overall, 6) AS overall, {GRADE_SQL} AS grade, round(greatest(0.3, least(1.0, 1 - least(0.5, list_var_pop([completeness, structure, accuracy, footnotes, readability]) / 1000))), 6) AS confidence FROM ({quality_sql('documents', 'text')})",
+    "quality_text": f"SELECT {QUALITY_COLUMNS.format(grade=GRADE_SQL)} FROM ({quality_sql('documents', 'text')})",
     "quality_grades": f"SELECT {GRADE_SQL} AS grade, count(*) AS n_docs, round(avg(overall), 6) AS mean_score FROM ({quality_sql('documents', 'text')}) GROUP BY ALL",
     "quality_low_dimensions": f"SELECT doc_id, array_to_string(list_transform({LOWEST_SQL}, lambda x: x.n), ',') AS lowest, len(list_filter({LOWEST_SQL}, lambda x: x.s < 70))::INT AS n_recommendations FROM ({quality_sql('documents', 'text')})",
-    "remediation_best": f"""WITH v AS (SELECT doc_id, page_count, 0 AS attempt, text FROM documents UNION ALL SELECT doc_id, page_count, 1, {invented_sql('text')} FROM documents UNION ALL SELECT doc_id, page_count, 2, {cleanup_sql(invented_sql('text'))} FROM documents)
-        SELECT doc_id, attempt, round(overall, 6) AS score FROM ({quality_sql('v', 'text')}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(overall, 6) DESC, attempt) = 1""",
 }
+# Positions, as the running lengths of what stands between the matches of patterns without word boundaries.
+POSITIONED = [(k, name, p) for k, (name, p) in enumerate(X.ISSUE_PATTERNS) if "(?" not in p]
+
+
+def positions_sql() -> str:
+    parts = [f"SELECT doc_id, text, '{name}' AS issue_type, {k} AS pattern_no, regexp_extract_all(text, '{p}') AS m, list_transform(string_split_regex(text, '{p}'), lambda x: length(x)) AS b FROM documents WHERE length(text) > 0" for k, name, p in POSITIONED]
+    return f"""SELECT doc_id, text, issue_type, pattern_no, m[k] AS original_text, (list_sum(b[1:k]) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT AS position
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM ({' UNION ALL '.join(parts)}) WHERE len(m) > 0)"""
+
+
+ORACLES["issue_scan_unbounded"] = f"WITH i AS ({positions_sql()}), c AS (SELECT *, {CONFIDENCE_SQL}::DOUBLE AS confidence FROM i) SELECT doc_id, issue_type, position, original_text, confidence, ((CASE WHEN contains(issue_type, 'digit_in_word') THEN 2 WHEN contains(issue_type, 'excess_space') THEN 3 ELSE 5 END) - floor(2 * confidence))::INT AS priority FROM c"
+ORACLES["issue_context"] = f"SELECT doc_id, issue_type, position, substr(text, greatest(0, position - 100) + 1, position - greatest(0, position - 100)) AS context_before, substr(text, position + length(original_text) + 1, 100) AS context_after FROM ({positions_sql()})"
+ORACLES["encoding_fixed"] = """WITH t AS (SELECT doc_id, regexp_replace(text, '[\\x{FFFD}\\x00]', '', 'g') AS t FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, string_split(regexp_replace(t, '\\\\x([0-9a-f]{2})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM t),
+    d AS (SELECT doc_id, array_to_string(list_transform(p, lambda x: CASE WHEN contains(x, chr(2)) THEN chr(('0x' || substr(x, 1, 2))::INT) || substr(x, 4) ELSE x END), '') AS t FROM s) SELECT doc_id, length(t)::INT AS n_chars, md5(t) AS digest FROM d"""

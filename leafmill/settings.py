@@ -22,6 +22,7 @@ class Settings:
     chunk_least: int = 1000
     overlap: int = 500
     quality_least: float = 70.0
+    legacy_margins: bool = False
 
     def __post_init__(self) -> None:
         if self.column_gap <= 0 or self.line_gap <= 0:
@@ -38,5 +39,6 @@ DEFAULT = Settings()
 PROFILES = {
     "default": DEFAULT,
     "optimized": replace(DEFAULT, column_gap=40.0, quality_least=80.0),
-    "legacy": replace(DEFAULT, top_margin=0.05, bottom_margin=0.05, join_lines=False),
+    "legacy": replace(DEFAULT, top_margin=0.05, bottom_margin=0.05, join_lines=False, legacy_margins=True),
+    "bare": replace(DEFAULT, remove_headers=False, fix_spacing=False, fix_punctuation=False),
 }

@@ -93,3 +93,34 @@ def recovered(pages: DataFrame, *ladder: str) -> DataFrame:
 def not_yet_done(files: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
     """Files that the manifest of earlier runs doesn't name."""
     return files.join(manifest.select(key).distinct(), key, "left_anti")
+
+
+# What a page dump holds beside its words; a table finder's settings are those it was run with.
+DUMP = "path string, page int, rotation int, raw_text string, words array<struct<text:string,x0:double,top:double,x1:double,bottom:double,fontname:string,size:double,height:double>>, chars array<struct<text:string,x0:double,top:double,x1:double,bottom:double,size:double>>, rects array<struct<x0:double,top:double,x1:double,bottom:double>>, tables array<struct<method:string,x0:double,top:double,x1:double,bottom:double,rows:array<array<string>>>>"
+
+# How tables are looked for, by method: strategy, snap, join, least edge length, least words across and down.
+TABLE_FINDERS = {
+    "strict": {"strategy": "lines_strict", "snap_tolerance": 3, "join_tolerance": 3, "edge_min_length": 10, "min_words_vertical": 3, "min_words_horizontal": 1, "confidence": 0.95},
+    "relaxed": {"strategy": "lines", "snap_tolerance": 5, "join_tolerance": 5, "edge_min_length": 15, "confidence": 0.85},
+    "text": {"strategy": "text", "snap_tolerance": 8, "join_tolerance": 8, "confidence": 0.75},
+}
+
+
+def page_dumps(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that a decoder elsewhere wrote as JSON lines (DUMP); a broken line is left out."""
+    return spark.read.schema(DUMP).option("mode", "DROPMALFORMED").json(folder)
+
+
+def dumped(pages: DataFrame, part: str) -> DataFrame:
+    """One part of page dumps as rows: words, chars, rects or tables, numbered as `<part>_ix` from 0; tables with the confidence of their method."""
+    rows = pages.select("path", "page", F.posexplode(part).alias(f"{part}_ix", "_p")).select("path", "page", f"{part}_ix", "_p.*")
+    if part != "tables":
+        return rows
+    sure = F.create_map(*(F.lit(x) for name, s in TABLE_FINDERS.items() for x in (name, s["confidence"])))
+    return rows.withColumn("confidence", F.coalesce(sure[F.col("method")], F.lit(0.0)))
+
+
+def dump_ladder(pages: DataFrame) -> DataFrame:
+    """The texts that a page can be recovered from, in order: its words joined by blanks, its characters, its raw text."""
+    joined = lambda c, sep: F.array_join(F.transform(c, lambda w: w["text"]), sep)
+    return pages.select("path", "page", joined("words", " ").alias("simple_extraction"), joined("chars", "").alias("char_extraction"), F.col("raw_text").alias("raw_extraction"))
