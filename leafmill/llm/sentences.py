@@ -20,7 +20,7 @@ from leafmill.functions.columns import keyed, text_or_empty
 MASK, CUT, FOREIGN = "", "", ""
 
 # Abbreviations whose full stop never ends a sentence.
-ABBREVIATIONS = "Dr|Dra|Prof|Sr|Sra|Mr|Mrs|Ms|Mme|Mlle|Nr|núm|Abb|vgl|cf|vs|bzw|ca|ggf|approx|aprox|env|al|p|pp|z|d|см|рис|стр|табл|डॉ|श्री|प्रो"
+ABBREVIATIONS = "Dr|Dra|Prof|Sr|Sra|Mr|Mrs|Ms|Mme|Mlle|Nr|núm|Abb|vgl|cf|vs|bzw|ca|ggf|approx|aprox|env|al|p|pp|z|d|см|рис|стр|табл|डॉ|श्री|प्रो|St|Ste|Mt|Rev|Hon|Gen|Capt|Lt|Sgt|Gov|Sen|Messrs|Drs|Profs|Srta|Dipl|Ing|evtl|inkl|sog|viz|e[.]g|i[.]e|z[.]B|d[.]h|p[.]ej|гл|ул|проф|акад"
 # Abbreviations that need a number behind them.
 BEFORE_NUMBER = "No|Fig|Tab|Art|Vol|Abs|Ref|Eq|S|n|fig|no|г"
 # German months, after an ordinal number.

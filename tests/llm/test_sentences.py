@@ -14,6 +14,7 @@ CASES = {
     "担当者は「確認した。」と述べた（図6．9を参照）。「省略した。」次の文……そして続く。[2]終": ["担当者は「確認した。」と述べた（図6．9を参照）。", "「省略した。」", "次の文……そして続く。[2]", "終"],
     "审阅者写道：“解释了计划。”“完整吗？”审阅者问，更正了结果。": ["审阅者写道：“解释了计划。”", "“完整吗？”审阅者问，更正了结果。"],
     "ในบทที่ 26 ตาราง Rijo ระบุอาการ ผู้ตรวจทาน": ["ในบทที่ 26 ตาราง Rijo ระบุอาการ", "ผู้ตรวจทาน"],
+    "It was St. Mary of the U.S. Navy, e.g. Smith Jr., etc. and more. Prof. и акад. Ivan left.": ["It was St. Mary of the U.S. Navy, e.g. Smith Jr., etc. and more.", "Prof. и акад. Ivan left."],
     "डॉ. सेल ने कहा। अगला वाक्य।": ["डॉ. सेल ने कहा।", "अगला वाक्य।"],
     "the consent form.In section 8.7, .": ["the consent form.", "In section 8.7, ."],
 }
