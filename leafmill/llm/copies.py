@@ -26,3 +26,15 @@ def with_copies(df: DataFrame, text: str, at_once: int = BROADCAST_ROWS) -> Data
     others = repeated.join(F.broadcast(most.select("_hash")), "_hash", "left_anti")
     rest = first.where("_copies IS NULL").drop("_copies").join(others, "_hash", "left")
     return first.where("_copies IS NOT NULL").unionByName(rest).drop("_hash")
+
+
+def one_of_each(df: DataFrame, keys: list[str], at_once: int = BROADCAST_ROWS) -> DataFrame:
+    """A row for each value of `keys` (not null). Only rows of keys that stand in several are brought together; all others stay where they are.
+
+    Beyond `at_once` such keys all rows are shuffled.
+    """
+    repeated = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if repeated.count() > at_once:
+        return df.dropDuplicates(keys)
+    named = F.broadcast(repeated)
+    return df.join(named, keys, "left_anti").unionByName(df.join(named, keys, "left_semi").dropDuplicates(keys))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.copies import one_of_each
 from leafmill.llm.encoding import TOKENIZERS, token_counts, token_ids
 from leafmill.llm.encodings import garbled_tokens, put_right
 from leafmill.llm.lookalikes import consistent_text, lookalike_terms
@@ -41,9 +42,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every raw_text and every content."""
-    chunks = read_table(spark, folder, "chunks").dropDuplicates(CHUNK)
-    results = spread(read_table(spark, folder, "extraction_results")).select("doc_id", F.lit(None).cast("int").alias("chunk_id"), F.col("raw_text").alias("content")).dropDuplicates(["doc_id"])
-    return sentences(chunks.select(*CHUNK, "content").unionByName(results), CHUNK, "content")
+    chunks = one_of_each(read_table(spark, folder, "chunks").select(*CHUNK, "content"), CHUNK)
+    results = one_of_each(spread(read_table(spark, folder, "extraction_results")).select("doc_id", F.col("raw_text").alias("content")), ["doc_id"])
+    return sentences(chunks.unionByName(results.select("doc_id", F.lit(None).cast("int").alias("chunk_id"), "content")), CHUNK, "content")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,8 +54,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """The statistics and the verdict of every raw_text."""
-    return text_statistics(spread(read_table(spark, folder, "extraction_results")).dropDuplicates(["doc_id"]), ["doc_id"], "raw_text", language="lang")
+    """The statistics and the verdict of every raw_text; repeated rows are dropped after they shrank to numbers."""
+    return text_statistics(spread(read_table(spark, folder, "extraction_results")), ["doc_id"], "raw_text", language="lang").dropDuplicates(["doc_id"])
 
 
 def p2_words(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +94,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every page in its original characters."""
-    pages = result_pages(spark, folder).dropDuplicates(["doc_id", "page_number"])
+    pages = one_of_each(result_pages(spark, folder), ["doc_id", "page_number"])
     return put_right(pages, "doc_id", "page_number", "page").withColumnsRenamed({"doc": "doc_id", "page": "page_number"})
 
 
@@ -114,7 +115,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every cell, footnote and raw_text in its one form."""
-    entries = p5_entries(spark, folder).dropDuplicates(["src", "item_id"])
+    entries = one_of_each(p5_entries(spark, folder), ["src", "item_id"])
     return consistent_text(entries, ["src", "item_id"], "text", read_table(spark, folder, "glossary"))
 
 
@@ -126,7 +127,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk in pieces within its limit."""
-    chunks = chunks_with_strategy(spark, folder).dropDuplicates(CHUNK)
+    chunks = one_of_each(chunks_with_strategy(spark, folder), CHUNK)
     return split_oversized(chunks, CHUNK, "content", "max_chunk_size", "overlap_size")
 
 

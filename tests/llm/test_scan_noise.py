@@ -1,4 +1,4 @@
-from leafmill.llm.copies import with_copies
+from leafmill.llm.copies import one_of_each, with_copies
 from leafmill.llm import scan_noise as module
 from leafmill.llm.scan_noise import BODY, FOOT, HEAD, body_tokens, broken_lines, first_model, line_labels, misread_words, paragraphs, readings, scan_noise, continuous_text
 
@@ -89,3 +89,9 @@ def test_copies_of_a_scan_count_once(spark):
     texts = df.selectExpr("doc", "pages[0] AS text")
     copies = {r.doc: r._copies for at_once in (0, 1, 9) for r in with_copies(texts, "text", at_once).collect()}
     assert len(copies) == 54 and copies[0] is None and copies[10] == 50
+
+
+def test_one_of_each(spark):
+    df = spark.createDataFrame([(n % 40, str(n % 40)) for n in range(60)], "k int, t string").repartition(4)
+    for at_once in (0, 100):
+        assert sorted(map(tuple, one_of_each(df, ["k"], at_once).collect())) == [(k, str(k)) for k in range(40)]
