@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans.report_queries import ORACLES as REPORT_ORACLES
 from leafmill.plans.report_queries import RESULTS, batch_summary, batch_table, results
 from leafmill.sources import sinks
 from leafmill.sources.decoders import not_yet_done, recovered
@@ -17,8 +18,7 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_html(spark: SparkSession, d: str) -> DataFrame:
-    """Length and number of rows of the report, as its text is one long value."""
-    return sinks.html_report(batch_table(spark, d)).select(F.size(F.split("html", "\n")).alias("n_lines"))
+    return sinks.html_report(batch_table(spark, d))
 
 
 def report_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ ORACLES = {
         SELECT '{{"total":' || n || ',"successful":' || ok || ',"failed":' || (n - ok) || ',"success_rate":"' || format('{{:.1f}}', 100.0 * ok / n) || '%","failure_rate":"' || format('{{:.1f}}', 100.0 * (n - ok) / n) || '%","failed_files":[' || array_to_string(list_transform(bad, lambda x: '"' || x || '"'), ',') || ']}}' AS report FROM n""",
     "report_csv": f"""WITH {RESULTS}, s AS (SELECT *, CASE WHEN isnan(quality_score) THEN 0.0 ELSE coalesce(quality_score, 0.0) END AS q FROM r) SELECT filename, CASE WHEN success THEN 'ok' ELSE 'failed' END AS status, format('{{:.1f}}', round(q, 1)) AS score, coalesce(quality_grade, '') AS grade, format('{{:.1f}}', round(100 * coalesce(confidence, 0.0), 1)) AS confidence,
         coalesce(page_count, 0) AS pages, coalesce(word_count, 0) AS words, coalesce(corrections_made, 0) AS corrections, format('{{:.1f}}', round(coalesce(extraction_time, 0.0), 1)) AS seconds FROM s""",
-    "report_html": f"WITH {RESULTS} SELECT (count(*) + 2)::INT AS n_lines FROM r",
+    "report_html": f"""SELECT '<table>' || chr(10) || string_agg('<tr class="' || css || '"><td>' || replace(replace(filename, '&', '&amp;'), '<', '&lt;') || '</td><td>' || coalesce(score, '-') || '</td><td>' || words || '</td></tr>', chr(10) ORDER BY -coalesce(score::DOUBLE, -1), filename) || chr(10) || '</table>' AS html FROM ({REPORT_ORACLES['batch_table']})""",
     "report_lines": f"""WITH {RESULTS} SELECT unnest(['total_files: ' || count(*), 'successful: ' || count(*) FILTER (success), 'failed: ' || count(*) FILTER (NOT success),
         'best_file: ' || (SELECT filename FROM r WHERE success AND score IS NOT NULL ORDER BY score DESC, filename LIMIT 1)]) AS line FROM r""",
     "files_left": f"WITH {RESULTS} SELECT filename AS path FROM r WHERE filename NOT IN (SELECT filename FROM r WHERE success)",

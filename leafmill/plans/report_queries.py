@@ -119,7 +119,7 @@ def page_text_tables(spark: SparkSession, d: str) -> DataFrame:
 
 def formulas(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.formulas(L.scripts(w, L.trimmed_sizes(w)), 40.0)
+    return L.formulas(L.scripts(w, L.trimmed_sizes(w)))
 
 
 # ---- footnotes

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.lineage import cut_lineage
+
 
 def file_stream(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 50, pattern: str = "*.parquet") -> DataFrame:
     """New parquet files of a folder as a stream, `files_per_batch` a batch."""
@@ -44,7 +46,7 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, float
     before, rounds = float("-inf"), 0
     while rounds < most:
         state, score = step(state)
-        state = state.checkpoint() if not state.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else state
+        state = cut_lineage(state)
         rounds += 1
         if score - before < least:
             break
