@@ -1,22 +1,5 @@
-"""Cutting lineage in storage that outlives executors."""
+"""Cutting lineage in storage that outlives executors, as the rest of the library does it."""
 
-from __future__ import annotations
+from leafmill.functions.lineage import cut_lineage
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written to the checkpoint folder that the cluster names in spark.checkpoint.dir, and read from there.
-
-    Only where the session has no such setting and no folder, as in tests on
-    one machine, is a temporary folder set.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-"))
-    return df.checkpoint()
+__all__ = ["cut_lineage"]

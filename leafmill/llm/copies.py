@@ -10,6 +10,15 @@ from leafmill.llm.checkpoints import cut_lineage
 #: Hashes of repeated texts up to which they are broadcast; beyond, those of most copies are, and the others are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of texts up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, text_columns: list[str], rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, to be broadcast in a join if it has `rows` rows and `size` bytes of text at most, else as it is. It should be a written table."""
+    held = df.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(c)).alias(f"b{k}") for k, c in enumerate(text_columns))).first()
+    return F.broadcast(df) if held[0] <= rows and sum(b or 0 for b in held[1:]) <= size else df
+
 
 def with_copies(df: DataFrame, text: str, at_once: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with _copies, the number of rows of a text that stands in several, null for others.

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
-from leafmill.llm.copies import with_copies
+from leafmill.llm.copies import small_side, with_copies
 from leafmill.llm.filters import Filter, filter_of
 from leafmill.llm.shared_spans import WindowHash, code_points
 
-#: Verified tokens up to which they are broadcast to the pages; beyond, both sides are shuffled.
+#: Verified tokens up to which they are broadcast to the pages (small_side bounds their bytes); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Different page texts that a word must be on: its form is on one at least, and must be on fewer.
 MIN_TEXTS = 2
@@ -433,8 +433,7 @@ def garbled_tokens(df: DataFrame, doc: str, page: str, text: str, min_texts: int
     cut = tokens.where("form IS NOT NULL")
     # The distinct tokens, merged in each task first, meet the table; then the verified ones go back to their places.
     distinct = cut.groupBy("doc", "page", "kind", "form").agg(F.max("weight").alias("weight")).groupBy("kind", "form").agg(F.round(F.sum("weight")).alias("texts_form"))
-    kind = F.when(F.col("kind") == PAIR, PAIR).otherwise(F.col("kind")).alias("kind")
-    verified = distinct.join(forms.select("form", kind, "chain", "original", "texts"), ["kind", "form"]).where("texts > texts_form")
+    verified = distinct.join(forms.select("form", "kind", "chain", "original", "texts"), ["kind", "form"]).where("texts > texts_form")
     narrow = F.col("chain").isin(_NARROW_CHAINS)
     normal = F.regexp_replace("original", r"[^\p{L}]", "").rlike(r"^(?:\p{Ll}+|\p{Lu}+|.\p{Ll}+)$")
     verified = verified.where(~narrow | ((F.length("form") > 1) & normal))
@@ -442,7 +441,7 @@ def garbled_tokens(df: DataFrame, doc: str, page: str, text: str, min_texts: int
     best = F.max_by(F.struct("chain", "original"), F.struct("texts", "original")).alias("best")
     words = verified.where(f"kind <> {PAIR}").groupBy("kind", "form").agg(best).select("kind", "form", "best.chain", "best.original")
     verified = cut_lineage(words.unionByName(verified.where(f"kind = {PAIR}").select("kind", "form", "chain", "original").distinct()))
-    met = cut.join(F.broadcast(verified) if verified.count() <= BROADCAST_ROWS else verified, ["kind", "form"])
+    met = cut.join(small_side(verified, ["form", "original"], BROADCAST_ROWS), ["kind", "form"])
     alone = met.where(f"kind <> {PAIR} OR length(form) >= {EVIDENT}")
     # Short windows: where enough of one chain overlap, the chain is proven for its page, and all its windows count.
     stretch = Window.partitionBy("doc", "page", "chain").orderBy("at")

@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.checkpoints import cut_lineage
-from leafmill.llm.copies import with_copies
+from leafmill.llm.copies import small_side, with_copies
 from leafmill.llm.markov import LineModel, packed, trained, unpacked
 
 #: Viterbi passes over all scanned documents, and how many lines the start of the training weighs.
 ROUNDS, WEIGHT = 2, 200.0
 #: Pages that a word must be on to be an original, and how many times the pages of its misreading.
 MIN_PAGES, TIMES = 3, 4
-#: Rows of document ids or misread words up to which they are broadcast; beyond, both sides are shuffled.
+#: Rows of document ids or misread words up to which they are broadcast (small_side bounds their bytes); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 HEAD, BODY, BREAK, FOOT = range(4)
@@ -387,7 +387,7 @@ def observed_documents(docs: DataFrame, doc: str, pages: str, scanned: DataFrame
     """_doc, _pages, the packed codes of their lines and how many lines each page has, of the documents that `scanned` names."""
     ids = cut_lineage(scanned.select(scanned[doc].cast("long").alias("_doc")).where("_doc IS NOT NULL").distinct())
     chosen = docs.select(docs[doc].cast("long").alias("_doc"), docs[pages].alias("_pages"))
-    chosen = chosen.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "_doc", "left_semi")
+    chosen = chosen.join(small_side(ids, [], BROADCAST_ROWS), "_doc", "left_semi")
     return cut_lineage(chosen.mapInArrow(_observe, "_doc long, _pages array<string>, _codes binary, _lines array<int>"))
 
 
@@ -402,7 +402,7 @@ def scan_noise(docs: DataFrame, doc: str, pages: str, scanned: DataFrame) -> Dat
     lines = chosen.mapInArrow(_scan_lines(trained(first_model(), chosen, "_codes", ROUNDS, WEIGHT, "_lines")), LINES)
     words = cut_lineage(misread_words(docs, pages))
     # One pass over the lines: labels go through the join as they are, tokens are kept where they meet a misreading.
-    joined = lines.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word", "left").where("noise IS NOT NULL OR at IS NOT NULL")
+    joined = lines.join(small_side(words, ["word", "original"], BROADCAST_ROWS), "word", "left").where("noise IS NOT NULL OR at IS NOT NULL")
     later = F.coalesce((F.col("cut") >= 0) & (F.col("at") >= F.col("cut")), F.lit(False))
     place = lambda c: F.when(later, F.col(f"next_{c}")).otherwise(F.col(c)).alias(c)
     return joined.select("doc", place("page"), place("line"), F.coalesce("noise", F.lit("misread")).alias("noise")).distinct()
@@ -417,7 +417,7 @@ def continuous_text(docs: DataFrame, doc: str, pages: str, scanned: DataFrame) -
     model = trained(first_model(), chosen, "_codes", ROUNDS, WEIGHT, "_lines")
     words = cut_lineage(misread_words(docs, pages))
     tokens = chosen.mapInArrow(_scan_lines(model), LINES).where("word IS NOT NULL").select("doc", "word").distinct()
-    fixes = tokens.join(F.broadcast(words) if words.count() <= BROADCAST_ROWS else words, "word").groupBy(F.col("doc").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("word", "original"))).alias("_fixes"))
+    fixes = tokens.join(small_side(words, ["word", "original"], BROADCAST_ROWS), "word").groupBy(F.col("doc").alias("_doc")).agg(F.map_from_entries(F.collect_list(F.struct("word", "original"))).alias("_fixes"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
