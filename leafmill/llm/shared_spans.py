@@ -11,8 +11,8 @@ overlapping found spans are merged to maximal runs.
 Both look-ups send, of a task's equal hashes, those of a single row through the shuffle, and of
 these one for each stretch that the repeats cover;
 rows that already met in the task are sure, so a text copied
-into a third of all rows loads no task more than any other. Shared anchors come back to
-the texts as a filter of bounded size, so no text is shuffled.
+into a third of all rows loads no task more than any other. Shared anchors, and the rows that
+have one, come back to the texts as filters of bounded size, so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -143,10 +143,11 @@ def _anchors(length: int):
             order, shared, _ = _met((h,), d)
             fresh = np.ones(len(h), bool)
             fresh[1:] = np.diff(h[order]) != 0
-            # In the order of rows, in which the ids next to each other compress.
-            at = np.sort(order[fresh])
             sure = np.zeros(len(h), bool)
             sure[order] = shared
+            # Of each hash one row, and of each doc with a sure one; in the order of rows, in which the ids next to each other compress.
+            met = np.flatnonzero(sure)
+            at = np.union1d(order[fresh], met[np.unique(d[met], return_index=True)[1]])
             return _batch(h=h[at] | sure[at], doc=d[at])
 
         hashes, docs, held = [], [], 0
@@ -167,10 +168,16 @@ def _anchors(length: int):
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h of sorted anchors that two docs share, once or a few times."""
-    for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy(),)):
-        h = rows.column("h").to_numpy()
-        yield _batch(h=np.unique(h[several | ((h & SURE_ANCHOR) != 0)] & ~SURE_ANCHOR))
+    """(h, dh) of sorted anchors that two docs share, dh being a hash of a doc that has one."""
+    even = ~SURE_ANCHOR
+    for rows, several in _groups_of_several(batches, lambda r: (r.column("h").to_numpy() & even,)):
+        h, doc = rows.column("h").to_numpy(), rows.column("doc").to_numpy()
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.append(True, (h[1:] & even) != (h[:-1] & even)))
+        sure = np.repeat(np.maximum.reduceat(h & SURE_ANCHOR, first), np.diff(np.append(first, len(h)))) > 0
+        kept = several | sure
+        yield _batch(h=h[kept] & even, dh=mixed(doc[kept].view(np.uint64)).view(np.int64))
 
 
 def merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,10 +222,11 @@ def _shared_spans(length: int):
 
 
 def _candidate_spans(length: int, known: Broadcast):
+    """Spans around shared anchors; `known` holds the filters of shared anchors and of the docs that have one."""
     width = length - PERIOD + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers, anchors = (WindowHash(0), WindowHash(1)), known.value
+        hashers, (anchors, owners) = (WindowHash(0), WindowHash(1)), known.value
 
         def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             h1, h2, d, p = (np.concatenate(x) for x in zip(*parts))
@@ -247,8 +255,9 @@ def _candidate_spans(length: int, known: Broadcast):
 
         parts, held = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):
-                points = code_points(text.as_py())
+            ids = batch.column("_doc").to_numpy()
+            for k in np.flatnonzero(owners.has(mixed(ids.view(np.uint64)))).tolist():
+                doc, points = int(ids[k]), code_points(batch.column("_text")[k].as_py())
                 n = len(points)
                 starts = anchor_starts(n, width)
                 found = starts[anchors.has((hashers[0].at(points, starts, width).view(np.int64) & ~SURE_ANCHOR).view(np.uint64))]
@@ -294,8 +303,9 @@ def shared_runs(df: DataFrame, key: str, text: str, length: int = 200) -> DataFr
     name = f"{key}_key" if key in ("start_pos", "end_pos") else key
     rows = df.select(df[key].cast("long").alias("_doc"), df[text].alias("_text")).where((F.length("_text") >= length) & F.col("_doc").isNotNull())
     anchors = rows.mapInArrow(_anchors(length), ANCHORS).repartition(F.col("h").bitwiseAND(int(~SURE_ANCHOR))).sortWithinPartitions("h", "doc")
-    met = cut_lineage(anchors.mapInArrow(_shared_anchors, "h long"))
-    known = df.sparkSession.sparkContext.broadcast(filter_of(met, "h", met.count()))
+    met = cut_lineage(anchors.mapInArrow(_shared_anchors, "h long, dh long"))
+    n = met.count()
+    known = df.sparkSession.sparkContext.broadcast((filter_of(met, "h", n), filter_of(met, "dh", n)))
     spans = rows.mapInArrow(_candidate_spans(length, known), SPANS).repartition("h").sortWithinPartitions("h", F.shiftright("tail", 32), "doc")
     found = spans.mapInArrow(_shared_spans(length), "doc long, a int, b int")
     return _runs(found).select(F.col("doc").alias(name), "start_pos", "end_pos")

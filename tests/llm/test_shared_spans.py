@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 
 from leafmill.llm.filters import MAX_BITS, MIN_BITS, bits_for, filter_of
-from leafmill.llm.shared_spans import COVER, PERIOD, SURE_ANCHOR, _anchors, _candidate_spans, merged, shared_runs
+from leafmill.llm.shared_spans import COVER, PERIOD, SURE_ANCHOR, _anchors, _candidate_spans, merged, mixed, shared_runs
 
 LENGTH = 200
 
@@ -79,7 +79,8 @@ def test_repeats_are_one_row(spark):
     assert sum(b.num_rows for b in anchors) < 1000
     hashes = np.unique(np.concatenate([b.column("h").to_numpy() for b in anchors]) & ~SURE_ANCHOR)
     known = filter_of(spark.createDataFrame([(int(h),) for h in hashes], "h long"), "h", len(hashes))
-    one = [list(_candidate_spans(LENGTH, Held(known))(iter(df.where(f"_doc = {k}").toArrow().to_batches()))) for k in (1, 2)]
+    owners = filter_of(spark.createDataFrame([(int(h),) for h in mixed(np.array([1, 2], np.uint64)).view(np.int64)], "h long"), "h", 2)
+    one = [list(_candidate_spans(LENGTH, Held((known, owners)))(iter(df.where(f"_doc = {k}").toArrow().to_batches()))) for k in (1, 2)]
     assert [sum(b.num_rows for b in made) for made in one][0] == 1 and sum(b.num_rows for b in one[1]) < 300
     got = set(map(tuple, shared_runs(df.repartition(3), "_doc", "_text", LENGTH).collect()))
     assert got == {(1, 0, 20_000), (2, 600, 20_600), (2, 0, 600), (3, 0, 300)} - {(2, 0, 600), (2, 600, 20_600)} | {(2, 0, 20_600)}
