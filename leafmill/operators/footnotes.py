@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.operators.layout import FOOTNOTE_MARKER, PAGE
+from leafmill.operators.layout import FOOTNOTE_MARKER, PAGE, sized
 
 
 def normal_marker(marker: Column) -> Column:
@@ -19,9 +19,9 @@ def marker_type(marker: Column) -> Column:
     return F.when(first.isin("*", "＊"), "star").when(first == "※", "komejirushi").when(first == "注", "chu").when(first == "[", "bracket").when(first.isin("(", "（"), "paren").when(first.isin("†", "‡"), "dagger")
 
 
-def markers(words: DataFrame, sizes: DataFrame, main: float = 0.8, around: int = 3) -> DataFrame:
+def markers(words: DataFrame, sizes: DataFrame | None, main: float = 0.8, around: int = 3) -> DataFrame:
     """Markers in a page's upper `main` part, in decoder order, with up to `around` words before and after."""
-    placed = words.join(sizes, PAGE).where(F.col("top") < main * F.col("page_height"))
+    placed = sized(words, sizes).where(F.col("top") < main * F.col("page_height"))
     order = Window.partitionBy(*PAGE).orderBy("word_ix")
     before = F.collect_list("text").over(order.rowsBetween(-around, -1))
     after = F.collect_list("text").over(order.rowsBetween(1, around))
@@ -30,12 +30,12 @@ def markers(words: DataFrame, sizes: DataFrame, main: float = 0.8, around: int =
     return found.select(*PAGE, "word_ix", F.col("text").alias("marker"), context.alias("context"))
 
 
-def footnote_lines(words: DataFrame, sizes: DataFrame, main: float = 0.8, reach: float = 5.0) -> DataFrame:
+def footnote_lines(words: DataFrame, sizes: DataFrame | None, main: float = 0.8, reach: float = 5.0) -> DataFrame:
     """The lines of a page's lower part: a word opens a line when it stands `reach` or more from the line's first word, words in order of the decoder; a line's words go by x0.
 
     Each line's first word depends on those before, so the words of a page's lower part, which are few, are folded.
     """
-    low = words.join(sizes, PAGE).where(F.col("top") >= main * F.col("page_height"))
+    low = sized(words, sizes).where(F.col("top") >= main * F.col("page_height"))
     ordered = low.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("word_ix", "top", "x0", "text"))).alias("_w"))
     start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
 

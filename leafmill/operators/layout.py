@@ -44,6 +44,13 @@ def page_sizes(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE).agg(F.max("x1").alias("width"), F.max("bottom").alias("page_height"))
 
 
+def sized(words: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """Words with the width and page_height of their page, from `sizes` or, where that is None, from the page's words themselves, without another exchange."""
+    if sizes is not None:
+        return words.join(sizes, PAGE)
+    return words.withColumns({"width": F.max("x1").over(_in_page()), "page_height": F.max("bottom").over(_in_page())})
+
+
 def columns(words: DataFrame, gap: float = 50.0) -> DataFrame:
     """Adds column_no (from 0): a new column where x0 is more than `gap` beyond the x1 of the word before, by x0."""
     order = _in_page().orderBy("x0", "word_ix")
@@ -109,9 +116,9 @@ def page_texts(texts: DataFrame) -> DataFrame:
     return page.select(*PAGE, F.array_join(F.transform("_c", lambda x: x["_t"]), "\n\n").alias("page_text"))
 
 
-def zone_strings(words: DataFrame, sizes: DataFrame, share: float = 0.1) -> DataFrame:
+def zone_strings(words: DataFrame, sizes: DataFrame | None, share: float = 0.1) -> DataFrame:
     """The words of the top and of the bottom zone of each page as one string each: zone, zone_text."""
-    placed = words.join(sizes, PAGE)
+    placed = sized(words, sizes)
     zone = F.when(F.col("top") < share * F.col("page_height"), "top").when(F.col("top") > (1 - share) * F.col("page_height"), "bottom")
     ordered = F.array_sort(F.collect_list(F.struct("word_ix", "text")))
     texts = placed.withColumn("zone", zone).where("zone IS NOT NULL").groupBy(*PAGE, "zone").agg(ordered.alias("_w"))
@@ -144,6 +151,10 @@ def near_words(candidates: DataFrame, words: DataFrame, reach: float = 50.0) ->
 
     Centres fall into squares as wide as `reach`; a candidate meets the words of its square and the eight around it.
     """
+    return candidates.join(_near_keys(candidates, words, reach), WORD, "left_semi")
+
+
+def _near_keys(candidates: DataFrame, words: DataFrame, reach: float) -> DataFrame:
     x, y = _centre()
     squares = lambda k: (F.floor(x / reach) + k).cast("long"), lambda k: (F.floor(y / reach) + k).cast("long")
     around = F.explode(F.array(*(F.struct(squares[0](i).alias("i"), squares[1](j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
@@ -153,8 +164,7 @@ def near_words(candidates: DataFrame, words: DataFrame, reach: float = 50.0) ->
     same_place = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
     other = F.struct(*(F.col(f"a.{c}") for c in ("text", "x0", "top", "x1", "bottom"))) != F.struct(*(F.col(f"b.{c}") for c in ("text", "x0", "top", "x1", "bottom")))
     near = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) < reach
-    met = a.join(b, same_place & other & near, "left_semi").select(*WORD).distinct()
-    return candidates.join(met, WORD, "left_semi")
+    return a.join(b, same_place & other & near, "left_semi").select(*WORD).distinct()
 
 
 def without_repeated_places(words: DataFrame) -> DataFrame:
@@ -190,21 +200,21 @@ def tagged_rotation(words: DataFrame, pages: DataFrame) -> DataFrame:
     return words.join(angles, PAGE, "left").withColumn("rotated", F.coalesce("_angle", F.lit(0))).drop("_angle")
 
 
-def metadata_filter(words: DataFrame, sizes: DataFrame, repeated: DataFrame, drop_page_numbers: bool = True) -> DataFrame:
+def metadata_filter(words: DataFrame, sizes: DataFrame | None, repeated: DataFrame, drop_page_numbers: bool = True) -> DataFrame:
     """Words with `keep` and the deciding `rule`, first hit first.
 
     Section numbers and footnote markers stay; strict page numbers, words of repeated zones
     and short numbers in a page-number place go; in the top twentieth only
     words higher than 14 stay; in the bottom tenth what isn't a page number stays.
     """
-    edge = words.join(sizes, PAGE)
+    edge = sized(words, sizes)
     h, w = F.col("page_height"), F.col("width")
     in_margin = (F.col("top") < 0.1 * h) | (F.col("top") > 0.9 * h)
     at_side = (F.abs((F.col("x0") + F.col("x1")) / 2 - w / 2) < 0.2 * w) | (F.col("x0") < 0.2 * w) | (F.col("x1") > 0.8 * w)
-    candidates = edge.where(F.col("text").rlike(r"^\d+$") & in_margin & at_side)
-    lonely = candidates.join(near_words(candidates, words).select(*WORD), WORD, "left_anti").select(*WORD, F.lit(True).alias("_number"))
+    placed = F.col("text").rlike(r"^\d+$") & in_margin & at_side
+    near = _near_keys(edge.where(placed), words, 50.0).withColumn("_near", F.lit(True))
     zone = F.when(F.col("top") < 0.1 * h, "top").when(F.col("top") > 0.9 * h, "bottom")
-    marked = edge.join(lonely, WORD, "left").withColumn("zone", zone)
+    marked = edge.join(near, WORD, "left").withColumn("_number", placed & F.col("_near").isNull()).drop("_near").withColumn("zone", zone)
     marked = marked.join(repeated.select("doc_id", "zone", F.lit(True).alias("_repeated")).distinct(), ["doc_id", "zone"], "left")
     number = F.coalesce("_number", F.lit(False))
     rule = (
@@ -251,9 +261,9 @@ def overlap_pairs(words: DataFrame, share: float = 0.5, band: float = 20.0) -> D
     return found.select(F.col("a.doc_id"), F.col("a.page"), F.col("a.word_ix").alias("word_a"), F.col("b.word_ix").alias("word_b")).distinct()
 
 
-def inventory(words: DataFrame, sizes: DataFrame) -> DataFrame:
+def inventory(words: DataFrame, sizes: DataFrame | None) -> DataFrame:
     """Per page: words by region (top .15, bottom .15) and by size class; null sizes fall back to heights."""
-    placed = words.join(sizes, PAGE)
+    placed = sized(words, sizes)
     size = F.coalesce("size", "height", F.lit(0.0))
     h = F.col("page_height")
     return placed.groupBy(*PAGE).agg(

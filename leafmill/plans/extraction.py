@@ -14,13 +14,12 @@ def kept_words(words: DataFrame, settings: Settings) -> DataFrame:
     """The words that the settings' filters leave: all, those of the metadata filter, or those within the legacy margins that aren't numbers."""
     if not settings.remove_headers:
         return words
-    sizes = L.page_sizes(words)
     if settings.legacy_margins:
         inside = F.col("top").between(settings.top_margin * F.col("page_height"), (1 - settings.bottom_margin) * F.col("page_height"))
         number = F.col("text").rlike(r"^\d+$") & F.lit(settings.remove_page_numbers)
-        return words.join(sizes, L.PAGE).where(inside & ~number).drop("width", "page_height")
-    repeated = L.repeating_zones(L.zone_strings(words, sizes), words)
-    return L.metadata_filter(words, sizes, repeated, settings.remove_page_numbers).where("keep").drop("keep", "rule")
+        return L.sized(words, None).where(inside & ~number).drop("width", "page_height")
+    repeated = L.repeating_zones(L.zone_strings(words, None), words)
+    return L.metadata_filter(words, None, repeated, settings.remove_page_numbers).where("keep").drop("keep", "rule")
 
 
 def page_texts(words: DataFrame, settings: Settings) -> DataFrame:

@@ -58,12 +58,12 @@ def word_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 def zone_texts(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.zone_strings(w, L.page_sizes(w))
+    return L.zone_strings(w, None)
 
 
 def repeating_headers(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.repeating_zones(L.zone_strings(w, L.page_sizes(w)), w)
+    return L.repeating_zones(L.zone_strings(w, None), w)
 
 
 def nearby_words(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,7 @@ def nearby_words(spark: SparkSession, d: str) -> DataFrame:
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    z = L.page_sizes(w)
-    return L.metadata_filter(w, z, L.repeating_zones(L.zone_strings(w, z), w)).select(*L.WORD, "rule", "keep")
+    return L.metadata_filter(w, None, L.repeating_zones(L.zone_strings(w, None), w)).select(*L.WORD, "rule", "keep")
 
 
 def same_line_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +101,12 @@ def overlap_pairs_slight(spark: SparkSession, d: str) -> DataFrame:
 def recurring_headers(spark: SparkSession, d: str) -> DataFrame:
     """As repeating_headers, from three pages in ten on."""
     w = words(spark, d)
-    return L.repeating_zones(L.zone_strings(w, L.page_sizes(w)), w, share=0.3)
+    return L.repeating_zones(L.zone_strings(w, None), w, share=0.3)
 
 
 def inventory_by_page(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return L.inventory(w, L.page_sizes(w))
+    return L.inventory(w, None)
 
 
 def size_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +116,7 @@ def size_distribution(spark: SparkSession, d: str) -> DataFrame:
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
     results = read_table(spark, d, "extraction_results").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("word_count", F.lit(0)).alias("n_words"))
-    return L.coverage(L.inventory(w, L.page_sizes(w)), results)
+    return L.coverage(L.inventory(w, None), results)
 
 
 def trimmed_font_size(spark: SparkSession, d: str) -> DataFrame:

@@ -127,7 +127,7 @@ def formulas(spark: SparkSession, d: str) -> DataFrame:
 
 def marks(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    return N.markers(w, L.page_sizes(w))
+    return N.markers(w, None)
 
 
 def definitions(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +275,7 @@ def element_check(spark: SparkSession, d: str) -> DataFrame:
 
 def position_check(spark: SparkSession, d: str) -> DataFrame:
     w = words(spark, d)
-    bottom = L.inventory(w, L.page_sizes(w)).groupBy("doc_id").agg(F.sum("bottom_region").alias("n_bottom"))
+    bottom = L.inventory(w, None).groupBy("doc_id").agg(F.sum("bottom_region").alias("n_bottom"))
     return bottom.join(results(spark, d), "doc_id").select("doc_id", X.position_score(F.col("n_bottom"), F.col("raw_text")).alias("position_score"))
 
 
@@ -534,3 +534,6 @@ ORACLES["notes_appended"] = f"""WITH pt AS ({LAYOUT_ORACLES['page_text']}), fd A
 ORACLES["page_text_tables"] = f"""WITH pt AS ({LAYOUT_ORACLES['page_text']}), tt AS ({ORACLES['table_texts']}), {CELLS}, b AS (SELECT doc_id, page, string_agg(pipes, chr(10) || chr(10) ORDER BY top, table_ix) AS blocks FROM tt JOIN t USING (doc_id, page, table_ix) GROUP BY ALL)
     SELECT doc_id, page, page_text || coalesce(chr(10) || chr(10) || blocks, '') AS page_text FROM pt LEFT JOIN b USING (doc_id, page)"""
 ORACLES["flag_prompts"] = f"WITH {FLAGS} SELECT flag_id, (length('{M.PROMPT.replace(chr(37) + 's', '').replace(chr(39), chr(39) * 2)}') + length(flag_type) + 2 + length(coalesce(message, '')))::INT AS n_prompt, coalesce(message, '') AS corrected, 0.9::DOUBLE AS confidence FROM f"
+ORACLES["flag_boxes"] = f"""WITH {FLAGS}, wd AS (SELECT flag_id, upper(severity) AS k, list_filter(regexp_split_to_array(coalesce(context, ''), '[ \\t\\n]+'), lambda x: x <> '') AS ws FROM f),
+    ls AS (SELECT *, CASE WHEN len(ws) = 0 THEN [] ELSE string_split(list_reduce(ws, lambda a, x: a || CASE WHEN length(string_split(a, chr(10))[-1]) + 1 + length(x) <= 56 THEN ' ' ELSE chr(10) END || x), chr(10)) END AS lines FROM wd)
+    SELECT flag_id, '[' || k || ' BOX]' || chr(10) || array_to_string(list_transform(lines, lambda x: '| ' || rpad(x, 56, ' ') || ' |'), chr(10)) || chr(10) || '[END ' || k || ' BOX]' AS box FROM ls"""
