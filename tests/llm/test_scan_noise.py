@@ -1,4 +1,10 @@
+import os
+
+import numpy as np
+import pytest
+
 from leafmill.llm.copies import one_of_each, with_copies
+from leafmill.llm.markov import trained, unpacked
 from leafmill.llm import scan_noise as module
 from leafmill.llm.scan_noise import BODY, FOOT, HEAD, body_tokens, broken_lines, first_model, line_labels, misread_words, paragraphs, readings, scan_noise, continuous_text
 
@@ -95,3 +101,20 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([(n % 40, str(n % 40)) for n in range(60)], "k int, t string").repartition(4)
     for at_once in (0, 100):
         assert sorted(map(tuple, one_of_each(df, ["k"], at_once).collect())) == [(k, str(k)) for k in range(40)]
+
+
+TABLES = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_training_and_path_decide(spark):
+    """Of the lines that the trained path takes for running lines, over one in fifty is another to the start's path, and to each line's best emission."""
+    ids = spark.read.parquet(f"{TABLES}/page_analysis.parquet").where("is_scanned").select("doc_id").distinct()
+    docs = module.observed_documents(spark.read.parquet(f"{TABLES}/extraction_results.parquet").dropDuplicates(["doc_id"]), "doc_id", "pages", ids)
+    model = trained(first_model(), docs, "_codes", 2, 200.0, "_lines")
+    codes, _ = unpacked([r._codes for r in docs.collect()], len(module.WIDTHS))
+    lengths = np.array([n for r in docs.collect() for n in r._lines])
+    furniture = lambda states: np.isin(module.LABELS[states], (HEAD, FOOT))
+    path, start, alone = furniture(model.paths(codes, lengths)), furniture(first_model().paths(codes, lengths)), furniture(model.without_path(codes))
+    assert (path != start).sum() > path.sum() / 50 and (path != alone).sum() > path.sum() / 50
+    assert (path & start).sum() > 0.9 * path.sum()
