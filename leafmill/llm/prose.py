@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from leafmill.functions.columns import keyed
 from leafmill.llm.checkpoints import cut_lineage
-from leafmill.llm.lines import WIDTHS, line_statistics
+from leafmill.llm.lines import AT_ONCE, WIDTHS, line_statistics
 from leafmill.llm.markov import LineModel, packed, trained, unpacked
 
 #: Words of a language that count as common: those in most of its texts, in two at least.
@@ -52,10 +52,13 @@ _DENSE = re.compile("[฀-๿぀-ヿ㐀-鿿]")
 _DENSE_PART = re.compile("[฀-๿぀-ヿ㐀-鿿]+")
 _MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M")
 _UNIT = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*(?:[’'\-‐‑][^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*)*")
-# Scripts that texts of no known language are told apart by, from the first SCRIPT_CHARS characters.
+# Scripts that texts of no known language are told apart by, as ranges of characters.
 SCRIPTS = {"Latin": "A-Za-zÀ-ɏ", "Greek": "Ͱ-Ͽ", "Cyrillic": "Ѐ-ԯ", "Hebrew": "֐-׿", "Arabic": "؀-ۿ", "Devanagari": "ऀ-ॿ", "Thai": "฀-๿", "Kana": "぀-ヿ", "Han": "㐀-鿿", "Hangul": "가-힣"}
-_SCRIPTS = {name: re.compile(f"[{chars}]") for name, chars in SCRIPTS.items()}
-SCRIPT_CHARS = 2000
+_SCRIPT_OF = np.full(0x10000, len(SCRIPTS), np.uint8)
+for _k, _ranges in enumerate(SCRIPTS.values()):
+    for _a, _b in zip(_ranges[::3], _ranges[2::3]):
+        _SCRIPT_OF[ord(_a) : ord(_b) + 1] = _k
+
 
 def first_model() -> LineModel:
     """Where the training starts."""
@@ -94,10 +97,14 @@ def units(text: str) -> list[str]:
 
 
 def word_group(language: str | None, text: str) -> str:
-    """What texts share their common words with this one: its language, or where that isn't known ('und' included) its script."""
+    """What texts share their common words with this one: its language, or where that isn't known ('und' included) the script of most of its letters."""
     if language and language != "und":
         return language
-    counts = {name: len(chars.findall(text[:SCRIPT_CHARS])) for name, chars in _SCRIPTS.items()}
+    found = np.zeros(len(SCRIPTS) + 1, np.int64)
+    for at in range(0, len(text), AT_ONCE):
+        points = np.frombuffer(text[at : at + AT_ONCE].encode("utf-32-le", "surrogatepass"), "<u4")
+        found += np.bincount(_SCRIPT_OF[np.minimum(points, len(_SCRIPT_OF) - 1)], minlength=len(found))
+    counts = dict(zip(SCRIPTS, found.tolist()))
     if counts["Kana"] * 5 > counts["Han"]:
         counts["Kana"] += counts["Han"]
     return "script " + max(counts, key=counts.get)

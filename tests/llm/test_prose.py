@@ -95,6 +95,17 @@ def test_common_words_of_every_language(spark):
     assert units("Ab 12 ไทย x") == ["ไท", "ทย", "ab", "x"] and word_group("und", "承認") == "script Han"
 
 
+def test_script_of_the_whole_text(spark):
+    """A long opening in another script doesn't decide: neither the group, nor whose common words a text is held against."""
+    opening, body = "The reader opens the first page of the book. " * 60, "Таблица доз и протокол исследования. "
+    assert len(opening) > 2000 and word_group(None, opening + body * 100) == "script Cyrillic" and word_group(None, opening + body) == "script Latin"
+    assert word_group("und", "a" * 1_000_001 + "я" * 1_000_002) == "script Cyrillic" and word_group(None, "") == word_group(None, "12 \ud800 𠀀") == "script Latin"
+    df = spark.createDataFrame([(1, opening + body * 100, None), (2, body, None)], "id int, text string, lang string")
+    assert common_words(df, "text", "lang") == {"script Cyrillic": {"таблица", "доз", "и", "протокол", "исследования"}}
+    shares = {r.id: r.common_word_share for r in text_statistics(df, ["id"], "text", language="lang").collect()}
+    assert shares == {1: 500 / (500 + 9 * 60), 2: 1.0}
+
+
 def test_found_takes_the_full_statistics(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(1, TABLE, "en"), (2, TABLE, "en"), (3, PROSE * 3, "en")], "doc_id long, raw_text string, lang string").write.parquet(f"{tmp_path}/extraction_results.parquet")
     made = []
