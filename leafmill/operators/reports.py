@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions import similarity as S
+
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -142,7 +145,7 @@ def batch_table(results: DataFrame) -> DataFrame:
 def consensus_pairs(engines: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of engines' texts of a document with their exact sequence similarity.
 
-    The similarity (twice the matched over the total length) has no SQL form; pandas batches call the standard library.
+    The similarity (twice the matched over the total length, as the standard library gives it) has no SQL form.
     """
     a, b = engines.alias("a"), engines.alias("b")
     same = F.lit(True)
@@ -153,7 +156,7 @@ def consensus_pairs(engines: DataFrame, keys: list[str]) -> DataFrame:
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([1.0 if (x or "") == (y or "") else difflib.SequenceMatcher(None, x or "", y or "", autojunk=True).ratio() for x, y in zip(left, right)])
+            yield pd.Series([S.ratio(x or "", y or "") for x, y in zip(left, right)])
 
     return pairs.select(*keys, "engine_a", "engine_b", ratio("text_a", "text_b").alias("similarity"))
 
@@ -165,6 +168,28 @@ def consensus(pairs: DataFrame, engines: DataFrame, keys: list[str]) -> DataFram
     return base.join(mean, keys, "left").na.fill(1.0, ["consensus_score"])
 
 
+def consensus_at_once(engines: DataFrame, keys: list[str]) -> DataFrame:
+    """As `consensus` of all `consensus_pairs`, of texts that are brought together once.
+
+    They are grouped by a struct of the keys, for which Spark always exchanges: it takes a union of tables that are split by
+    the keys as split too, and joins of two such can fail ("Can't zip RDDs with unequal numbers of partitions"). Rows
+    without a key have no pairs.
+    """
+    one = F.struct("engine", F.coalesce("text", F.lit("")).alias("text"))
+    e = engines.groupBy(F.struct(*keys).alias("_k")).agg(F.array_sort(F.collect_list(one)).alias("_e")).select("_k.*", "_e")
+    base = F.array_min(F.transform("_e", lambda x: F.struct((-F.length(x["text"])).alias("_n"), x["engine"].alias("engine"))))["engine"]
+
+    @F.pandas_udf("double")
+    def mean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, texts in batches:
+            pairs = ([S.ratio(a, b) for (x, a), (y, b) in combinations(zip(n, t), 2) if x is not None and x != y] for n, t in zip(names, texts))
+            yield pd.Series([sum(p) / len(p) if p else 1.0 for p in pairs], dtype="float64")
+
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    score = F.when(known, mean(F.col("_e")["engine"], F.col("_e")["text"])).otherwise(1.0)
+    return e.select(*keys, base.alias("base_engine"), score.alias("consensus_score"))
+
+
 def extraction_confidence(quality: Column, coverage: Column, match_rate: Column) -> Column:
     """Half the quality, .3 of the coverage, .2 of the match rate, each in percent."""
     return 0.5 * quality / 100 + 0.3 * coverage / 100 + 0.2 * match_rate / 100

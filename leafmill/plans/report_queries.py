@@ -262,8 +262,7 @@ def consensus_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def consensus_texts(spark: SparkSession, d: str) -> DataFrame:
     """Exact similarity of the whole texts of a document's engines; a document of one engine scores 1."""
-    e = engines(spark, d)
-    return R.consensus(R.consensus_pairs(e, DOC), e, DOC).withColumn("consensus_score", F.round("consensus_score", 6))
+    return R.consensus_at_once(engines(spark, d), DOC).withColumn("consensus_score", F.round("consensus_score", 6))
 
 
 def element_check(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Goldens of text repair, issues, quality, chunking, formatting and footnotes."""
 
+import difflib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +174,40 @@ def test_consensus_of_whole_texts(spark):
     finally:
         report_queries.engines = kept
     assert got == {1: ("chunks", round((1 + 12 / 13 + 12 / 13) / 3, 6)), 2: ("raw", 1.0)}
+
+
+def test_consensus_of_tables_that_are_split_by_document(spark, tmp_path):
+    """Joins of the engines' union failed where tables are exchanged and not broadcast: partitions of other numbers were zipped."""
+    from leafmill.plans import report_queries
+
+    texts = {i: f"Page {i}\nof the whole\ntext {i * i}" for i in range(40)}
+    spark.createDataFrame([(i, f"{i}.pdf", t, None) for i, t in texts.items()], "doc_id long, filename string, raw_text string, loaded_at timestamp").write.parquet(str(tmp_path / "extraction_results.parquet"))
+    spark.createDataFrame([(i, 1, t, None) for i, t in texts.items() if i % 2], "doc_id long, chunk_id int, content string, overlap_start_text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((r.doc_id, r.base_engine, r.consensus_score) for r in report_queries.consensus_texts(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    ratio = {i: difflib.SequenceMatcher(None, t.replace("\n", " "), t).ratio() for i, t in texts.items()}
+    back = {i: difflib.SequenceMatcher(None, t, t.replace("\n", " ")).ratio() for i, t in texts.items()}
+    assert got == [(i, "chunks", round((ratio[i] + back[i] + 1) / 3, 6)) if i % 2 else (i, "flat", round(ratio[i], 6)) for i in texts]
+
+
+def test_similarity_is_that_of_the_library(monkeypatch):
+    from leafmill.functions import similarity
+
+    monkeypatch.setattr(similarity, "SHORT", 0)
+    rnd = random.Random(3)
+    for n in range(600):
+        letters = rnd.choice(["ab", "abc \n", "etaoin shrdlu\nXYZ0123", "日本語中文字漢仮名 。\n", "ab\U0001f600\ud800 "])
+        a = b = "".join(rnd.choices(letters, [rnd.random() ** 3 + 0.001 for _ in letters], k=rnd.choice([1, 60, 199, 200, 201, 500])))
+        for _ in range(rnd.choice([0, 1, 3, 12])):
+            i, j = rnd.randint(0, len(b)), rnd.randint(0, 40)
+            b = b[:i] + rnd.choice(["", "\n", "\n\n", " ", b[:j], b[i : i + 30]]) + b[i + rnd.choice([0, 1, 2, j]) :]
+        b = b.replace("\n", " ") if n % 3 else b
+        for x, y in ((a, b), (b, a)) if b else ():
+            assert similarity.ratio(x, y) == difflib.SequenceMatcher(None, x, y).ratio(), (x, y)
+    words = [f"{rnd.choice(['Alpha', 'beta', 'gamma'])}{chr(rnd.randint(0x4E00, 0x51FF))}" for _ in range(20_000)]
+    long, lines = " ".join(words), "\n".join(words)
+    assert similarity.ratio(long, lines) == 2 * (len(long) - len(words) + 1) / (2 * len(long)), "quadratic, this takes minutes"
